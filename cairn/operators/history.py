@@ -229,8 +229,11 @@ def reserve_delta(pairs: DataFrame) -> DataFrame:
         F.posexplode(
             F.arrays_zip(
                 reserve_pct(F.col("latest.domain_scores")).alias("now"),
+                # An array of nulls, not a null array: zipping with that loses the row.
                 F.when(
                     F.col("previous").isNotNull(), reserve_pct(F.col("previous.domain_scores"))
+                ).otherwise(
+                    F.array_repeat(F.lit(None).cast("double"), len(BDEFS_DOMAINS))
                 ).alias("then"),
             )
         ).alias("place", "r"),

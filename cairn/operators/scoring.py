@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.catalogue import (
-    AVG_TIME_KEY, BDEFS, BDEFS_DOMAINS, BISBAS, BISBAS_DOMAINS, DOMAINS, STROOP,
-    domain_floor, domain_max, total_floor, total_max,
+    AVG_TIME_KEY, BDEFS, BDEFS_DOMAINS, BISBAS, BISBAS_DOMAINS, RESPONSE_MAX, RESPONSE_MIN,
+    STROOP, total_max,
 )
 from cairn.functions.columns import percent, strip
 
@@ -151,9 +151,9 @@ def questionnaire_limits(items: DataFrame) -> DataFrame:
         "type",
         "domain",
         "items",
-        F.col("items").alias("floor_score"),
-        (F.col("items") * 4).alias("max_score"),
-        (F.col("items") * 3).alias("score_range"),
+        (F.col("items") * RESPONSE_MIN).alias("floor_score"),
+        (F.col("items") * RESPONSE_MAX).alias("max_score"),
+        (F.col("items") * (RESPONSE_MAX - RESPONSE_MIN)).alias("score_range"),
     )
 
 
@@ -164,9 +164,3 @@ def explode_domains(results: DataFrame) -> DataFrame:
         *RESULT, F.explode("domain_scores").alias("domain", "domain_score")
     )
 
-
-__all__ = [
-    "DOMAINS", "domain_floor", "domain_max", "explode_domains", "mean_domain_scores",
-    "questionnaire_limits", "score_answer_map", "score_questionnaire", "score_stroop",
-    "stroop_accuracy", "total_floor",
-]

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.catalogue import ACTIVE, DONE, PENDING
+from cairn.catalogue import ACTIVE, PENDING
 from cairn.operators import ordered
 from cairn.session import durable
 
@@ -31,11 +31,22 @@ def list_tasks(
     return tasks.orderBy("user_id", *BY_AGE)
 
 
+def find_tasks(tasks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row per wanted ``(user_id, id)``, with nulls where there is no such task."""
+    return wanted.select("user_id", "id").distinct().join(tasks, ["user_id", "id"], "left")
+
+
 def subtasks(tasks: DataFrame, parent_id: int) -> DataFrame:
     """Children of one task, oldest first."""
     return list_tasks(tasks, parent_id=parent_id)
 
 
+def subtasks_of(tasks: DataFrame, parents: DataFrame) -> DataFrame:
+    """Children of many tasks at once."""
+    given = parents.select("user_id", F.col("id").alias("parent_id"))
+    return tasks.filter(is_subtask()).join(given, ["user_id", "parent_id"], "left_semi")
+
+
 def is_subtask() -> Column:
     """Whether a task has a parent."""
     return F.col("parent_id").isNotNull()
@@ -279,10 +290,3 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     same = before.intersect(after).withColumn("change", F.lit("same"))
     return gone.unionByName(new).unionByName(same)
 
-
-__all__ = [
-    "ACTIVE", "DONE", "PENDING", "dangling_parents", "delete_all_results", "delete_all_tasks",
-    "delete_rows", "delete_tasks", "first_open_task", "is_subtask", "list_tasks", "open_count",
-    "open_task_list", "sessions_with_task", "snapshot_diff", "subtasks", "suggest_next",
-    "task_board", "task_by_id", "task_descendants", "tasks_by_parent",
-]

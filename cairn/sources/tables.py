@@ -20,7 +20,11 @@ DAY = "day"
 
 
 def read_table(spark: SparkSession, path: str, table: str, fmt: str = "parquet") -> DataFrame:
-    """One record table. CSV and JSON keep dates and maps as text: decode them next."""
+    """One record table. CSV and JSON keep dates and maps as text: decode them next.
+
+    A table partitioned by day has the partition column ``day`` too, so that
+    filters on it skip whole days.
+    """
     schema = schemas.TABLES[table]
     if fmt in ("csv", "json"):
         schema = schemas.text_form(schema)
