@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators import ordered
@@ -21,18 +21,8 @@ def dedup_keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> Data
 
 
 def number_messages(messages: DataFrame, order: list[str], **sizes: int) -> DataFrame:
-    """Number distinct-order messages 0, 1, 2, ... without one task seeing them all."""
-    one = messages.withColumn("_all", F.lit(0))
-    placed = ordered.chunked(one, ["_all"], order, sizes.get("chunk_rows", ordered.CHUNK_ROWS))
-    # Positions rise in order but leave gaps between input ranges: close them by chunk counts.
-    counts = placed.groupBy("_chunk").agg(F.count(F.lit(1)).alias("n"), F.min("_pos").alias("low"))
-    totals = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(totals), F.lit(0)))
-    return (
-        placed.join(starts.drop("n"), "_chunk")
-        .withColumn("number", F.col("start") + F.col("_pos") - F.col("low"))
-        .select(*messages.columns, "number")
-    )
+    """Number the messages 0, 1, 2, ... in the given order."""
+    return ordered.number(messages, order, "number", **sizes)
 
 
 def pick_number(user: Column, day: Column, n: Column) -> Column:
@@ -50,7 +40,8 @@ def assign_nudge(users_days: DataFrame, numbered: DataFrame) -> DataFrame:
     catalogue = durable(numbered, "messages")
     n = catalogue.count()
     if n == 0:
-        return users_days.withColumns({"number": F.lit(0), "message": F.lit("")}).filter(F.lit(False))
+        none = {"number": F.lit(0).cast("bigint"), "message": F.lit("")}
+        return users_days.withColumns(none).filter(F.lit(False))
     number = pick_number(F.col("user_id"), F.col("date"), F.lit(n))
     return users_days.withColumn("number", number).join(
         catalogue.select("number", "message"), "number"

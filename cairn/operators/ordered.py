@@ -181,3 +181,23 @@ def _combine(kind: str, name: str) -> Column:
     if kind == "latest":
         return F.coalesce(local, carry)
     return F.when(F.col("_first"), carry).otherwise(local)
+
+
+def number(
+    df: DataFrame, order: Sequence[Column | str], name: str, start: int = 0,
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """Number all rows from ``start`` in the given order, without one task seeing them all.
+
+    The window at the end runs over one row per chunk.
+    """
+    placed = chunked(df, [], order, chunk_rows)
+    counts = placed.groupBy("_chunk").agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("_pos").alias("_low")
+    )
+    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.select(
+        "_chunk", "_low", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_begin")
+    )
+    place = F.lit(start) + F.col("_begin") + F.col("_pos") - F.col("_low")
+    return placed.join(begins, "_chunk").select(*df.columns, place.cast("bigint").alias(name))

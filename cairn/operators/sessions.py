@@ -10,7 +10,7 @@ from cairn.operators import ordered
 from cairn.operators.validate import timer_plan_rules, valid
 from cairn.session import durable
 
-FOLD_ROWS = 4096
+FOLD_ROWS = 1024
 
 _SESSION = (
     "struct<start_event_id:bigint,task_id:bigint,is_break:boolean,planned_minutes:int,"

@@ -230,13 +230,22 @@ def delete_tasks(tasks: DataFrame, sessions: DataFrame, doomed: DataFrame):
     return kept, freed.unionByName(free)
 
 
+def _given(users: DataFrame) -> DataFrame:
+    """Distinct users as a written table.
+
+    Its size is known, and in a join straight from scans the shuffle can still
+    split a user that holds most of the other side.
+    """
+    return durable(users.select("user_id").distinct(), "users")
+
+
 def delete_all_tasks(tasks: DataFrame, sessions: DataFrame, daily: DataFrame, users: DataFrame):
     """Remove all tasks and sessions of the given users and zero their task counters.
 
     Focus minutes stay. Returns ``(tasks, sessions, daily, counts)`` with the
     number of tasks removed per user.
     """
-    given = users.select("user_id").distinct()
+    given = _given(users)
     marked = daily.join(given.withColumn("_given", F.lit(True)), "user_id", "left")
     reset = marked.withColumn(
         "tasks_completed",
@@ -273,7 +282,7 @@ def delete_rows(rows: DataFrame, doomed: DataFrame, keys: list[str]):
 
 def delete_all_results(results: DataFrame, users: DataFrame):
     """Remove all results of the given users, as ``(kept, counts)``."""
-    given = users.select("user_id").distinct()
+    given = _given(users)
     removed = results.join(given, "user_id", "left_semi").groupBy("user_id").agg(
         F.count(F.lit(1)).alias("deleted")
     )

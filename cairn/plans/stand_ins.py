@@ -29,6 +29,13 @@ class StandIns:
         """One of the driver's tables."""
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @cached_property
+    def spread_orders(self) -> DataFrame:
+        """Orders on all cores: each becomes dozens of rows, but the file is one input split."""
+        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        columns = ("o_orderkey", "o_custkey", "o_orderdate")
+        return self.table("orders").select(*columns).repartition(partitions)
+
     @cached_property
     def tasks(self) -> DataFrame:
         """Trees of four tasks out of orders: n, n+1 under n, n+2 under n+1, n+3 under n."""
@@ -93,7 +100,7 @@ class StandIns:
             - 1
         )
         lowest = (F.col("i.type") == BDEFS) & (order % 30 == 0)
-        return self.table("orders").select(
+        return self.spread_orders.select(
             "o_orderkey", "o_custkey", "o_orderdate", F.explode(F.array(*items)).alias("i")
         ).select(
             (order * 3 + F.col("i.offset")).alias("assessment_id"),
@@ -117,7 +124,7 @@ class StandIns:
         ink = colour(order + trial)
         word = colour(order + trial + (order * trial + 1) % 4)
         right = (order * 17 + trial * 29) % 10 < 4 + user % 7
-        return self.table("orders").select(
+        return self.spread_orders.select(
             "o_orderkey", "o_custkey", "o_orderdate",
             F.explode(F.array(*[F.lit(i) for i in range(10)])).alias("trial_no"),
         ).select(

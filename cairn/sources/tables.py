@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn import schemas
@@ -44,20 +44,11 @@ def scan_tables(
     }
 
 
-def next_ids(batch: DataFrame, existing_max: int, order: list[str]) -> DataFrame:
-    """Number a batch from ``existing_max + 1`` upwards in the given order.
-
-    Uses written positions and chunk counts, so no single task numbers the batch.
-    """
-    one = batch.withColumn("_all", F.lit(0))
-    placed = ordered.chunked(one, ["_all"], order, ordered.CHUNK_ROWS)
-    counts = placed.groupBy("_chunk").agg(F.count(F.lit(1)).alias("n"), F.min("_pos").alias("low"))
-    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        "_chunk", "low", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
-    )
-    number = F.lit(existing_max + 1) + F.col("start") + F.col("_pos") - F.col("low")
-    return placed.join(starts, "_chunk").select(*batch.columns, number.alias("id"))
+def on_days(table: DataFrame, time: str, first: str, last: str) -> DataFrame:
+    """Rows from ``first`` to ``last``; the partition column lets whole days be skipped."""
+    low, high = F.lit(first).cast("date"), F.lit(last).cast("date")
+    exact = F.to_date(time).between(low, high)
+    return table.filter(F.col(DAY).between(low, high) & exact) if DAY in table.columns else table.filter(exact)
 
 
 def append(
@@ -65,21 +56,18 @@ def append(
 ) -> DataFrame:
     """Append new records to a parquet table partitioned by day; returns what was added.
 
-    Without ids the batch is numbered after the highest stored one. One file
-    set per day and task: rows are gathered by day first, and a day with very
-    many rows is split further by user.
+    Without ids the batch is numbered after the highest stored one. Rows are
+    gathered by day; rebalancing splits a day with very many rows over several
+    writers and puts small days together.
     """
     spark = batch.sparkSession
     schema = schemas.TABLES[table]
     if "id" not in batch.columns and "id" in schema.names:
-        stored = _stored_max(spark, path)
-        batch = next_ids(batch, stored, order or [DAY_OF[table], "user_id"])
+        first = _stored_max(spark, path) + 1
+        batch = ordered.number(batch, order or [DAY_OF[table], "user_id"], "id", first)
     batch = durable(batch.select(*schema.names), "batch")
-    day = DAY_OF.get(table, "date")
-    spread = batch.withColumn(DAY, F.to_date(day)).repartition(
-        DAY, F.pmod(F.xxhash64("user_id", *(["id"] if "id" in schema.names else [])), F.lit(16))
-    )
-    spread.write.mode("append").partitionBy(DAY).parquet(path)
+    by_day = batch.withColumn(DAY, F.to_date(DAY_OF.get(table, "date"))).hint("rebalance", DAY)
+    by_day.write.mode("append").partitionBy(DAY).parquet(path)
     return batch
 
 
@@ -94,6 +82,6 @@ def _stored_max(spark: SparkSession, path: str) -> int:
 
 def save_daily_log(daily: DataFrame, path: str) -> None:
     """Write counters partitioned by day, replacing only the days in hand."""
-    daily.withColumn(DAY, F.col("date")).write.mode("overwrite").option(
+    daily.withColumn(DAY, F.col("date")).hint("rebalance", DAY).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy(DAY).parquet(path)

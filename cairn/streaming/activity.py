@@ -9,10 +9,16 @@ from pyspark.sql.types import StructType
 LATE = "1 day"
 
 
-def read_events(spark: SparkSession, folder: str, schema: StructType, pattern: str) -> DataFrame:
-    """A file stream of parquet events under ``folder``."""
+def read_events(
+    spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet",
+    files_per_batch: int = 1000,
+) -> DataFrame:
+    """A file stream of parquet events under ``folder``, in batches of bounded size."""
     return (
-        spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", pattern)
+        .option("maxFilesPerTrigger", files_per_batch)
+        .parquet(folder)
     )
 
 
@@ -50,6 +56,17 @@ def stream_weekly_activity(events: DataFrame, late: str = LATE) -> DataFrame:
     )
 
 
-def stream_dedup(events: DataFrame, late: str = LATE) -> DataFrame:
-    """Each ``event_id`` once, as long as copies arrive within the watermark."""
-    return on_event_time(events, late).dropDuplicatesWithinWatermark(["event_id"])
+def stream_dedup(events: DataFrame, late: str = LATE, salts: int = 8) -> DataFrame:
+    """Each ``event_id`` once, as long as copies arrive within the watermark.
+
+    Copies are first thinned in ``salts`` groups, so an event that was sent very
+    often is spread over that many tasks and the second step sees it at most
+    ``salts`` times per batch. The salt may change when a batch is retried: the
+    second step alone decides what passes.
+    """
+    timed = on_event_time(events, late)
+    if salts > 1:
+        salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts))
+        thinned = timed.withColumn("_salt", salt)
+        timed = thinned.dropDuplicatesWithinWatermark(["event_id", "_salt"]).drop("_salt")
+    return timed.dropDuplicatesWithinWatermark(["event_id"])
