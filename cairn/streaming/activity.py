@@ -66,7 +66,7 @@ def stream_dedup(events: DataFrame, late: str = LATE, salts: int = 8) -> DataFra
     """
     timed = on_event_time(events, late)
     if salts > 1:
-        salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts))
+        salt = F.floor(F.rand() * salts)
         thinned = timed.withColumn("_salt", salt)
         timed = thinned.dropDuplicatesWithinWatermark(["event_id", "_salt"]).drop("_salt")
     return timed.dropDuplicatesWithinWatermark(["event_id"])
