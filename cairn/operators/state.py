@@ -1,7 +1,8 @@
 """Current task state from an event log ``(user_id, task_id, event_id, ts, kind)``.
 
 Kinds are ``add``, ``activate``, ``complete``, ``reopen`` and ``toggle``. Events
-before a task's first ``add`` touch nothing, and an id is added only once.
+before a task's first ``add`` touch nothing, and an id is added only once. Event
+ids are unique: they settle the order of events at one moment.
 """
 
 from __future__ import annotations

@@ -316,9 +316,9 @@ LEFT JOIN (SELECT * FROM (SELECT e.*, row_number() OVER (PARTITION BY e.user_id,
   ON m.user_id = a.user_id AND m.task_id = a.task_id AND (m.ts, m.event_id) > (a.ts, a.event_id)"""
 PARTS["fx_folded"] = _FOLD.format(log="fx_log")
 PARTS["fx_focus_log"] = """
-SELECT event_id, user_id, ts, kind, task_id FROM fx_log
+SELECT event_id * 2 AS event_id, user_id, ts, kind, task_id FROM fx_log
 UNION ALL
-SELECT start_event_id, user_id, started_at, 'activate', task_id FROM fx_timer_sessions
+SELECT start_event_id * 2 + 1, user_id, started_at, 'activate', task_id FROM fx_timer_sessions
 WHERE NOT is_break AND task_id IS NOT NULL"""
 PARTS["fx_focus_folded"] = _FOLD.format(log="fx_focus_log")
 PARTS["fx_toggle_order"] = """

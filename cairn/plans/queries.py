@@ -777,7 +777,10 @@ def toggle_task(d: StandIns) -> DataFrame:
 def focus_activates_task(d: StandIns) -> DataFrame:
     """Task states once accepted focus sessions have activated their tasks."""
     started = state.activations_from_focus(sessions.reconstruct_sessions(d.timer_events))
-    return state.fold_task_state(_log(d).unionByName(started))
+    # Both logs come from the same source rows: keep their ids apart.
+    key = F.col("event_id")
+    log = _log(d).withColumn("event_id", key * 2)
+    return state.fold_task_state(log.unionByName(started.withColumn("event_id", key * 2 + 1)))
 
 
 @query
