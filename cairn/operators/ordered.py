@@ -50,7 +50,7 @@ def large_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     Counts are combined before the shuffle, so a large key costs nothing extra.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return durable(counts.filter(F.col("_rows") > limit).select(*keys), "large-keys")
+    return counts.filter(F.col("_rows") > limit).select(*keys)
 
 
 def by_key_size(
@@ -62,12 +62,15 @@ def by_key_size(
 ) -> DataFrame:
     """``plain`` for ordinary keys, ``spread`` for the large ones, results together.
 
-    Null keys count as one key. The list of large keys is a written table of
-    known size, so the planner itself decides whether to broadcast it.
+    Null keys count as one key. The list of large keys, if there are any, is a
+    written table of known size, so the planner itself decides whether to
+    broadcast it. The input is read twice: pass a stored table, not a long
+    derivation.
     """
     large = large_keys(df, keys, limit)
     if large.isEmpty():
         return plain(df)
+    large = durable(large, "large-keys")
     marked = large.select(*[F.col(k).alias(f"_large_{k}") for k in keys])
     same = F.lit(True)
     for k in keys:

@@ -2,42 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.catalogue import BDEFS
 from cairn.functions.columns import MICROS_PER_DAY, micros
-from cairn.operators import ordered
+from cairn.session import durable
 
 
-def trend_fit(
-    results: DataFrame, kind: str = BDEFS, limit: int = ordered.PLAIN_LIMIT
-) -> DataFrame:
+def trend_fit(results: DataFrame, kind: str = BDEFS) -> DataFrame:
     """Fitted score per result, for users with at least two results of the type.
 
     Users whose results all fall on one instant have no line: the fit is null.
+
+    The sums behind a line combine before the shuffle. Lines are then written
+    down, one small row per user, so that the join back to the results reads
+    both sides from plain shuffles: the planner broadcasts the lines if they are
+    small, and otherwise splits the users that hold very many results.
     """
     days = micros(F.col("taken_at")).cast("double") / MICROS_PER_DAY
     points = results.filter(F.col("type") == kind).select(
         "user_id", "id", "taken_at", "score", days.alias("x")
     )
-    measures = {
-        "points": F.count(F.lit(1)),
-        "slope": F.regr_slope(F.col("score").cast("double"), F.col("x")),
-        "intercept": F.regr_intercept(F.col("score").cast("double"), F.col("x")),
-    }
-
-    def windowed(part: DataFrame) -> DataFrame:
-        user = Window.partitionBy("user_id")
-        return part.withColumns({name: m.over(user) for name, m in measures.items()})
-
-    def combined(part: DataFrame) -> DataFrame:
-        # One line per large user: partial sums per task, and few enough to broadcast.
-        lines = part.groupBy("user_id").agg(*[m.alias(name) for name, m in measures.items()])
-        return part.join(F.broadcast(lines), "user_id").select(*part.columns, *measures)
-
-    fitted = ordered.by_key_size(points, ["user_id"], limit, windowed, combined)
-    return fitted.filter(F.col("points") >= 2).select(
+    score = F.col("score").cast("double")
+    lines = points.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("points"),
+        F.regr_slope(score, F.col("x")).alias("slope"),
+        F.regr_intercept(score, F.col("x")).alias("intercept"),
+    )
+    fitted = points.join(durable(lines.filter(F.col("points") >= 2), "lines"), "user_id")
+    return fitted.select(
         "user_id", "id", "taken_at", "score", "points", "slope", "intercept",
         (F.col("slope") * F.col("x") + F.col("intercept")).alias("fitted"),
     )

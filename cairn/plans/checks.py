@@ -738,6 +738,11 @@ SELECT user_id, CAST(date_trunc('week', date) AS DATE) AS week, CAST(sum(tasks_c
 FROM fx_daily GROUP BY user_id, CAST(date_trunc('week', date) AS DATE)""")
 _check("stream_latest_profile", "SELECT * FROM fx_blended")
 _check("stream_dedup", "SELECT event_id, user_id, event_type FROM events")
+# What the watermark, an hour behind the newest event in milliseconds, has passed.
+_check("stream_sessions", """
+SELECT user_id, start_event_id, task_id, is_break, planned_minutes, started_at, ended_at, outcome, elapsed_seconds
+FROM fx_timer_sessions
+WHERE epoch_us(ended_at) < (SELECT max(us) // 1000 * 1000 - 3600000000 FROM fx_timer)""")
 _check("reconstruct_sessions", "SELECT * FROM fx_timer_sessions")
 _check("auto_cycle_chains", """
 SELECT user_id, chain, min(started_at) AS started_at, max(ended_at) AS ended_at, count(*) AS sessions,

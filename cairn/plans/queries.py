@@ -405,7 +405,8 @@ def assessment_asof_session(d: StandIns) -> DataFrame:
     key = F.col("id")
     back = F.make_dt_interval((F.lit(8400) + key % 2300).cast("int"))
     moved = d.sessions.withColumn("completed_at", F.col("completed_at") - back)
-    return history.assessment_asof_session(moved, d.results).drop("domain_scores")
+    stored = durable(d.questionnaires)
+    return history.assessment_asof_session(moved, stored).drop("domain_scores")
 
 
 # --- aggregations ------------------------------------------------------------------
@@ -518,7 +519,7 @@ def latest_vs_previous(d: StandIns) -> DataFrame:
 @query
 def trend_fit(d: StandIns) -> DataFrame:
     """Trend per user."""
-    return trends.trend_fit(d.results).withColumns(
+    return trends.trend_fit(durable(d.results.drop("domain_scores"))).withColumns(
         {
             "slope": F.round("slope", 6),
             "intercept": F.round("intercept", 4),

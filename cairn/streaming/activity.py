@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cairn.functions.columns import MICROS_PER_DAY, micros
+
 LATE = "1 day"
 
 
@@ -23,10 +25,19 @@ def read_events(
 
 
 def on_event_time(events: DataFrame, late: str = LATE) -> DataFrame:
-    """Add ``event_time`` with a watermark; zone-free times are read in the session zone."""
-    return events.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark(
-        "event_time", late
-    )
+    """Add ``event_time`` with a watermark.
+
+    Watermarks need a point in time; zone-free times count as UTC, whatever the
+    session zone.
+    """
+    point = F.timestamp_micros(micros(F.col("ts")))
+    return events.withColumn("event_time", point).withWatermark("event_time", late)
+
+
+def _window_day(window: str) -> Column:
+    """The zone-free day a window starts on."""
+    days = F.expr(f"cast(unix_micros({window}.start) div {MICROS_PER_DAY} as int)")
+    return F.date_from_unix_date(days)
 
 
 def _counters() -> list:
@@ -43,7 +54,7 @@ def stream_daily_activity(events: DataFrame, late: str = LATE) -> DataFrame:
     """Counters per user and day; use update mode, a day's row is sent at each change."""
     counted = on_event_time(events, late).filter(F.col("kind").isin("complete", "focus"))
     return counted.groupBy("user_id", F.window("event_time", "1 day")).agg(*_counters()).select(
-        "user_id", F.to_date("window.start").alias("date"), "tasks_completed", "focus_minutes"
+        "user_id", _window_day("window").alias("date"), "tasks_completed", "focus_minutes"
     )
 
 
@@ -52,7 +63,7 @@ def stream_weekly_activity(events: DataFrame, late: str = LATE) -> DataFrame:
     counted = on_event_time(events, late).filter(F.col("kind").isin("complete", "focus"))
     week = F.window("event_time", "7 days", "7 days", "4 days")
     return counted.groupBy("user_id", week).agg(*_counters()).select(
-        "user_id", F.to_date("window.start").alias("week"), "tasks_completed", "focus_minutes"
+        "user_id", _window_day("window").alias("week"), "tasks_completed", "focus_minutes"
     )
 
 

@@ -128,8 +128,18 @@ def _apply(user: int, timer: tuple | None, event: tuple, out: list):
     return timer
 
 
+# The state store that keeps timers.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def stream_sessions(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Sessions in append mode, once each, as soon as the watermark allows."""
+    """Sessions in append mode, once each, as soon as the watermark allows.
+
+    One user's events act one after the other, so a micro-batch must be small
+    enough for its busiest user: bound it at the source.
+    """
+    events.sparkSession.conf.set(STATE_STORE, ROCKSDB)
     rows = on_event_time(events, late).select(
         "user_id", "event_id", "event_time", micros(F.col("ts")).alias("at"), "kind",
         "planned_minutes", "is_break", "task_id",

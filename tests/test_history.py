@@ -45,9 +45,8 @@ def test_recent_and_latest(past):
     assert rows(pairs.filter("type = 'bdefs'"), "latest.id", "previous.id") == [(2, 1), (4, None), (7, 6)]
 
 
-@pytest.mark.parametrize("limit", [1_000, 1])
-def test_trend(past, limit):
-    fitted = trends.trend_fit(past, limit=limit)
+def test_trend(past):
+    fitted = trends.trend_fit(past)
     found = {r.id: r for r in fitted.collect()}
     assert set(found) == {1, 2, 6, 7}  # one point gives no line
     assert found[1].slope == pytest.approx(5 / 7)
@@ -55,12 +54,32 @@ def test_trend(past, limit):
     assert found[6].slope is None and found[6].fitted is None  # one instant gives no line
 
 
-def test_large_users_get_the_same_trend(stand):
-    def fits(limit):
-        fitted = trends.trend_fit(stand.results, limit=limit)
-        return rows(fitted.select("id", F.round("fitted", 6).alias("f"), "points"))
-
-    assert fits(5) == fits(1_000_000)
+def test_hot_user_is_split_in_the_join_of_lines(spark):
+    """A third of all results belong to one user; the join must not keep them together."""
+    data = spark.range(600_000).select(
+        F.col("id"),
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5000 + 1).alias("user_id"),
+        F.lit("bdefs").alias("type"),
+        (F.lit(at("2024-01-01")).cast("timestamp_ntz") + F.make_dt_interval((F.col("id") % 900).cast("int"))).alias("taken_at"),
+        (F.col("id") % 46 + 15).cast("int").alias("score"),
+    )
+    small = {
+        "spark.sql.shuffle.partitions": "64",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+    }
+    old = {key: spark.conf.get(key, None) for key in small}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        fitted = trends.trend_fit(data.repartition(16))
+        fitted.collect()
+        assert "skew=true" in fitted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in old.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def test_reserve(past):
