@@ -15,6 +15,7 @@ from cairn.functions.bands import (
 )
 from cairn.functions.columns import percent, score_of
 from cairn.operators import ordered
+from cairn.session import durable
 
 
 def newest(rows: DataFrame, keys: list[str], time: str, n: int) -> DataFrame:
@@ -105,16 +106,16 @@ def advice_lookup_range(domain_rows: DataFrame, cuts: DataFrame) -> DataFrame:
     """Bands held as rows ``(type, domain, lo, hi, band)``: the band with ``lo < pct <= hi``.
 
     A percentage of 0 belongs to the lowest band, whose ``lo`` is below 0.
-    Ranges of one domain do not overlap. They are few and are broadcast when
-    their known size allows; the equality on type and domain carries the join
-    otherwise.
+    Ranges of one domain do not overlap. They are written down first: from the
+    known size the planner broadcasts them, and joins on type and domain if it
+    should not.
     """
     floor_free = bisbas_domain_score(F.col("domain"), F.col("domain_score"))
     pct = F.when(
         F.col("type") == BDEFS, percent(F.col("domain_score"), F.lit(domain_max(BDEFS)))
     ).otherwise(percent(floor_free, bisbas_domain_range(F.col("domain"))))
     rows = domain_rows.withColumn("pct", pct).alias("r")
-    cut = cuts.alias("c")
+    cut = durable(cuts, "cuts").alias("c")
     inside = (
         (F.col("r.type") == F.col("c.type"))
         & (F.col("r.domain") == F.col("c.domain"))

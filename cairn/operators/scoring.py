@@ -19,28 +19,41 @@ def questionnaire_max(kind: Column) -> Column:
     return F.when(kind == BDEFS, total_max(BDEFS)).when(kind == BISBAS, total_max(BISBAS))
 
 
+_NAMES = (*BDEFS_DOMAINS, *BISBAS_DOMAINS)
+_UNKNOWN = 1000
+
+
 def domain_place(domain: Column) -> Column:
     """Display position of a domain, unknown ones last."""
-    names = F.array(*[F.lit(d) for d in (*BDEFS_DOMAINS, *BISBAS_DOMAINS)])
-    place = F.array_position(names, domain)
-    return F.when(place > 0, place).otherwise(1000)
+    place = F.array_position(F.array(*[F.lit(d) for d in _NAMES]), domain)
+    return F.when(place > 0, place).otherwise(_UNKNOWN).cast("int")
 
 
 def score_questionnaire(answers: DataFrame) -> DataFrame:
     """Results from item rows ``(assessment_id, user_id, taken_at, type, domain, response)``.
 
     Both steps combine before their shuffle: items to domains, then the few
-    domains of an assessment into its map and total. Domains that are not in
-    the catalogue count like any other.
+    domains of an assessment into its map and total. Domains travel as their
+    catalogue place; only unknown ones, which count like any other, carry their
+    name along.
     """
-    key = [F.col("assessment_id").alias("id"), "user_id", "type", "taken_at"]
-    domains = answers.groupBy(*key, "domain").agg(F.sum("response").cast("int").alias("score"))
-    entry = F.struct(domain_place(F.col("domain")).alias("place"), "domain", "score")
+    place = domain_place(F.col("domain"))
+    placed = answers.select(
+        F.col("assessment_id").alias("id"), "user_id", "type", "taken_at", "response",
+        place.alias("place"), F.when(place == _UNKNOWN, F.col("domain")).alias("name"),
+    )
+    domains = placed.groupBy(*RESULT, "place", "name").agg(
+        F.sum("response").cast("int").alias("score")
+    )
     whole = domains.groupBy(*RESULT).agg(
         F.sum("score").cast("int").alias("score"),
-        F.sort_array(F.collect_list(entry)).alias("entries"),
+        F.sort_array(F.collect_list(F.struct("place", "name", "score"))).alias("entries"),
+    )
+    names = F.array(*[F.lit(d) for d in _NAMES])
+    pairs = F.transform(
+        "entries",
+        lambda e: F.struct(F.coalesce(e["name"], F.get(names, e["place"] - 1)), e["score"]),
     )
-    pairs = F.transform("entries", lambda e: F.struct(e["domain"], e["score"]))
     return whole.select(
         *RESULT,
         "score",

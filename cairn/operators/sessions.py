@@ -106,28 +106,42 @@ def _fold(chunks: DataFrame) -> DataFrame:
     )
 
 
-def _entries(folded: DataFrame) -> DataFrame:
-    """The entry each chunk should have had, from the exits of the chunks before.
+def _entries(folded: DataFrame, many: bool) -> DataFrame:
+    """Chunks that began wrongly, with the timer the chunks before them left set.
 
     A paused timer sits through chunks that hold starts only, so it is carried
-    over any number of them at once.
+    over any number of them at once. ``many`` tells that some user has too many
+    chunks for a plain window.
     """
-    order = Window.partitionBy("user_id").orderBy("chunk")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    left_by = F.struct(F.col("exit"))
-    last_acting = F.last(F.when(~F.col("inert"), left_by), ignorenulls=True).over(before)
+    ends = folded.select("user_id", "chunk", "inert", "entry", "exit")
+    if many:
+        before = ordered.scan(
+            ends, ["user_id"], ["chunk"], before=ordered.previous(F.struct("exit", "inert"))
+        )
+        acted = F.when(~F.col("before.inert"), F.struct("before.exit"))
+        known = ordered.scan(before, ["user_id"], ["chunk"], acting=ordered.latest(acted))
+    else:
+        order = Window.partitionBy("user_id").orderBy("chunk")
+        earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+        acted = F.when(~F.col("inert"), F.struct("exit"))
+        known = ends.withColumns(
+            {
+                "before": F.lag(F.struct("exit", "inert")).over(order),
+                "acting": F.last(acted, ignorenulls=True).over(earlier),
+            }
+        )
     paused = F.col("acting.exit").isNotNull() & F.col("acting.exit.resumed").isNull()
+    wanted = F.when(paused, F.col("acting.exit")).otherwise(F.col("before.exit"))
     return (
-        folded.select("user_id", "chunk", "inert", "entry", "exit")
-        .withColumn("acting", last_acting)
-        .withColumn("just_before", F.lag("exit").over(order))
-        .withColumn("wanted", F.when(paused, F.col("acting.exit")).otherwise(F.col("just_before")))
+        known.withColumn("wanted", wanted)
         .filter(~F.col("wanted").eqNullSafe(F.col("entry")))
         .select("user_id", "chunk", "wanted")
     )
 
 
-def reconstruct_sessions(events: DataFrame, chunk_rows: int = FOLD_ROWS) -> DataFrame:
+def reconstruct_sessions(
+    events: DataFrame, chunk_rows: int = FOLD_ROWS, chunk_limit: int = ordered.PLAIN_LIMIT
+) -> DataFrame:
     """Sessions from ``(user_id, event_id, ts, kind, planned_minutes, is_break, task_id)``.
 
     A start while a timer is set is ignored; ``toggle`` pauses and resumes and
@@ -157,29 +171,26 @@ def reconstruct_sessions(events: DataFrame, chunk_rows: int = FOLD_ROWS) -> Data
         ),
         "timer-chunks",
     )
+    many = not ordered.large_keys(chunks, ["user_id"], chunk_limit).isEmpty()
     folded = durable(_fold(chunks.withColumn("entry", F.lit(None).cast(_TIMER))), "folded")
-    stale = durable(_entries(folded), "stale")
+    stale = durable(_entries(folded, many), "stale")
     while not stale.isEmpty():
         again = chunks.join(stale, ["user_id", "chunk"]).withColumnRenamed("wanted", "entry")
         kept = folded.join(stale, ["user_id", "chunk"], "left_anti")
         folded = durable(kept.unionByName(_fold(again).select(*folded.columns)), "folded")
-        stale = durable(_entries(folded), "stale")
+        stale = durable(_entries(folded, many), "stale")
     return _finish(folded)
 
 
 def _finish(folded: DataFrame) -> DataFrame:
-    last = F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("chunk").desc()))
     closed = folded.select("user_id", F.explode("done").alias("s"))
     timer = F.col("exit")
     end = (
         F.when(timer["resumed"].isNotNull(), _close(timer, _ends(timer), F.lit(0).cast("bigint"), "completed"))
         .otherwise(_close(timer, F.lit(None).cast("bigint"), timer["left"], "open"))
     )
-    final = (
-        folded.select("user_id", "chunk", "exit").withColumn("place", last)
-        .filter((F.col("place") == 1) & timer.isNotNull())
-        .select("user_id", end.alias("s"))
-    )
+    last = folded.groupBy("user_id").agg(F.max_by("exit", "chunk").alias("exit"))
+    final = last.filter(timer.isNotNull()).select("user_id", end.alias("s"))
     completed = F.col("s.outcome") == "completed"
     return closed.unionByName(final).select(
         "user_id",

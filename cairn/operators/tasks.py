@@ -273,7 +273,8 @@ def delete_rows(rows: DataFrame, doomed: DataFrame, keys: list[str]):
     """
     asked = doomed.select(*keys).distinct()
     kept = rows.join(asked, keys, "left_anti")
-    hit = rows.select(*keys).distinct().withColumn("deleted", F.lit(True))
+    found = rows.select(*keys).join(asked, keys, "left_semi").distinct()
+    hit = found.withColumn("deleted", F.lit(True))
     outcome = asked.join(hit, keys, "left").withColumn(
         "deleted", F.coalesce("deleted", F.lit(False))
     )

@@ -63,10 +63,10 @@ def test_plans_out_of_range(spark):
     assert found(events) == [(3, "completed", 7200, 120)]
 
 
-@pytest.mark.parametrize("rows_per_chunk", [1, 2, 7, 50])
-def test_chunks_do_not_matter(spark, stand, rows_per_chunk):
+@pytest.mark.parametrize("sizes", [{"chunk_rows": 1}, {"chunk_rows": 7}, {"chunk_rows": 20, "chunk_limit": 3}])
+def test_chunks_do_not_matter(spark, stand, sizes):
     whole = found(stand.timer_events, chunk_rows=100_000)
-    assert found(stand.timer_events, chunk_rows=rows_per_chunk) == whole
+    assert found(stand.timer_events, **sizes) == whole
 
 
 def test_paused_through_many_starts(spark):
