@@ -23,3 +23,77 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+CHECKS["op5_adaptive_rules"] = r"""
+WITH docs AS (
+    SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents
+), words AS (
+    SELECT doc_id, lang, source, text,
+        list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+    FROM docs
+), grams AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM words WHERE len(w) >= 8)
+), twice AS (
+    SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams
+), covered AS (
+    SELECT doc_id, count(DISTINCT p) AS n
+    FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice WHERE c > 1) GROUP BY doc_id
+), stats AS (
+    SELECT doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+        length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+        len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+    FROM words LEFT JOIN covered USING (doc_id)
+), ratios AS (
+    SELECT *, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0.0 END AS symbol_ratio,
+        CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0.0 END AS dup_line_ratio,
+        CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0.0 END AS repeat_ratio,
+        CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0.0 END AS word_length
+    FROM stats
+), long AS (
+    SELECT lang, source, rule, CASE WHEN v < 1e-6 THEN -1000000
+        ELSE ceil(round(ln(v) / ln(1.01::DOUBLE / 0.99::DOUBLE), 6))::INT END AS bucket
+    FROM (UNPIVOT (SELECT lang, source, symbol_ratio::DOUBLE AS symbol_ratio, dup_line_ratio::DOUBLE AS dup_line_ratio,
+            repeat_ratio::DOUBLE AS repeat_ratio, word_length::DOUBLE AS word_length FROM ratios)
+        ON symbol_ratio, dup_line_ratio, repeat_ratio, word_length INTO NAME rule VALUE v)
+), parts AS (
+    SELECT lang, source, rule, bucket, count(*) AS n FROM long GROUP BY ALL
+), levels AS (
+    SELECT 0 AS level, lang, source, rule, bucket, n FROM parts
+    UNION ALL SELECT 1, lang, NULL, rule, bucket, sum(n) FROM parts GROUP BY lang, rule, bucket
+    UNION ALL SELECT 2, NULL, NULL, rule, bucket, sum(n) FROM parts GROUP BY rule, bucket
+), ranked AS (
+    SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rule ORDER BY bucket) AS upto,
+        sum(n) OVER (PARTITION BY level, lang, source, rule) AS docs FROM levels
+), places AS (
+    SELECT level, lang, source, rule, first(docs) AS docs,
+        min(bucket) FILTER (WHERE upto >= 0.25 * docs) AS b1, min(bucket) FILTER (WHERE upto >= 0.75 * docs) AS b3
+    FROM ranked GROUP BY level, lang, source, rule
+), quarts AS (
+    SELECT level, lang, source, rule, docs,
+        CASE WHEN b1 = -1000000 THEN 0 ELSE 2 / (1.01::DOUBLE / 0.99 + 1) * pow(1.01::DOUBLE / 0.99, b1) END AS q1,
+        CASE WHEN b3 = -1000000 THEN 0 ELSE 2 / (1.01::DOUBLE / 0.99 + 1) * pow(1.01::DOUBLE / 0.99, b3) END AS q3
+    FROM places
+), picked AS (
+    SELECT o.lang, o.source, o.rule,
+        CASE WHEN o.docs >= 200 THEN o.q1 WHEN w.docs >= 200 THEN w.q1 ELSE e.q1 END AS q1,
+        CASE WHEN o.docs >= 200 THEN o.q3 WHEN w.docs >= 200 THEN w.q3 ELSE e.q3 END AS q3
+    FROM quarts o JOIN quarts w ON w.level = 1 AND w.rule = o.rule AND w.lang IS NOT DISTINCT FROM o.lang
+    JOIN quarts e ON e.level = 2 AND e.rule = o.rule WHERE o.level = 0
+), limits AS (
+    SELECT lang, source,
+        max(greatest(q3 + 3 * (q3 - q1), 0.1)) FILTER (WHERE rule = 'symbol_ratio') AS most_symbol,
+        max(greatest(q3 + 3 * (q3 - q1), 0.3)) FILTER (WHERE rule = 'dup_line_ratio') AS most_dup,
+        max(greatest(q3 + 3 * (q3 - q1), 0.3)) FILTER (WHERE rule = 'repeat_ratio') AS most_repeat,
+        max(greatest(q3 + 3 * (q3 - q1), 8)) FILTER (WHERE rule = 'word_length') AS most_word,
+        max(q1 - 3 * (q3 - q1)) FILTER (WHERE rule = 'word_length') AS least_word
+    FROM picked GROUP BY lang, source
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND symbol_ratio <= most_symbol
+        AND dup_line_ratio <= most_dup AND repeat_ratio <= most_repeat AND word_length <= most_word
+        AND word_length >= least_word AS kept
+FROM ratios r JOIN limits l ON r.lang IS NOT DISTINCT FROM l.lang AND r.source IS NOT DISTINCT FROM l.source
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import line_dedup, mixing, near_dedup, packing, sharding, toxicity
+from cairn.llm import fingerprints, language, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, sharding, toxicity
 from cairn.llm.common import documents
 
 SHARDS = 16
@@ -28,6 +28,13 @@ def held_out(parts: int, part: int):
     return F.coalesce(left, F.lit(False))
 
 
+def op1_language_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every text."""
+    docs = documents(spark, folder)
+    model = language.fit(docs.select("doc_id", "text", "lang").filter(~held_out(3, 1)))
+    return language.identify(docs, model).select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score")
+
+
 def op2_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in 16 shards by jump consistent hashing of doc_id."""
     return sharding.manifest(documents(spark, folder), SHARDS)
@@ -49,6 +56,19 @@ def op4_mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(documents(spark, folder))
 
 
+def op5_adaptive_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of every text and the verdict of rules with thresholds per language and source."""
+    return quality_rules.judged(documents(spark, folder))
+
+
+def op6_rule_ensemble(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every text by weighted rules over its statistics."""
+    labels = spark.read.parquet(f"{folder}/labels.parquet").filter(~held_out(5, 0))
+    return quality_classifier.scored(documents(spark, folder), labels, "quality").select(
+        "doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 def op7_near_classes(spark: SparkSession, folder: str) -> DataFrame:
     """Class of near duplicates of every document."""
     return near_dedup.classes(documents(spark, folder))
@@ -59,16 +79,25 @@ def op8_packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(documents(spark, folder), vocabulary())
 
 
+def op9_bottom_k(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint of every text and of its edited text, and how alike they are."""
+    return fingerprints.edited_pairs(documents(spark, folder))
+
+
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Lines found in three documents or more, kept in the last of them only."""
     return line_dedup.line_report(documents(spark, folder))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_filters": op1_language_filters,
     "op2_jump_shards": op2_jump_shards,
     "op3_toxic_segments": op3_toxic_segments,
     "op4_mixed_sources": op4_mixed_sources,
+    "op5_adaptive_rules": op5_adaptive_rules,
+    "op6_rule_ensemble": op6_rule_ensemble,
     "op7_near_classes": op7_near_classes,
     "op8_packed_sequences": op8_packed_sequences,
+    "op9_bottom_k": op9_bottom_k,
     "op10_line_dedup": op10_line_dedup,
 }
