@@ -208,7 +208,7 @@ def shared_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
 
 def _split(text: str | None, gone: list[dict] | None, least: int) -> tuple[int, list[bytes]]:
     lines = (text or "").encode().split(b"\n")
-    if not gone:
+    if gone is None or len(gone) == 0:
         return len(lines), lines
     lost = {(x["h"], x["f"]) for x in gone}
     return len(lines), [x for x in lines if _hashes(x, least) not in lost]
