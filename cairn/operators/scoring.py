@@ -20,45 +20,44 @@ def questionnaire_max(kind: Column) -> Column:
 
 
 _NAMES = (*BDEFS_DOMAINS, *BISBAS_DOMAINS)
-_UNKNOWN = 1000
 
 
-def domain_place(domain: Column) -> Column:
-    """Display position of a domain, unknown ones last."""
-    place = F.array_position(F.array(*[F.lit(d) for d in _NAMES]), domain)
-    return F.when(place > 0, place).otherwise(_UNKNOWN).cast("int")
-
-
-def score_questionnaire(answers: DataFrame) -> DataFrame:
+def score_questionnaire(answers: DataFrame, validated: bool = False) -> DataFrame:
     """Results from item rows ``(assessment_id, user_id, taken_at, type, domain, response)``.
 
-    Both steps combine before their shuffle: items to domains, then the few
-    domains of an assessment into its map and total. Domains travel as their
-    catalogue place; only unknown ones, which count like any other, carry their
-    name along.
+    One hash aggregation with a sum per catalogue domain, combined before its
+    only shuffle. Names outside the catalogue count like any other; they are
+    gathered in a side branch that filters the answers once more. ``validated``
+    tells that the answers passed their check, which refuses such names, and
+    leaves the branch out.
     """
-    place = domain_place(F.col("domain"))
-    placed = answers.select(
-        F.col("assessment_id").alias("id"), "user_id", "type", "taken_at", "response",
-        place.alias("place"), F.when(place == _UNKNOWN, F.col("domain")).alias("name"),
-    )
-    domains = placed.groupBy(*RESULT, "place", "name").agg(
-        F.sum("response").cast("int").alias("score")
-    )
-    whole = domains.groupBy(*RESULT).agg(
-        F.sum("score").cast("int").alias("score"),
-        F.sort_array(F.collect_list(F.struct("place", "name", "score"))).alias("entries"),
-    )
-    names = F.array(*[F.lit(d) for d in _NAMES])
-    pairs = F.transform(
-        "entries",
-        lambda e: F.struct(F.coalesce(e["name"], F.get(names, e["place"] - 1)), e["score"]),
-    )
+    domain, response = F.col("domain"), F.col("response")
+    placed = answers.withColumnRenamed("assessment_id", "id")
+    sums = [
+        F.sum(F.when(domain == name, response)).cast("int").alias(f"_sum{place}")
+        for place, name in enumerate(_NAMES)
+    ]
+    whole = placed.groupBy(*RESULT).agg(F.sum("response").cast("int").alias("score"), *sums)
+    pairs = [
+        F.struct(F.lit(name).alias("name"), F.col(f"_sum{place}").alias("score"))
+        for place, name in enumerate(_NAMES)
+    ]
+    entries = F.filter(F.array(*pairs), lambda e: e["score"].isNotNull())
+    if not validated:
+        other = placed.filter(~F.coalesce(domain.isin(*_NAMES), F.lit(False)))
+        more = other.groupBy(*RESULT, "domain").agg(F.sum("response").cast("int").alias("_sum")).groupBy(*RESULT).agg(
+            F.sort_array(F.collect_list(F.struct(domain.alias("name"), F.col("_sum").alias("score")))).alias("_more")
+        )
+        same = F.lit(True)
+        for key in RESULT:
+            same = same & F.col(f"w.{key}").eqNullSafe(F.col(f"m.{key}"))
+        whole = whole.alias("w").join(more.alias("m"), same, "left").select("w.*", "_more")
+        entries = F.concat(entries, F.coalesce("_more", F.array().cast("array<struct<name:string,score:int>>")))
     return whole.select(
         *RESULT,
         "score",
         questionnaire_max(F.col("type")).alias("max_score"),
-        F.map_from_entries(pairs).alias("domain_scores"),
+        F.map_from_entries(entries).alias("domain_scores"),
     )
 
 

@@ -167,8 +167,11 @@ def task_descendants(tasks: DataFrame, roots: DataFrame) -> DataFrame:
 
     ``root_id`` is the nearest given task above, so each task appears once and
     the result never outgrows the tasks. Pointers double each round: a chain of
-    a million levels takes twenty joins, not a million. Tasks caught in a loop
-    of parents that no root is part of are below no root and drop out.
+    a million levels takes twenty joins, not a million. A round writes only the
+    tasks that moved on; settled ones are written once and read again as
+    targets. Tasks caught in a loop of parents that no root is part of are below
+    no root and drop out: after as many rounds as the longest chain of the
+    tasks in question could take, whoever still searches is in such a loop.
     """
     given = roots.select("user_id", F.col("id").alias("root_id")).distinct()
     tagged = tasks.select("user_id", "id", "parent_id").join(
@@ -186,32 +189,34 @@ def task_descendants(tasks: DataFrame, roots: DataFrame) -> DataFrame:
         "descendants",
     )
     searching = F.col("jump").isNotNull()
-    left = state.filter(searching).count()
+    done = state.filter(F.col("root_id").isNotNull())
+    moving = state.filter(searching)
+    left = moving.count()
     rounds = math.ceil(math.log2(left + 1)) + 1
     while left and rounds:
-        target = state.select(
+        target = done.unionByName(moving).select(
             "user_id",
             F.col("id").alias("jump"),
             F.col("root_id").alias("t_root"),
             F.col("jump").alias("t_jump"),
             F.col("depth").alias("t_depth"),
         )
-        moved = state.filter(searching).join(target, ["user_id", "jump"], "left").select(
-            "user_id",
-            "id",
-            F.col("t_root").alias("root_id"),
-            F.col("t_jump").alias("jump"),
-            (F.col("depth") + F.coalesce("t_depth", F.lit(0))).alias("depth"),
-        )
-        # Lost rows are dropped: whoever points at one is lost as well.
-        settled = state.filter(~searching)
-        state = durable(
-            settled.unionByName(moved).filter("root_id is not null or jump is not null"),
+        # Lost rows are dropped by the inner join: whoever points at one is lost as well.
+        moved = durable(
+            moving.join(target, ["user_id", "jump"]).select(
+                "user_id",
+                "id",
+                F.col("t_root").alias("root_id"),
+                F.col("t_jump").alias("jump"),
+                (F.col("depth") + F.col("t_depth")).alias("depth"),
+            ),
             "descendants",
         )
-        left = state.filter(searching).count()
+        done = done.unionByName(moved.filter(F.col("root_id").isNotNull()))
+        moving = moved.filter(searching)
+        left = moving.count()
         rounds -= 1
-    return state.filter(F.col("root_id").isNotNull()).select("user_id", "id", "root_id", "depth")
+    return done.select("user_id", "id", "root_id", "depth")
 
 
 def delete_tasks(tasks: DataFrame, sessions: DataFrame, doomed: DataFrame):
@@ -271,32 +276,51 @@ def delete_rows(rows: DataFrame, doomed: DataFrame, keys: list[str]):
     For results and sessions by ``user_id, id`` and for daily rows by
     ``user_id, date``; the counters are not adjusted.
     """
-    asked = doomed.select(*keys).distinct()
-    kept = rows.join(asked, keys, "left_anti")
-    found = rows.select(*keys).join(asked, keys, "left_semi").distinct()
-    hit = found.withColumn("deleted", F.lit(True))
-    outcome = asked.join(hit, keys, "left").withColumn(
-        "deleted", F.coalesce("deleted", F.lit(False))
-    )
+    marked = _marked(rows, doomed.select(*keys).distinct(), keys)
+    kept = marked.filter("_stored and not _asked").select(*rows.columns)
+    outcome = marked.filter("_asked").groupBy(*keys).agg(F.bool_or("_stored").alias("deleted"))
     return kept, outcome
 
 
+def _marked(rows: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows and asked keys in one full join, as ``_stored`` and ``_asked``, written once.
+
+    What is kept and what was found both read that table, so neither the rows
+    nor the keys are derived again however they came about.
+    """
+    stored = rows.withColumn("_stored", F.lit(True))
+    joined = stored.join(asked.withColumn("_asked", F.lit(True)), keys, "full")
+    flags = {c: F.coalesce(c, F.lit(False)) for c in ("_stored", "_asked")}
+    return durable(joined.withColumns(flags), "marked")
+
+
 def delete_all_results(results: DataFrame, users: DataFrame):
     """Remove all results of the given users, as ``(kept, counts)``."""
     given = _given(users)
-    removed = results.join(given, "user_id", "left_semi").groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("deleted")
-    )
+    # Written once; a left join, which can still be split at a user with very many results.
+    marked = durable(results.join(given.withColumn("_asked", F.lit(True)), "user_id", "left"), "marked")
+    removed = marked.filter("_asked").groupBy("user_id").agg(F.count(F.lit(1)).alias("deleted"))
     counts = given.join(removed, "user_id", "left").select(
         "user_id", F.coalesce("deleted", F.lit(0)).alias("deleted")
     )
-    return results.join(given, "user_id", "left_anti"), counts
+    return marked.filter("_asked is null").select(*results.columns), counts
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows only in one of two snapshots, and how many are in both."""
-    gone = before.exceptAll(after).withColumn("change", F.lit("removed"))
-    new = after.exceptAll(before).withColumn("change", F.lit("added"))
-    same = before.intersect(after).withColumn("change", F.lit("same"))
-    return gone.unionByName(new).unionByName(same)
+    """Rows that were removed, added or stayed the same, each with its number ``n``.
+
+    Snapshots are bags: a row that is twice in one and once in the other is the
+    same once, and removed or added once. One aggregation over both of them.
+    """
+    sides = before.withColumn("_side", F.lit(0)).unionByName(after.withColumn("_side", F.lit(1)))
+    counted = sides.groupBy(*before.columns).agg(
+        F.count_if(F.col("_side") == 0).alias("_old"), F.count_if(F.col("_side") == 1).alias("_new")
+    )
+    old, new = F.col("_old"), F.col("_new")
+    changes = F.array(*[
+        F.struct(F.lit(name).alias("change"), n.alias("n"))
+        for name, n in (("removed", old - new), ("added", new - old), ("same", F.least(old, new)))
+    ])
+    each = F.explode(F.filter(changes, lambda c: c["n"] > 0)).alias("_c")
+    return counted.select(*before.columns, each).select(*before.columns, "_c.*")
 

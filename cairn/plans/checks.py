@@ -202,15 +202,15 @@ SELECT user_id, status, id, title FROM (
   FROM fx_tasks WHERE status IN ('active', 'pending')) x
 WHERE n = 1"""
 PARTS["fx_journal"] = """
-SELECT e.user_id, c.conv_id AS id, c.values_focus, c.challenge_context, c.thoughts_feelings, c.defusion_reframe,
+SELECT e.user_id, c.conv_id * 1000000 + c.entry AS id, c.values_focus, c.challenge_context, c.thoughts_feelings, c.defusion_reframe,
        c.committed_action, e.ts AS created_at
-FROM (SELECT conv_id,
-             max(CASE WHEN turn = 0 THEN text END) AS values_focus,
-             max(CASE WHEN turn = 1 THEN text END) AS challenge_context,
-             max(CASE WHEN turn = 2 THEN text END) AS thoughts_feelings,
-             max(CASE WHEN turn = 3 THEN text END) AS defusion_reframe,
-             max(CASE WHEN turn = 4 THEN text END) AS committed_action
-      FROM conversations GROUP BY conv_id) c
+FROM (SELECT conv_id, turn // 5 AS entry,
+             max(CASE WHEN turn % 5 = 0 THEN text END) AS values_focus,
+             max(CASE WHEN turn % 5 = 1 THEN text END) AS challenge_context,
+             max(CASE WHEN turn % 5 = 2 THEN text END) AS thoughts_feelings,
+             max(CASE WHEN turn % 5 = 3 THEN text END) AS defusion_reframe,
+             max(CASE WHEN turn % 5 = 4 THEN text END) AS committed_action
+      FROM conversations GROUP BY conv_id, turn // 5) c
 JOIN events e ON e.event_id = c.conv_id"""
 PARTS["fx_journal_stripped"] = r"""
 SELECT user_id, id, created_at,
@@ -609,9 +609,11 @@ FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC
 _check("task_board", """
 SELECT *, CASE status WHEN 'active' THEN 0 WHEN 'pending' THEN 1 ELSE 2 END AS board_rank FROM fx_tasks""")
 _check("task_snapshot_diff", """
-SELECT *, 'removed' AS change FROM (SELECT * FROM fx_before EXCEPT ALL SELECT * FROM fx_after) a
-UNION ALL SELECT *, 'added' FROM (SELECT * FROM fx_after EXCEPT ALL SELECT * FROM fx_before) b
-UNION ALL SELECT *, 'same' FROM (SELECT * FROM fx_before INTERSECT SELECT * FROM fx_after) c""")
+SELECT user_id, id, status, change, count(*) AS n FROM (
+  SELECT *, 'removed' AS change FROM (SELECT * FROM fx_before EXCEPT ALL SELECT * FROM fx_after) a
+  UNION ALL SELECT *, 'added' FROM (SELECT * FROM fx_after EXCEPT ALL SELECT * FROM fx_before) b
+  UNION ALL SELECT *, 'same' FROM (SELECT * FROM fx_before INTERSECT ALL SELECT * FROM fx_after) c) x
+GROUP BY user_id, id, status, change""")
 
 # --- bands, profiles, nudges -----------------------------------------------------------
 

@@ -29,13 +29,6 @@ class StandIns:
         """One of the driver's tables."""
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    @cached_property
-    def spread_orders(self) -> DataFrame:
-        """Orders on all cores: each becomes dozens of rows, but the file is one input split."""
-        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        columns = ("o_orderkey", "o_custkey", "o_orderdate")
-        return self.table("orders").select(*columns).repartition(partitions)
-
     @cached_property
     def tasks(self) -> DataFrame:
         """Trees of four tasks out of orders: n, n+1 under n, n+2 under n+1, n+3 under n."""
@@ -100,7 +93,7 @@ class StandIns:
             - 1
         )
         lowest = (F.col("i.type") == BDEFS) & (order % 30 == 0)
-        return self.spread_orders.select(
+        return self.table("orders").select(
             "o_orderkey", "o_custkey", "o_orderdate", F.explode(F.array(*items)).alias("i")
         ).select(
             (order * 3 + F.col("i.offset")).alias("assessment_id"),
@@ -124,7 +117,7 @@ class StandIns:
         ink = colour(order + trial)
         word = colour(order + trial + (order * trial + 1) % 4)
         right = (order * 17 + trial * 29) % 10 < 4 + user % 7
-        return self.spread_orders.select(
+        return self.table("orders").select(
             "o_orderkey", "o_custkey", "o_orderdate",
             F.explode(F.array(*[F.lit(i) for i in range(10)])).alias("trial_no"),
         ).select(
@@ -146,7 +139,7 @@ class StandIns:
     @cached_property
     def questionnaires(self) -> DataFrame:
         """Scored questionnaires."""
-        return scoring.score_questionnaire(self.answers)
+        return scoring.score_questionnaire(self.answers, validated=True)
 
     @cached_property
     def stroop(self) -> DataFrame:
@@ -160,18 +153,19 @@ class StandIns:
 
     @cached_property
     def journal(self) -> DataFrame:
-        """Conversations of fewer than five turns leave texts null and are rejected."""
+        """All turns of conversations, five to an entry; entries that lack one are rejected."""
         names = list(validate.JOURNAL_LIMITS)
         texts = [
-            F.max(F.when(F.col("turn") == turn, F.col("text"))).alias(name)
+            F.max(F.when(F.col("turn") % 5 == turn, F.col("text"))).alias(name)
             for turn, name in enumerate(names)
         ]
-        talks = self.table("conversations").groupBy("conv_id").agg(*texts)
+        entry = F.floor(F.col("turn") / 5).cast("bigint").alias("entry")
+        talks = self.table("conversations").groupBy("conv_id", entry).agg(*texts)
         events = self.table("events").select(
             F.col("event_id").alias("conv_id"), "user_id", F.col("ts").alias("created_at")
         )
         return talks.join(events, "conv_id").select(
-            "user_id", F.col("conv_id").alias("id"), *names, "created_at"
+            "user_id", (F.col("conv_id") * 1_000_000 + F.col("entry")).alias("id"), *names, "created_at"
         )
 
     @cached_property
