@@ -69,6 +69,7 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def rows_of(hashes: np.ndarray, rows: int, read: int) -> np.ndarray:
     """Row of an n-gram for one of its reads."""
     mixed = (hashes + np.uint64((read + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1)) * MIX
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * MIX
     return ((mixed >> np.uint64(32)) * np.uint64(rows)) >> np.uint64(32)
 
 
