@@ -129,65 +129,77 @@ def advice_lookup_range(domain_rows: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def history_entries(results: DataFrame, n: int = 10, kind: str | None = None) -> DataFrame:
-    """Header and lines of the newest ``n`` results per user, readings as codes."""
+    """The newest ``n`` results per user as typed lines: no wording, only numbers and codes.
+
+    ``lines`` holds structs of ``part`` (``total``, ``domain``, ``time`` or
+    ``reading``), ``name`` (a domain), ``value``, ``out_of`` and ``code`` (a band
+    or reading); what does not apply is null. A missing score map counts as an
+    empty one: the total and the readings stay. :func:`worded` puts a caller's
+    labels to the lines.
+    """
     rows = recent_assessments(results, n, kind)
-    score, whole, scores = F.col("score"), F.col("max_score"), F.col("domain_scores")
-    is_bisbas = F.col("type") == BISBAS
+    score, whole = F.col("score"), F.col("max_score")
+    scores = F.coalesce("domain_scores", F.create_map().cast("map<string,int>"))
+    own = F.col("type")
+    is_bdefs, is_bisbas, is_stroop = (own == k for k in (BDEFS, BISBAS, STROOP))
+    none = F.lit(None)
+
+    def line(part: str, name=none, value=none, out_of=none, code=none) -> Column:
+        return F.struct(
+            F.lit(part).alias("part"), name.cast("string").alias("name"), value.cast("int").alias("value"),
+            out_of.cast("int").alias("out_of"), code.cast("string").alias("code"),
+        )
 
-    header = F.concat(
-        F.lit("#"), F.col("id").cast("string"), F.lit(" "), F.upper("type"), F.lit("  ("),
-        F.date_format("taken_at", "yyyy-MM-dd HH:mm"), F.lit(")"),
+    total = F.when(is_bisbas, line("total", none, bisbas_total(score), F.lit(bisbas_total_range()))).otherwise(
+        line("total", none, score, whole)
     )
-    first = F.when(
-        is_bisbas,
-        F.concat(
-            F.lit("Endorsement score: "), bisbas_total(score).cast("string"),
-            F.lit(f"/{bisbas_total_range()}"),
-        ),
-    ).otherwise(
-        F.concat(F.lit("Score: "), score.cast("string"), F.lit("/"), whole.cast("string"))
-    )
-
-    def with_band(line: Column, kind_name: str, entry: Column) -> Column:
-        band = advice_band(F.lit(kind_name), entry["key"], entry["value"])
-        return F.concat(line, F.coalesce(F.concat(F.lit(" ["), band, F.lit("]")), F.lit("")))
-
-    def bdefs_line(entry: Column) -> Column:
-        line = F.concat(entry["key"], F.lit(": "), entry["value"].cast("string"))
-        return with_band(line, BDEFS, entry)
 
-    def bisbas_line(entry: Column) -> Column:
-        shown = F.greatest(bisbas_domain_range(entry["key"]), F.lit(1))
-        line = F.concat(
-            entry["key"], F.lit(": "),
-            bisbas_domain_score(entry["key"], entry["value"]).cast("string"),
-            F.lit("/"), shown.cast("string"),
+    def domain(entry: Column) -> Column:
+        name, value = entry["key"], entry["value"]
+        floor_free = line(
+            "domain", name, bisbas_domain_score(name, value),
+            F.greatest(bisbas_domain_range(name), F.lit(1)), advice_band(F.lit(BISBAS), name, value),
         )
-        return with_band(line, BISBAS, entry)
-
-    avg_ms = score_of(scores, AVG_TIME_KEY)
-    entries = F.map_entries(scores)
-    middle = (
-        F.when(F.col("type") == BDEFS, F.transform(entries, bdefs_line))
-        .when(is_bisbas, F.transform(entries, bisbas_line))
-        .otherwise(
-            F.array(F.concat(F.lit("Avg response: "), avg_ms.cast("string"), F.lit("ms")))
+        return F.when(is_bisbas, floor_free).otherwise(
+            line("domain", name, value, none, advice_band(F.lit(BDEFS), name, value))
         )
+
+    time = score_of(scores, AVG_TIME_KEY)
+    no_lines = F.array().cast("array<struct<part:string,name:string,value:int,out_of:int,code:string>>")
+    middle = F.when(is_bdefs | is_bisbas, F.transform(F.map_entries(scores), domain)).when(
+        is_stroop, F.array(line("time", none, time))
+    ).otherwise(no_lines)
+    codes = (
+        F.when(is_bdefs, F.array(bdefs_band(score, whole)))
+        .when(is_bisbas, bisbas_profile_codes(score, scores))
+        .when(is_stroop, F.array(stroop_accuracy_code(score, whole), stroop_speed_code(time)))
     )
-    reading = (
-        F.when(F.col("type") == BDEFS, bdefs_band(score, whole))
-        .when(is_bisbas, F.array_join(bisbas_profile_codes(score, scores), " "))
-        .when(
-            F.col("type") == STROOP,
-            F.concat(stroop_accuracy_code(score, whole), F.lit(" "), stroop_speed_code(avg_ms)),
-        )
+    readings = F.transform(
+        F.coalesce(F.array_compact(codes), F.array().cast("array<string>")), lambda c: line("reading", none, none, none, c)
     )
     return rows.select(
-        "user_id", "id", "rank", header.alias("header"),
-        F.concat(F.array(first), middle, F.array(reading)).alias("lines"),
+        "user_id", "id", "rank", "type", "taken_at", F.concat(F.array(total), middle, readings).alias("lines")
     )
 
 
+def worded(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row per line with the caller's ``label`` for its ``part`` and ``code``, null where there is none.
+
+    ``labels`` is (part, code, label); a null code labels all lines of a part
+    that have no label for theirs. The table is written first, so the planner
+    knows its size and decides how to join.
+    """
+    known = durable(labels.select("part", "code", "label"), "labels")
+    lines = entries.select("*", F.posexplode("lines").alias("line_no", "line")).drop("lines")
+    lines = lines.select(*[c for c in lines.columns if c != "line"], "line.*").alias("l")
+    exact = known.filter(F.col("code").isNotNull()).select("part", "code", "label").alias("x")
+    plain = known.filter(F.col("code").isNull()).select("part", "label").alias("p")
+    found = lines.join(
+        exact, (F.col("l.part") == F.col("x.part")) & (F.col("l.code") == F.col("x.code")), "left"
+    ).join(plain, F.col("l.part") == F.col("p.part"), "left")
+    return found.select("l.*", F.coalesce("x.label", "p.label").alias("label"))
+
+
 # --- chart data ----------------------------------------------------------------
 
 

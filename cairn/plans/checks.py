@@ -401,32 +401,59 @@ UNION ALL SELECT 'focus_sessions', count(*), count(DISTINCT user_id), min(user_i
 UNION ALL SELECT 'daily_log', count(*), count(DISTINCT user_id), min(user_id), max(user_id) FROM fx_daily
 UNION ALL SELECT 'assessments', count(*), count(DISTINCT user_id), min(user_id), max(user_id) FROM fx_results
 UNION ALL SELECT 'act_journal_entries', count(*), count(DISTINCT user_id), min(user_id), max(user_id) FROM fx_journal_checked WHERE reasons = ''""")
-_check("decode_tasks", """
-SELECT user_id, id, title, parent_id, CASE WHEN id % 7 = 3 THEN 'someday' ELSE status END AS status,
-       CASE WHEN id % 11 = 5 THEN NULL ELSE created_at END AS created_at,
-       CASE WHEN id % 13 = 1 THEN NULL ELSE completed_at END AS completed_at,
-       concat_ws('|', CASE WHEN id % 7 = 3 THEN 'status' END, CASE WHEN id % 11 = 5 THEN 'created_at' END) AS reasons
-FROM fx_tasks""")
-_check("decode_sessions", """
-SELECT user_id, event_id AS id, duration_minutes, CASE WHEN event_id % 13 = 1 THEN NULL ELSE ts END AS completed_at,
-       concat_ws('|', CASE WHEN duration_minutes <= 0 THEN 'duration_minutes' END,
-                 CASE WHEN event_id % 13 = 1 THEN 'completed_at' END) AS reasons
-FROM fx_activity WHERE kind = 'focus'""")
-_check("decode_assessments", """
-SELECT r.user_id, r.id, r.type, r.score, r.max_score, r.taken_at,
-       CASE WHEN r.id % 9 = 2 THEN 0 ELSE s.domains END AS domains,
-       CASE WHEN r.id % 9 = 2 THEN NULL ELSE s.domain_sum END AS domain_sum,
-       CASE WHEN r.id % 9 = 2 THEN 'domain_scores' ELSE '' END AS reasons
-FROM fx_results r JOIN (SELECT id, CAST(count(*) AS INTEGER) AS domains, CAST(sum(domain_score) AS INTEGER) AS domain_sum
-                        FROM fx_domain_all GROUP BY id) s ON s.id = r.id""")
-_check("decode_journal", """
-SELECT user_id, id, values_focus, CASE WHEN id % 5 = 2 THEN NULL ELSE created_at END AS created_at,
-       CASE WHEN id % 5 = 2 THEN 'created_at' ELSE '' END AS reasons
-FROM fx_journal""")
+_TORN = "'{\"id\": ' || id || ', torn'"
+_check("decode_tasks", f"""
+SELECT CASE WHEN NOT torn THEN user_id END AS user_id, CASE WHEN NOT torn THEN id END AS id,
+       CASE WHEN NOT torn THEN title END AS title,
+       CASE WHEN NOT torn AND id % 17 <> 4 THEN parent_id END AS parent_id,
+       CASE WHEN torn THEN NULL WHEN id % 7 = 3 THEN 'someday' ELSE status END AS status,
+       CASE WHEN NOT torn AND id % 11 <> 5 THEN created_at END AS created_at,
+       CASE WHEN NOT torn AND id % 13 <> 1 THEN completed_at END AS completed_at,
+       CASE WHEN torn THEN 'line' ELSE concat_ws('|', CASE WHEN id % 17 = 4 THEN 'parent_id' END,
+            CASE WHEN id % 7 = 3 THEN 'status' END, CASE WHEN id % 11 = 5 THEN 'created_at' END) END AS reasons,
+       CASE WHEN NOT torn AND id % 17 = 4 THEN 'zz' END AS raw_parent, CASE WHEN torn THEN {_TORN} END AS raw_line
+FROM (SELECT *, id % 19 = 6 AS torn FROM fx_tasks) x""")
+_check("decode_sessions", f"""
+SELECT CASE WHEN NOT torn THEN user_id END AS user_id, CASE WHEN NOT torn THEN id END AS id,
+       CASE WHEN NOT torn AND id % 17 <> 4 THEN duration_minutes END AS duration_minutes,
+       CASE WHEN NOT torn AND id % 13 <> 1 THEN ts END AS completed_at,
+       CASE WHEN torn THEN 'line' ELSE concat_ws('|', CASE WHEN duration_minutes <= 0 OR id % 17 = 4 THEN 'duration_minutes' END,
+                 CASE WHEN id % 13 = 1 THEN 'completed_at' END) END AS reasons,
+       CASE WHEN torn THEN {_TORN} END AS raw_line
+FROM (SELECT *, event_id AS id, event_id % 19 = 6 AS torn FROM fx_activity WHERE kind = 'focus') x""")
+_check("decode_assessments", f"""
+SELECT CASE WHEN NOT torn THEN user_id END AS user_id, CASE WHEN NOT torn THEN id END AS id,
+       CASE WHEN NOT torn THEN type END AS type, CASE WHEN NOT torn AND id % 17 <> 4 THEN score END AS score,
+       CASE WHEN NOT torn THEN max_score END AS max_score, CASE WHEN NOT torn THEN taken_at END AS taken_at,
+       CASE WHEN torn OR id % 9 = 2 THEN 0 ELSE domains END AS domains,
+       CASE WHEN torn OR id % 9 = 2 THEN NULL ELSE domain_sum END AS domain_sum,
+       CASE WHEN torn THEN 'line' ELSE concat_ws('|', CASE WHEN id % 17 = 4 THEN 'score' END,
+            CASE WHEN id % 9 = 2 THEN 'domain_scores' END) END AS reasons,
+       CASE WHEN torn THEN {_TORN} END AS raw_line
+FROM (SELECT r.*, s.domains, s.domain_sum, r.id % 19 = 6 AS torn
+      FROM fx_results r JOIN (SELECT id, CAST(count(*) AS INTEGER) AS domains, CAST(sum(domain_score) AS INTEGER) AS domain_sum
+                        FROM fx_domain_all GROUP BY id) s ON s.id = r.id) x""")
+_check("decode_journal", f"""
+SELECT CASE WHEN NOT torn THEN user_id END AS user_id, CASE WHEN NOT torn THEN id END AS id,
+       CASE WHEN NOT torn THEN values_focus END AS values_focus,
+       CASE WHEN NOT torn AND id % 5 <> 2 THEN created_at END AS created_at,
+       CASE WHEN torn THEN 'line' WHEN id % 5 = 2 THEN 'created_at' ELSE '' END AS reasons,
+       CASE WHEN torn THEN {_TORN} END AS raw_line
+FROM (SELECT *, id % 19 = 6 AS torn FROM fx_journal) x""")
+_check("sink_append_tasks", "SELECT user_id, id, title, parent_id, status, created_at, completed_at FROM fx_tasks")
+_check("sink_append_assessments", """
+SELECT r.user_id, r.id, r.type, r.score, r.max_score, r.taken_at, s.domains
+FROM fx_results r JOIN (SELECT id, CAST(count(*) AS INTEGER) AS domains FROM fx_domain_all GROUP BY id) s ON s.id = r.id""")
+_check("sink_append_journal", """
+SELECT user_id, id, values_focus, committed_action, created_at FROM fx_journal_checked WHERE reasons = ''""")
+_check("sink_daily_log", """
+SELECT user_id, date, tasks_completed, focus_minutes + CASE WHEN user_id % 2 = 0 THEN 60 ELSE 0 END AS focus_minutes
+FROM fx_daily""")
 _check("encode_assessments", """
 SELECT user_id, id, type, score, max_score, domain_scores, strftime(taken_at, '%Y-%m-%dT%H:%M:%S') AS taken_at
 FROM fx_results""")
-_check("message_corpus", "SELECT doc_id, line_no, message FROM fx_bullets")
+_check("message_corpus", "SELECT message, count(*) AS n FROM fx_bullets GROUP BY message")
+_check("message_corpus_fallback", "SELECT 'fallback ' || lang AS message, count(*) AS n FROM documents GROUP BY lang")
 _check("dedup_keep_first", """
 SELECT text_hash, doc_id, source, n_chars FROM (
   SELECT sha256(text) AS text_hash, doc_id, source, n_chars, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS n
@@ -657,29 +684,35 @@ _check("act_guidance_code", """
 SELECT user_id, CASE WHEN suggest_breakdown AND add_reassurance THEN 'both' WHEN add_reassurance THEN 'reassurance'
                      WHEN suggest_breakdown THEN 'breakdown' ELSE 'neither' END AS guidance FROM fx_blended""")
 _check("assign_nudge", """
-SELECT d.user_id, d.date, m.number, m.message
-FROM (SELECT user_id, date, (user_id * 7919 + CAST(date - DATE '1970-01-01' AS BIGINT) * 104729)
-             % (SELECT count(*) FROM fx_bullets) AS number FROM fx_daily) d
-JOIN (SELECT message, row_number() OVER (ORDER BY doc_id, line_no) - 1 AS number FROM fx_bullets) m ON m.number = d.number""")
+SELECT d.list, d.user_id, d.date, m.number, m.message
+FROM (SELECT list, user_id, date, (user_id * 7919 + CAST(date - DATE '1970-01-01' AS BIGINT) * 104729) % n AS number
+      FROM fx_daily, (SELECT CASE WHEN line_no % 3 = 0 THEN 'break' ELSE 'nudge' END AS list, count(*) AS n
+                      FROM fx_bullets GROUP BY 1) l) d
+JOIN (SELECT CASE WHEN line_no % 3 = 0 THEN 'break' ELSE 'nudge' END AS list, message,
+             row_number() OVER (PARTITION BY line_no % 3 = 0 ORDER BY doc_id, line_no) - 1 AS number FROM fx_bullets) m
+  ON m.number = d.number AND m.list = d.list""")
+PARTS["fx_ranked"] = """
+SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY taken_at DESC, id DESC) AS n FROM fx_results"""
+PARTS["fx_lines"] = """
+SELECT id, 'total' AS part, NULL AS name, CASE WHEN type = 'bisbas' THEN greatest(score - 20, 0) ELSE score END AS value,
+         CASE WHEN type = 'bisbas' THEN 60 ELSE max_score END AS out_of, NULL AS code FROM fx_ranked
+  UNION ALL
+  SELECT id, 'domain', domain, CASE WHEN type = 'bisbas' THEN greatest(domain_score - 5, 0) ELSE domain_score END,
+         CASE WHEN type = 'bisbas' THEN 15 END, band FROM fx_banded WHERE type IN ('bdefs', 'bisbas')
+  UNION ALL SELECT id, 'time', NULL, avg_time_ms, NULL, NULL FROM fx_ranked WHERE type = 'stroop'
+  UNION ALL
+  SELECT id, 'reading', NULL, NULL, NULL, unnest(CASE
+    WHEN type = 'bisbas' THEN string_split(codes, '|')
+    WHEN type = 'bdefs' THEN [CASE WHEN score <= 15 THEN 'minimal' WHEN score <= 30 THEN 'mild'
+                                   WHEN score <= 45 THEN 'moderate' ELSE 'significant' END]
+    ELSE [CASE WHEN score / max_score * 100 >= 90 THEN 'excellent' WHEN score / max_score * 100 >= 70 THEN 'good'
+               WHEN score / max_score * 100 >= 50 THEN 'moderate' ELSE 'low' END,
+          CASE WHEN avg_time_ms <= 1000 THEN 'fast' WHEN avg_time_ms <= 2000 THEN 'average' ELSE 'slow' END] END)
+  FROM (SELECT r.*, c.codes FROM fx_ranked r LEFT JOIN fx_codes c ON c.id = r.id) x"""
 _check("history_entries", """
-SELECT r.user_id, r.id, CAST(r.n AS INTEGER) AS rank,
-       concat('#', CAST(r.id AS VARCHAR), ' ', upper(r.type), '  (', strftime(r.taken_at, '%Y-%m-%d %H:%M'), ')') AS header,
-       concat_ws('|',
-         CASE WHEN r.type = 'bisbas' THEN concat('Endorsement score: ', greatest(r.score - 20, 0), '/60')
-              ELSE concat('Score: ', r.score, '/', r.max_score) END,
-         CASE WHEN r.type = 'stroop' THEN concat('Avg response: ', r.avg_time_ms, 'ms') ELSE l.lines END,
-         CASE WHEN r.type = 'bisbas' THEN replace(c.codes, '|', ' ')
-              WHEN r.type = 'bdefs' THEN CASE WHEN r.score <= 15 THEN 'minimal' WHEN r.score <= 30 THEN 'mild'
-                                              WHEN r.score <= 45 THEN 'moderate' ELSE 'significant' END
-              ELSE concat(CASE WHEN r.score / r.max_score * 100 >= 90 THEN 'excellent' WHEN r.score / r.max_score * 100 >= 70 THEN 'good'
-                               WHEN r.score / r.max_score * 100 >= 50 THEN 'moderate' ELSE 'low' END, ' ',
-                          CASE WHEN r.avg_time_ms <= 1000 THEN 'fast' WHEN r.avg_time_ms <= 2000 THEN 'average' ELSE 'slow' END) END) AS lines
-FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY taken_at DESC, id DESC) AS n FROM fx_results) r
-LEFT JOIN (SELECT id, string_agg(CASE WHEN type = 'bdefs' THEN concat(domain, ': ', domain_score, ' [', band, ']')
-                                      ELSE concat(domain, ': ', greatest(domain_score - 5, 0), '/15 [', band, ']') END, '|' ORDER BY domain_no) AS lines
-           FROM fx_banded GROUP BY id) l ON l.id = r.id
-LEFT JOIN fx_codes c ON c.id = r.id
-WHERE r.n <= 10""")
+SELECT r.user_id, r.id, CAST(r.n AS INTEGER) AS rank, r.type, r.taken_at, l.part, l.name, CAST(l.value AS INTEGER) AS value,
+       CAST(l.out_of AS INTEGER) AS out_of, l.code
+FROM fx_ranked r JOIN fx_lines l ON l.id = r.id WHERE r.n <= 10""")
 _check("radar_vector", """
 SELECT r.id, d.domain_no AS place, CAST(coalesce(s.domain_score, 0) AS DOUBLE) AS value
 FROM fx_results r JOIN domains d ON d.type = 'bdefs'

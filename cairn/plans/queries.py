@@ -85,8 +85,11 @@ def scan_tables(d: StandIns) -> DataFrame:
 
 
 def _text_store(rows: DataFrame, spark: SparkSession, table: str) -> DataFrame:
+    """Rows as lines of JSON, some of them torn off, read back as text."""
     folder = new_folder(spark, "text")
-    rows.write.json(folder)
+    torn = F.format_string('{"id": %d, torn', F.col("id"))
+    whole = F.to_json(F.struct(*rows.columns))
+    rows.select(F.when(F.col("id") % 19 == 6, torn).otherwise(whole)).write.text(folder)
     return tables.read_table(spark, folder, table, "json")
 
 
@@ -97,6 +100,7 @@ def decode_tasks(d: StandIns) -> DataFrame:
     raw = codec.encode_times(d.tasks).withColumns(
         {
             "status": F.when(key % 7 == 3, "someday").otherwise(F.col("status")),
+            "parent_id": F.when(key % 17 == 4, "zz").otherwise(F.col("parent_id").cast("string")),
             "created_at": F.when(key % 11 == 5, "last week").otherwise(F.col("created_at")),
             "completed_at": F.when(key % 13 == 1, "").otherwise(F.col("completed_at")),
         }
@@ -104,7 +108,7 @@ def decode_tasks(d: StandIns) -> DataFrame:
     decoded = codec.decode_tasks(_text_store(raw, d.spark, "tasks"))
     return decoded.select(
         "user_id", "id", "title", "parent_id", "status", "created_at", "completed_at",
-        joined("reasons"),
+        joined("reasons"), F.col("raw")["parent_id"].alias("raw_parent"), "raw_line",
     )
 
 
@@ -113,26 +117,31 @@ def decode_sessions(d: StandIns) -> DataFrame:
     """Focus records from a text store, durations of 0 included."""
     raw = d.activity.filter(F.col("kind") == "focus").select(
         "user_id", F.col("event_id").alias("id"), F.lit(None).cast("bigint").alias("task_id"),
-        "duration_minutes",
+        F.when(F.col("event_id") % 17 == 4, "soon").otherwise(F.col("duration_minutes").cast("string"))
+        .alias("duration_minutes"),
         F.when(F.col("event_id") % 13 == 1, "").otherwise(codec.iso_text(F.col("ts"))).alias("completed_at"),
     )
     decoded = codec.decode_sessions(_text_store(raw, d.spark, "focus_sessions"))
-    return decoded.select("user_id", "id", "duration_minutes", "completed_at", joined("reasons"))
+    return decoded.select("user_id", "id", "duration_minutes", "completed_at", joined("reasons"), "raw_line")
 
 
 @query
 def decode_assessments(d: StandIns) -> DataFrame:
     """Results from a text store in which some score maps are damaged."""
     coded = codec.encode_assessments(d.results)
-    raw = coded.withColumn(
-        "domain_scores", F.when(F.col("id") % 9 == 2, "{broken").otherwise(F.col("domain_scores"))
+    key = F.col("id")
+    raw = coded.withColumns(
+        {
+            "domain_scores": F.when(key % 9 == 2, "{broken").otherwise(F.col("domain_scores")),
+            "score": F.when(key % 17 == 4, "many").otherwise(F.col("score").cast("string")),
+        }
     )
     decoded = codec.decode_assessments(_text_store(raw, d.spark, "assessments"))
     return decoded.select(
         "user_id", "id", "type", "score", "max_score", "taken_at",
         F.size(F.coalesce("domain_scores", F.create_map().cast("map<string,int>"))).alias("domains"),
         F.aggregate(F.map_values("domain_scores"), F.lit(0), lambda a, x: a + x).alias("domain_sum"),
-        joined("reasons"),
+        joined("reasons"), "raw_line",
     )
 
 
@@ -143,7 +152,7 @@ def decode_journal(d: StandIns) -> DataFrame:
         "created_at", F.when(F.col("id") % 5 == 2, "2024-13-40").otherwise(F.col("created_at"))
     )
     decoded = codec.decode_journal(_text_store(raw, d.spark, "act_journal_entries"))
-    return decoded.select("user_id", "id", "values_focus", "created_at", joined("reasons"))
+    return decoded.select("user_id", "id", "values_focus", "created_at", joined("reasons"), "raw_line")
 
 
 @query
@@ -156,8 +165,23 @@ def encode_assessments(d: StandIns) -> DataFrame:
 
 @query
 def message_corpus(d: StandIns) -> DataFrame:
-    """Bullets of all documents."""
-    return corpus.bullets(corpus.lines(d.markdown, "doc_id", "text"))
+    """Messages out of Markdown files written from all documents; there is a fallback, and no need of it."""
+    folder = new_folder(d.spark, "markdown")
+    d.markdown.select("text").write.option("lineSep", "\n").text(folder)
+    return corpus.message_corpus(d.spark, folder, _fallback(d)).groupBy("message").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _fallback(d: StandIns) -> DataFrame:
+    """The languages of documents as fallback messages."""
+    return d.table("documents").select(F.concat(F.lit("fallback "), F.col("lang")).alias("message"))
+
+
+@query
+def message_corpus_fallback(d: StandIns) -> DataFrame:
+    """The same files without a bullet in them: the fallback counts."""
+    folder = new_folder(d.spark, "markdown")
+    d.table("documents").select(F.regexp_replace("text", "(?m)^[^A-Za-z]*-", "").alias("text")).write.text(folder)
+    return corpus.message_corpus(d.spark, folder, _fallback(d)).groupBy("message").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -175,9 +199,48 @@ def sink_append(d: StandIns) -> DataFrame:
     path = new_folder(d.spark, "appended")
     new = d.sessions.drop("id")
     half = F.lit("2024-01-16").cast("timestamp_ntz")
-    for batch in (new.filter(F.col("completed_at") < half), new.filter(F.col("completed_at") >= half)):
-        tables.append(batch, path, "focus_sessions", ["completed_at", "user_id"])
-    return tables.read_table(d.spark, path, "focus_sessions").drop(tables.DAY)
+    early, late = new.filter(F.col("completed_at") < half), new.filter(F.col("completed_at") >= half)
+    for number, batch in ((1, early), (2, late), (2, late)):  # the second is tried twice
+        tables.append(batch, path, "focus_sessions", number, ["completed_at", "user_id"])
+    return tables.read_table(d.spark, path, "focus_sessions").drop(tables.BATCH, tables.DAY)
+
+
+def _appended(d: StandIns, table: str, rows: DataFrame) -> DataFrame:
+    """Rows in three batches by user, the middle one appended twice."""
+    path = new_folder(d.spark, "appended")
+    for number in (0, 1, 1, 2):
+        tables.append(rows.filter(F.col("user_id") % 3 == number), path, table, number)
+    return tables.read_table(d.spark, path, table).drop(tables.BATCH, tables.DAY)
+
+
+@query
+def sink_append_tasks(d: StandIns) -> DataFrame:
+    """Tasks appended with the ids they have."""
+    return _appended(d, "tasks", d.tasks)
+
+
+@query
+def sink_append_assessments(d: StandIns) -> DataFrame:
+    """Results appended; the score map as its number of domains."""
+    stored = _appended(d, "assessments", d.results)
+    return stored.select("user_id", "id", "type", "score", "max_score", "taken_at", F.size("domain_scores").alias("domains"))
+
+
+@query
+def sink_append_journal(d: StandIns) -> DataFrame:
+    """Whole journal entries appended."""
+    good = validate.valid(d.journal, validate.journal_rules())
+    return _appended(d, "act_journal_entries", good).select("user_id", "id", "values_focus", "committed_action", "created_at")
+
+
+@query
+def sink_daily_log(d: StandIns) -> DataFrame:
+    """Counters stored for all, then those of even users saved anew with an hour more."""
+    path = new_folder(d.spark, "daily")
+    tables.save_daily_log(d.daily, path)
+    more = F.col("focus_minutes") + 60
+    tables.save_daily_log(d.daily.filter(F.col("user_id") % 2 == 0).withColumn("focus_minutes", more), path)
+    return tables.read_table(d.spark, path, "daily_log").drop(tables.DAY)
 
 
 # --- validation ----------------------------------------------------------------
@@ -707,15 +770,24 @@ def act_guidance_code(d: StandIns) -> DataFrame:
 def assign_nudge(d: StandIns) -> DataFrame:
     """A bullet of the documents for each active day of each user."""
     bullets = corpus.bullets(corpus.lines(d.markdown, "doc_id", "text"))
-    numbered = messages.number_messages(bullets, ["doc_id", "line_no"])
-    return messages.assign_nudge(d.daily.select("user_id", "date"), numbered)
+    days = d.daily.select("user_id", "date")
+    lists = {"nudge": bullets.filter(F.col("line_no") % 3 != 0), "break": bullets.filter(F.col("line_no") % 3 == 0)}
+    both = [
+        messages.assign_nudge(days, messages.number_messages(own, ["doc_id", "line_no"])).select(
+            F.lit(name).alias("list"), "user_id", "date", "number", "message"
+        )
+        for name, own in lists.items()
+    ]
+    return both[0].unionByName(both[1])
 
 
 @query
 def history_entries(d: StandIns) -> DataFrame:
-    """Readable entries of the newest ten results per user."""
+    """Typed lines of the newest ten results per user; lines of one part in no order but theirs."""
     entries = history.history_entries(d.results, 10)
-    return entries.select("user_id", "id", "rank", "header", joined("lines"))
+    return entries.select("user_id", "id", "rank", "type", "taken_at", F.explode("lines").alias("line")).select(
+        "user_id", "id", "rank", "type", "taken_at", "line.*"
+    )
 
 
 @query

@@ -58,14 +58,10 @@ TABLES = {
 }
 
 
+RAW_LINE = "raw_line"
+
+
 def text_form(schema: T.StructType) -> T.StructType:
-    """The same columns as text, for stores that keep dates and maps as strings."""
-    as_text = (T.TimestampNTZType, T.DateType, T.MapType)
-    return T.StructType(
-        [
-            T.StructField(
-                f.name, T.StringType() if isinstance(f.dataType, as_text) else f.dataType, True
-            )
-            for f in schema.fields
-        ]
-    )
+    """The same columns as text, and ``raw_line`` for lines that cannot be read at all."""
+    fields = [T.StructField(f.name, T.StringType(), True) for f in schema.fields]
+    return T.StructType([*fields, T.StructField(RAW_LINE, T.StringType(), True)])

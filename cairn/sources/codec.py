@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.catalogue import ASSESSMENT_TYPES, TASK_STATUSES
 from cairn.functions.columns import present
+from cairn.schemas import RAW_LINE
 
 # The accepted date-time text, day and optional time without a zone.
 ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$"
@@ -21,12 +22,44 @@ def _when_bad(bad: Column, code: str) -> Column:
     return F.when(F.coalesce(bad, F.lit(True)), F.lit(code))
 
 
-def _decode(rows: DataFrame, typed: dict[str, Column], checks: list[Column]) -> DataFrame:
-    return rows.withColumn("reasons", present(checks)).withColumns(typed)
+def _whole(rows: DataFrame, name: str, kind: str = "bigint", needed: bool = True) -> tuple[Column, Column]:
+    """A whole number out of text, and its reason when that text is none.
+
+    Columns that are numbers already pass. An empty text is no number, and bad
+    only where one is ``needed``.
+    """
+    value = F.col(name).try_cast(kind)
+    given = F.coalesce(F.trim(F.col(name).cast("string")) != "", F.lit(False))
+    return value, _when_bad(value.isNull() & (given | F.lit(needed)), name)
+
+
+def _decode(
+    rows: DataFrame, typed: dict[str, Column], checks: list[Column],
+    numbers: dict[str, tuple[str, bool]],
+) -> DataFrame:
+    """Typed columns and ``reasons``; the text of every column with a reason is kept in ``raw``.
+
+    A line that could not be read at all has the one reason ``line`` and stays
+    whole in ``raw_line``.
+    """
+    made = {name: _whole(rows, name, *how) for name, how in numbers.items()}
+    typed = {**typed, **{name: value for name, (value, _) in made.items()}}
+    broken = F.col(RAW_LINE).isNotNull() if RAW_LINE in rows.columns else F.lit(False)
+    found = F.array_distinct(present([reason for _, reason in made.values()] + checks))
+    reasons = F.when(broken, F.array(F.lit("line"))).otherwise(found)
+    texts = F.map_from_arrays(
+        F.array(*[F.lit(c) for c in rows.columns if c != RAW_LINE]),
+        F.array(*[F.col(c).cast("string") for c in rows.columns if c != RAW_LINE]),
+    )
+    raw = F.map_filter(texts, lambda name, _: F.array_contains(F.col("reasons"), name))
+    return rows.withColumn("reasons", reasons).withColumn("raw", raw).withColumns(typed)
+
+
+_IDS = {"user_id": ("bigint", True), "id": ("bigint", True)}
 
 
 def decode_tasks(rows: DataFrame) -> DataFrame:
-    """Status and times of tasks; an empty completion time is none."""
+    """Ids, status and times of tasks; an empty parent or completion time is none."""
     created, done = iso_timestamp(F.col("created_at")), iso_timestamp(F.col("completed_at"))
     given = F.coalesce(F.length("completed_at"), F.lit(0)) > 0
     known = F.col("status").isin(*TASK_STATUSES)
@@ -38,24 +71,26 @@ def decode_tasks(rows: DataFrame) -> DataFrame:
             _when_bad(created.isNull(), "created_at"),
             _when_bad(given & done.isNull(), "completed_at"),
         ],
+        {**_IDS, "parent_id": ("bigint", False)},
     )
 
 
 def decode_sessions(rows: DataFrame) -> DataFrame:
-    """Completion time of focus sessions; the duration must be above 0."""
+    """Numbers and completion time of focus sessions; the duration must be above 0."""
     done = iso_timestamp(F.col("completed_at"))
     return _decode(
         rows,
         {"completed_at": done},
         [
-            _when_bad(F.col("duration_minutes") <= 0, "duration_minutes"),
+            _when_bad(F.col("duration_minutes").try_cast("int") <= 0, "duration_minutes"),
             _when_bad(done.isNull(), "completed_at"),
         ],
+        {**_IDS, "task_id": ("bigint", False), "duration_minutes": ("int", False)},
     )
 
 
 def decode_assessments(rows: DataFrame) -> DataFrame:
-    """Score map, type and time of results."""
+    """Numbers, score map, type and time of results."""
     scores = F.from_json("domain_scores", "map<string,int>")
     taken = iso_timestamp(F.col("taken_at"))
     bad_map = scores.isNull() | F.exists(F.map_values(scores), lambda v: v.isNull())
@@ -64,23 +99,24 @@ def decode_assessments(rows: DataFrame) -> DataFrame:
         {"domain_scores": scores, "taken_at": taken},
         [
             _when_bad(~F.col("type").isin(*ASSESSMENT_TYPES), "type"),
-            _when_bad(F.col("score") < 0, "score"),
-            _when_bad(F.col("max_score") <= 0, "max_score"),
+            _when_bad(F.col("score").try_cast("int") < 0, "score"),
+            _when_bad(F.col("max_score").try_cast("int") <= 0, "max_score"),
             _when_bad(bad_map, "domain_scores"),
             _when_bad(taken.isNull(), "taken_at"),
         ],
+        {**_IDS, "score": ("int", False), "max_score": ("int", False)},
     )
 
 
 def decode_journal(rows: DataFrame) -> DataFrame:
-    """Time of journal entries."""
+    """Ids and time of journal entries."""
     created = iso_timestamp(F.col("created_at"))
-    return _decode(rows, {"created_at": created}, [_when_bad(created.isNull(), "created_at")])
+    return _decode(rows, {"created_at": created}, [_when_bad(created.isNull(), "created_at")], _IDS)
 
 
 def split(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Typed rows, and the quarantine."""
-    good = decoded.filter(F.size("reasons") == 0).drop("reasons")
+    good = decoded.filter(F.size("reasons") == 0).drop("reasons", "raw", RAW_LINE)
     return good, decoded.filter(F.size("reasons") > 0)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,21 +17,32 @@ DAY_OF = {
     "assessments": "taken_at",
     "act_journal_entries": "created_at",
 }
-DAY = "day"
+DAY, BATCH = "day", "batch"
+# Partitions of tables with few rows a day are months, named by their first day.
+MONTHLY = {"tasks", "assessments", "act_journal_entries"}
 
 
-def read_table(spark: SparkSession, path: str, table: str, fmt: str = "parquet") -> DataFrame:
-    """One record table. CSV and JSON keep dates and maps as text: decode them next.
+RAW_LINE = schemas.RAW_LINE
 
-    A table partitioned by day has the partition column ``day`` too, so that
-    filters on it skip whole days.
+
+def read_table(
+    spark: SparkSession, path: str, table: str, fmt: str = "parquet", multi_line: bool = False
+) -> DataFrame:
+    """One record table. CSV and JSON keep every column as text: decode them next.
+
+    A line that cannot be read at all is a row too, whole in ``raw_line``. CSV
+    files are split between tasks unless ``multi_line`` asks for texts with line
+    breaks, which makes each file one task. A table partitioned by day has the
+    partition column ``day`` too, so that filters on it skip whole days.
     """
     schema = schemas.TABLES[table]
+    reader = spark.read
     if fmt in ("csv", "json"):
         schema = schemas.text_form(schema)
-    reader = spark.read.schema(schema).format(fmt)
+        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RAW_LINE)
+    reader = reader.schema(schema).format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
+        reader = reader.option("header", True).option("multiLine", multi_line).option("escape", '"')
     return reader.load(path)
 
 
@@ -45,43 +57,86 @@ def scan_tables(
 
 
 def on_days(table: DataFrame, time: str, first: str, last: str) -> DataFrame:
-    """Rows from ``first`` to ``last``; the partition column lets whole days be skipped."""
+    """Rows from ``first`` to ``last``; the partition column lets whole days or months be skipped."""
     low, high = F.lit(first).cast("date"), F.lit(last).cast("date")
     exact = F.to_date(time).between(low, high)
-    return table.filter(F.col(DAY).between(low, high) & exact) if DAY in table.columns else table.filter(exact)
+    return table.filter(F.col(DAY).between(F.trunc(low, "month"), high) & exact) if DAY in table.columns else table.filter(exact)
 
 
 def append(
-    batch: DataFrame, path: str, table: str, order: list[str] | None = None
+    batch: DataFrame, path: str, table: str, batch_id: int, order: list[str] | None = None
 ) -> DataFrame:
-    """Append new records to a parquet table partitioned by day; returns what was added.
+    """Append new records to a parquet table partitioned by batch and day; returns what was added.
 
-    Without ids the batch is numbered after the highest stored one. Rows are
+    Records without ids are numbered after the highest id of earlier batches.
+    That number comes from ``<path>_marks``, where each batch leaves one row, so
+    stored records are never read. Appending a batch again under its
+    ``batch_id`` draws the same ids and replaces its own partitions only: a
+    retry adds nothing. One writer at a time, with batch ids that grow. Rows are
     gathered by day; rebalancing splits a day with very many rows over several
     writers and puts small days together.
     """
     spark = batch.sparkSession
     schema = schemas.TABLES[table]
+    # The folder of a batch's mark is written before its rows, with the ids it may use.
+    first = _first_id(spark, path, batch_id)
     if "id" not in batch.columns and "id" in schema.names:
-        first = _stored_max(spark, path) + 1
         batch = ordered.number(batch, order or [DAY_OF[table], "user_id"], "id", first)
     batch = durable(batch.select(*schema.names), "batch")
-    by_day = batch.withColumn(DAY, F.to_date(DAY_OF.get(table, "date"))).hint("rebalance", DAY)
-    by_day.write.mode("append").partitionBy(DAY).parquet(path)
+    highest = F.coalesce(F.max("id").cast("bigint"), F.lit(first - 1)) if "id" in schema.names else F.lit(0)
+    mark = batch.agg(F.greatest(highest, F.lit(first - 1)).cast("bigint").alias("last"))
+    mark.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("batch").parquet(f"{path}_marks")
+    day = F.to_date(DAY_OF.get(table, "date"))
+    day = F.trunc(day, "month") if table in MONTHLY else day
+    rows = batch.withColumns({BATCH: F.lit(batch_id), DAY: day}).hint("rebalance", DAY)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH, DAY).parquet(path)
     return batch
 
 
-def _stored_max(spark: SparkSession, path: str) -> int:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(jvm_path):
-        return 0
-    # Only the id column is read, and a maximum combines before it leaves a task.
-    return spark.read.parquet(path).agg(F.max("id")).first()[0] or 0
+def _first_id(spark: SparkSession, path: str, batch_id: int) -> int:
+    """One above the last id of all earlier batches: the marks hold a row per batch."""
+    schema = "last bigint, batch int"
+    try:
+        marks = spark.read.schema(schema).parquet(f"{path}_marks")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 1
+    return (marks.filter(F.col("batch") < batch_id).agg(F.max("last")).first()[0] or 0) + 1
 
 
-def save_daily_log(daily: DataFrame, path: str) -> None:
-    """Write counters partitioned by day, replacing only the days in hand."""
-    daily.withColumn(DAY, F.col("date")).hint("rebalance", DAY).write.mode("overwrite").option(
+def save_daily_log(daily: DataFrame, path: str) -> DataFrame:
+    """Upsert counters by user and date; returns the days as they stand now.
+
+    The days in hand are read, merged and replaced as partitions. Rows of users
+    who are not in the batch stay, and so do all other days. Of several rows of
+    one key in the batch the highest counters count.
+    """
+    spark = daily.sparkSession
+    columns = schemas.DAILY_LOG.names
+    key = ["user_id", "date"]
+    counts = [F.max(c).alias(c) for c in columns if c not in key]
+    new = durable(daily.groupBy(*key).agg(*counts), "upsert")
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        whole = new
+    else:
+        days = new.select(F.col("date").alias(DAY)).distinct()
+        # Dynamic pruning: only the partitions of these days are read.
+        there = stored.join(F.broadcast(days), DAY, "left_semi") if days.count() <= MOST_DAYS else stored.join(days, DAY, "left_semi")
+        kept = there.select(*columns).join(new.select(*key), key, "left_anti")
+        whole = durable(kept.unionByName(new.select(*columns)), "upsert")
+    whole = whole.select(*columns)
+    whole.withColumn(DAY, F.col("date")).hint("rebalance", DAY).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy(DAY).parquet(path)
+    return whole
+
+
+#: A list of this many days, a few hundred kilobytes, is sent to the readers.
+MOST_DAYS = 40_000

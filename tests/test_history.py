@@ -109,16 +109,38 @@ def test_vectors(past):
 
 
 def test_entries(past):
-    found = {r.id: r for r in history.history_entries(past).collect()}
-    assert found[2].header == "#2 BDEFS  (2024-01-08 00:00)"
-    assert found[2].lines[0] == "Score: 25/60" and found[2].lines[-1] == "mild"
-    assert "Self-Motivation: 7 [moderate]" in found[2].lines
-    assert found[3].lines == ["Score: 8/10", "Avg response: 1200ms", "good average"]
-    assert found[5].lines[1] == "Avg response: 0ms"
-    assert found[8].lines[0] == "Endorsement score: 12/60"
-    assert "Behavioral Inhibition (BIS): 15/15 [high]" in found[8].lines
-    assert "BAS Drive: 0/15 [low]" in found[8].lines
-    assert "Zest: 9/1" in found[8].lines
+    entries = history.history_entries(past)
+    found = {r.id: [tuple(x) for x in r.lines] for r in entries.collect()}
+    assert found[2][0] == ("total", None, 25, 60, None)
+    assert found[2][-1] == ("reading", None, None, None, "mild")
+    assert ("domain", "Self-Motivation", 7, None, "moderate") in found[2]
+    assert found[3] == [
+        ("total", None, 8, 10, None), ("time", None, 1200, None, None),
+        ("reading", None, None, None, "good"), ("reading", None, None, None, "average"),
+    ]
+    assert found[5][1] == ("time", None, 0, None, None)
+    assert found[8][0] == ("total", None, 12, 60, None)
+    assert ("domain", "Behavioral Inhibition (BIS)", 15, 15, "high") in found[8]
+    assert ("domain", "BAS Drive", 0, 15, "low") in found[8]
+    assert ("domain", "Zest", 9, 1, None) in found[8]
+
+
+def test_a_missing_score_map_keeps_total_and_readings(past):
+    bare = past.withColumn("domain_scores", F.lit(None).cast("map<string,int>"))
+    for r in history.history_entries(bare).collect():
+        parts = [x.part for x in r.lines]
+        assert parts[0] == "total" and "reading" in parts and "domain" not in parts
+
+
+def test_words_are_the_callers(spark, past):
+    labels = spark.createDataFrame(
+        [("total", None, "points"), ("reading", "mild", "a little"), ("reading", None, "other")],
+        "part string, code string, label string",
+    )
+    found = history.worded(history.history_entries(past), labels)
+    rows_ = {(r.part, r.code): r.label for r in found.filter("id = 2").collect()}
+    assert rows_[("total", None)] == "points" and rows_[("reading", "mild")] == "a little"
+    assert {v for (part, _), v in rows_.items() if part == "domain"} == {None}
 
 
 def advice(spark):

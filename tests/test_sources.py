@@ -35,11 +35,11 @@ def test_assessments_survive_each_format(stand, spark, fmt):
 def test_decode_rejects(spark):
     raw = spark.createDataFrame(
         [
-            (1, 1, "bdefs", 3, 60, '{"a": 3}', "2024-01-02T03:04:05.678901"),
-            (1, 2, "mood", -1, 0, '{"a": "x"}', "2024-01-02"),
-            (1, 3, "stroop", 1, 2, "[1]", "2024-02-30 10:00"),
-            (1, 4, "stroop", 1, 2, "{}", "2024-01-02 10:00"),
-            (1, 5, None, None, None, None, None),
+            ("1", "1", "bdefs", "3", "60", '{"a": 3}', "2024-01-02T03:04:05.678901", None),
+            ("1", "2", "mood", "-1", "0", '{"a": "x"}', "2024-01-02", None),
+            ("1", "3", "stroop", "1", "2", "[1]", "2024-02-30 10:00", None),
+            ("1", "4", "stroop", "1", "2", "{}", "2024-01-02 10:00", None),
+            ("1", "5", None, None, None, None, None, None),
         ],
         schemas.text_form(schemas.ASSESSMENTS),
     )
@@ -57,22 +57,46 @@ def test_decode_rejects(spark):
 def test_decode_tasks(spark):
     raw = spark.createDataFrame(
         [
-            (1, 1, "t", None, "done", "2024-01-02T03:04:05", "2024-01-03T00:00:00"),
-            (1, 2, "t", 1, "pending", "2024-01-02T03:04:05", ""),
-            (1, 3, "t", 1, "later", "soon", "never"),
+            ("1", "1", "t", None, "done", "2024-01-02T03:04:05", "2024-01-03T00:00:00", None),
+            ("1", "2", "t", "1", "pending", "2024-01-02T03:04:05", "", None),
+            ("1", "3", "t", "1", "later", "soon", "never", None),
+            ("x1", "abc", "t", "zz", "done", "2024-01-02T03:04:05", None, None),
+            (None, None, None, None, None, None, None, "{torn"),
         ],
         schemas.text_form(schemas.TASKS),
     )
     good, bad = codec.split(codec.decode_tasks(raw))
     assert rows(good, "id", "completed_at") == [(1, at("2024-01-03")), (2, None)]
-    assert bad.first().reasons == ["status", "created_at", "completed_at"]
+    found = {r.raw_line or r.raw.get("user_id", ""): r for r in bad.collect()}
+    assert found[""].reasons == ["status", "created_at", "completed_at"]
+    assert found["x1"].reasons == ["user_id", "id", "parent_id"]
+    assert found["x1"].raw == {"user_id": "x1", "id": "abc", "parent_id": "zz"}
+    assert found["{torn"].reasons == ["line"]
+
+
+@pytest.mark.parametrize("fmt", ["json", "csv"])
+def test_lines_that_cannot_be_read_are_kept_whole(spark, fmt):
+    path = f"{folder()}/text"
+    lines = {
+        "json": ['{"user_id": 1, "id": 2, "task_id": null, "duration_minutes": 5, "completed_at": "2024-01-02"}', '{"id": 3, torn'],
+        "csv": ["user_id,id,task_id,duration_minutes,completed_at", "1,2,,5,2024-01-02", "9,9,9"],
+    }[fmt]
+    import os
+
+    os.makedirs(path)
+    with open(f"{path}/part", "w", encoding="utf-8") as out:
+        out.write("\n".join(lines) + "\n")
+    good, bad = codec.split(codec.decode_sessions(tables.read_table(spark, path, "focus_sessions", fmt)))
+    assert rows(good, "id", "duration_minutes") == [(2, 5)]
+    assert rows(bad, "raw_line", "reasons") == [(lines[-1], ["line"])]
 
 
 def test_append_numbers_go_on(spark, stand):
     path = f"{folder()}/focus_sessions"
     new = stand.sessions.drop("id")
-    for part in (new.filter("duration_minutes < 30"), new.filter("duration_minutes >= 30")):
-        tables.append(part, path, "focus_sessions", ["completed_at", "user_id"])
+    short, long = new.filter("duration_minutes < 30"), new.filter("duration_minutes >= 30")
+    for number, part in ((1, short), (2, long), (2, long), (1, short)):  # retries change nothing
+        tables.append(part, path, "focus_sessions", number, ["completed_at", "user_id"])
     stored = tables.read_table(spark, path, "focus_sessions")
     assert sorted(r.id for r in stored.select("id").collect()) == list(range(1, stand.sessions.count() + 1))
     one_day = tables.on_days(stored, "completed_at", "2024-01-10", "2024-01-10")
@@ -80,6 +104,23 @@ def test_append_numbers_go_on(spark, stand):
     assert one_day.count() == stand.sessions.filter(F.to_date("completed_at") == "2024-01-10").count()
 
 
+def test_half_the_users_saved_again_leave_the_others(spark, stand):
+    path = f"{folder()}/daily_log"
+    tables.save_daily_log(stand.daily, path)
+    half = stand.daily.filter("user_id % 2 = 0").withColumn("focus_minutes", F.lit(7).cast("bigint"))
+    tables.save_daily_log(half, path)
+    stored = tables.read_table(spark, path, "daily_log").drop("day")
+    expected = half.unionByName(stand.daily.filter("user_id % 2 <> 0"))
+    assert stored.count() == stand.daily.count() and stored.exceptAll(expected).isEmpty()
+
+
+def test_all_texts_of_conversations_reach_the_journal(spark, stand):
+    texts = stand.table("conversations").join(
+        stand.table("events").select(F.col("event_id").alias("conv_id")), "conv_id", "left_semi").select("text")
+    there = stand.journal.select(F.explode(F.array(*validate.JOURNAL_LIMITS)).alias("text")).filter("text is not null")
+    assert texts.exceptAll(there).isEmpty() and there.exceptAll(texts).isEmpty()
+
+
 def test_daily_rows_replace_their_day_only(spark, stand):
     path = f"{folder()}/daily_log"
     tables.save_daily_log(stand.daily, path)
