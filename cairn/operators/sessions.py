@@ -94,26 +94,40 @@ def _step(state: Column, event: Column) -> Column:
     return F.struct(next_timer.cast(_TIMER).alias("timer"), done.alias("done"))
 
 
-def _fold(chunks: DataFrame) -> DataFrame:
+def _fold(chunks: DataFrame, turn: int) -> DataFrame:
     """Run each chunk's events from its entry timer: adds ``done`` and ``exit``."""
     start = F.struct(
         F.col("entry").alias("timer"), F.array().cast(f"array<{_SESSION}>").alias("done")
     )
     folded = chunks.withColumn("folded", F.aggregate("events", start, _step))
     return folded.select(
-        "user_id", "chunk", "inert", "entry",
+        "user_id", "chunk", "inert", "upto", F.lit(turn).alias("turn"), "entry",
         F.col("folded.done").alias("done"), F.col("folded.timer").alias("exit"),
     )
 
 
-def _entries(folded: DataFrame, many: bool) -> DataFrame:
+_ENDS = ("inert", "upto", "entry", "exit")
+
+
+def _newest(folds: list[DataFrame], columns: tuple[str, ...]) -> DataFrame:
+    """Each chunk as it was folded last; only ``columns`` are read."""
+    if len(folds) == 1:
+        return folds[0].select("user_id", "chunk", *columns)
+    every = folds[0]
+    for fold in folds[1:]:
+        every = every.unionByName(fold)
+    newest = F.max_by(F.struct(*columns), "turn").alias("v")
+    return every.groupBy("user_id", "chunk").agg(newest).select("user_id", "chunk", "v.*")
+
+
+def _entries(ends: DataFrame, many: bool) -> DataFrame:
     """Chunks that began wrongly, with the timer the chunks before them left set.
 
     A paused timer sits through chunks that hold starts only, so it is carried
-    over any number of them at once. ``many`` tells that some user has too many
-    chunks for a plain window.
+    over any number of them at once. So is a running one, from the first wrong
+    chunk of a user to the chunk in which it ends. ``many`` tells that some user
+    has too many chunks for a plain window.
     """
-    ends = folded.select("user_id", "chunk", "inert", "entry", "exit")
     if many:
         before = ordered.scan(
             ends, ["user_id"], ["chunk"], before=ordered.previous(F.struct("exit", "inert"))
@@ -132,28 +146,37 @@ def _entries(folded: DataFrame, many: bool) -> DataFrame:
         )
     paused = F.col("acting.exit").isNotNull() & F.col("acting.exit.resumed").isNull()
     wanted = F.when(paused, F.col("acting.exit")).otherwise(F.col("before.exit"))
-    return (
-        known.withColumn("wanted", wanted)
-        .filter(~F.col("wanted").eqNullSafe(F.col("entry")))
-        .select("user_id", "chunk", "wanted")
+    differs = ~F.col("wanted").eqNullSafe(F.col("entry"))
+    stale = durable(
+        known.withColumn("wanted", wanted).filter(differs).select("user_id", "chunk", "wanted"), "stale"
     )
-
-
-def reconstruct_sessions(
-    events: DataFrame, chunk_rows: int = FOLD_ROWS, chunk_limit: int = ordered.PLAIN_LIMIT
-) -> DataFrame:
-    """Sessions from ``(user_id, event_id, ts, kind, planned_minutes, is_break, task_id)``.
-
-    A start while a timer is set is ignored; ``toggle`` pauses and resumes and
-    is ignored when idle; paused time does not count; ``stop`` ends a session
-    unfinished. A running timer whose log ends here runs out; a paused one is
-    ``open``. Starts outside 1..120 minutes are not accepted.
-
-    What a start means depends on whether an earlier timer is over, so rows are
-    folded in order, in chunks of bounded size, never a user at once. All chunks
-    first assume that they begin idle; those whose predecessor left a timer set
-    are folded again from it, until every chunk began with what the one before
-    left. Timers end within two hours of running, so few chunks take part.
+    first = stale.groupBy("user_id").agg(
+        F.min("chunk").alias("begin"), F.min_by("wanted", "chunk").alias("timer")
+    )
+    running = first.filter(F.col("timer.resumed").isNotNull())
+    later = ends.join(running, "user_id").filter("chunk >= begin")
+    sits = F.col("inert") & (F.col("upto") < _ends(F.col("timer")))
+    reach = later.groupBy("user_id").agg(
+        F.first("begin").alias("begin"), F.first("timer").alias("timer"),
+        F.coalesce(F.min(F.when(~sits, F.col("chunk"))), F.max("chunk")).alias("last"),
+    )
+    spans = durable(reach, "leaps")
+    carried = ends.join(spans, "user_id").filter("chunk between begin and last").withColumn(
+        "wanted", F.col("timer")
+    ).filter(differs).select("user_id", "chunk", "wanted")
+    rest = stale.join(spans, "user_id", "left").filter("begin is null or chunk > last")
+    return carried.unionByName(rest.select("user_id", "chunk", "wanted"))
+
+
+def fold_log(
+    events: DataFrame, timers: DataFrame | None = None,
+    chunk_rows: int = FOLD_ROWS, chunk_limit: int = ordered.PLAIN_LIMIT,
+) -> list[DataFrame]:
+    """The log folded in chunks, each from the timer the one before left: all folds, newest last.
+
+    ``timers`` are (user_id, timer) that are set before the log begins. Every
+    turn writes the chunks that it folds again and no others; ``_newest`` puts
+    the turns together.
     """
     starts = F.col("kind") == "start"
     accepted = valid(events.filter(starts), timer_plan_rules()).unionByName(
@@ -168,31 +191,80 @@ def reconstruct_sessions(
         placed.groupBy("user_id", F.col("_chunk").alias("chunk")).agg(
             F.sort_array(F.collect_list(event)).alias("events"),
             F.every(F.col("kind") == "start").alias("inert"),
+            F.max(micros(F.col("ts"))).alias("upto"),
         ),
         "timer-chunks",
     )
     many = not ordered.large_keys(chunks, ["user_id"], chunk_limit).isEmpty()
-    folded = durable(_fold(chunks.withColumn("entry", F.lit(None).cast(_TIMER))), "folded")
-    stale = durable(_entries(folded, many), "stale")
-    while not stale.isEmpty():
+    none = F.lit(None).cast(_TIMER)
+    folded = _fold(chunks.withColumn("entry", none), 0)
+    if timers is not None:
+        seeds = timers.select(
+            "user_id", F.lit(-1).cast("bigint").alias("chunk"), F.lit(False).alias("inert"),
+            F.lit(None).cast("bigint").alias("upto"), F.lit(0).alias("turn"), none.alias("entry"),
+            F.array().cast(f"array<{_SESSION}>").alias("done"), F.col("timer").cast(_TIMER).alias("exit"),
+        )
+        folded = folded.unionByName(seeds)
+    folds = [durable(folded, "folded")]
+    while True:
+        stale = durable(_entries(_newest(folds, _ENDS), many), "stale")
+        if stale.isEmpty():
+            return folds
         again = chunks.join(stale, ["user_id", "chunk"]).withColumnRenamed("wanted", "entry")
-        kept = folded.join(stale, ["user_id", "chunk"], "left_anti")
-        folded = durable(kept.unionByName(_fold(again).select(*folded.columns)), "folded")
-        stale = durable(_entries(folded, many), "stale")
-    return _finish(folded)
+        folds.append(durable(_fold(again, len(folds)), "folded"))
+
+
+def reconstruct_sessions(
+    events: DataFrame, chunk_rows: int = FOLD_ROWS, chunk_limit: int = ordered.PLAIN_LIMIT
+) -> DataFrame:
+    """Sessions from ``(user_id, event_id, ts, kind, planned_minutes, is_break, task_id)``.
+
+    A start while a timer is set is ignored; ``toggle`` pauses and resumes and
+    is ignored when idle; paused time does not count; ``stop`` ends a session
+    unfinished. A running timer whose log ends here runs out; a paused one is
+    ``open``. Starts outside 1..120 minutes are not accepted.
+
+    What a start means depends on whether an earlier timer is over, so rows are
+    folded in order, in chunks of bounded size, never a user at once. All chunks
+    first assume that they begin idle; those whose predecessor left a timer set
+    are folded again from it, until every chunk began with what the one before
+    left. A timer that sits through many chunks is carried over all of them in
+    one turn.
+    """
+    folds = fold_log(events, None, chunk_rows, chunk_limit)
+    return sessions_of(closed_in(folds).unionByName(run_out(timers_after(folds))))
+
+
+def closed_in(folds: list[DataFrame]) -> DataFrame:
+    """(user_id, s): sessions that ended within the log."""
+    return _newest(folds, ("done",)).select("user_id", F.explode("done").alias("s"))
 
 
-def _finish(folded: DataFrame) -> DataFrame:
-    closed = folded.select("user_id", F.explode("done").alias("s"))
-    timer = F.col("exit")
+def timers_after(folds: list[DataFrame]) -> DataFrame:
+    """(user_id, timer): timers that are set when the log ends."""
+    last = _newest(folds, ("exit",)).groupBy("user_id").agg(F.max_by("exit", "chunk").alias("timer"))
+    return last.filter(F.col("timer").isNotNull())
+
+
+def timer_end() -> Column:
+    """When a running ``timer`` runs out, in microseconds; null for a paused one."""
+    return _ends(F.col("timer"))
+
+
+def run_out(timers: DataFrame) -> DataFrame:
+    """(user_id, s): running timers completed at their end, paused ones open."""
+    timer = F.col("timer")
     end = (
         F.when(timer["resumed"].isNotNull(), _close(timer, _ends(timer), F.lit(0).cast("bigint"), "completed"))
         .otherwise(_close(timer, F.lit(None).cast("bigint"), timer["left"], "open"))
     )
-    last = folded.groupBy("user_id").agg(F.max_by("exit", "chunk").alias("exit"))
-    final = last.filter(timer.isNotNull()).select("user_id", end.alias("s"))
+    return timers.select("user_id", end.alias("s"))
+
+
+def sessions_of(closed: DataFrame) -> DataFrame:
+    """Session columns of (user_id, s)."""
     completed = F.col("s.outcome") == "completed"
-    return closed.unionByName(final).select(
+    return closed.select(
         "user_id",
         F.col("s.start_event_id").alias("start_event_id"),
         F.col("s.task_id").alias("task_id"),

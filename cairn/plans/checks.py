@@ -760,6 +760,11 @@ _check("delete_results", """
 SELECT user_id, id, 'kept' AS state FROM fx_results WHERE NOT (type = 'stroop' AND score * 2 < max_score)
 UNION ALL SELECT user_id, id, 'deleted' FROM fx_stroop WHERE score * 2 < max_score
 UNION ALL SELECT user_id, -id - 1, 'absent' FROM fx_stroop WHERE score * 2 < max_score""")
+_check("delete_all_results", """
+SELECT user_id, CASE WHEN user_id % 3 = 0 THEN 'deleted' ELSE 'kept' END AS state, count(*) AS n
+FROM fx_results GROUP BY user_id""")
+_check("delete_session", """
+SELECT user_id, id, CASE WHEN duration_minutes < 10 THEN 'deleted' ELSE 'kept' END AS state FROM fx_sessions""")
 _check("delete_entries", """
 SELECT user_id, date, tasks_completed, focus_minutes, 'kept' AS state FROM fx_daily WHERE tasks_completed <> 0
 UNION ALL SELECT user_id, date, NULL, NULL, 'deleted' FROM fx_daily WHERE tasks_completed = 0""")
@@ -773,11 +778,7 @@ SELECT user_id, CAST(date_trunc('week', date) AS DATE) AS week, CAST(sum(tasks_c
 FROM fx_daily GROUP BY user_id, CAST(date_trunc('week', date) AS DATE)""")
 _check("stream_latest_profile", "SELECT * FROM fx_blended")
 _check("stream_dedup", "SELECT event_id, user_id, event_type FROM events")
-# What the watermark, an hour behind the newest event in milliseconds, has passed.
-_check("stream_sessions", """
-SELECT user_id, start_event_id, task_id, is_break, planned_minutes, started_at, ended_at, outcome, elapsed_seconds
-FROM fx_timer_sessions
-WHERE epoch_us(ended_at) < (SELECT max(us) // 1000 * 1000 - 3600000000 FROM fx_timer)""")
+_check("stream_sessions", "SELECT * FROM fx_timer_sessions")
 _check("reconstruct_sessions", "SELECT * FROM fx_timer_sessions")
 _check("auto_cycle_chains", """
 SELECT user_id, chain, min(started_at) AS started_at, max(ended_at) AS ended_at, count(*) AS sessions,

@@ -896,6 +896,24 @@ def delete_results(d: StandIns) -> DataFrame:
     return kept.select("user_id", "id", F.lit("kept").alias("state")).unionByName(flags)
 
 
+@query
+def delete_all_results(d: StandIns) -> DataFrame:
+    """All results of every third user deleted, beside the number deleted."""
+    users = d.results.filter(F.col("user_id") % 3 == 0).select("user_id").distinct()
+    kept, counts = tasks.delete_all_results(d.results, users)
+    left = kept.groupBy("user_id").agg(F.lit("kept").alias("state"), F.count(F.lit(1)).alias("n"))
+    return left.unionByName(counts.select("user_id", F.lit("deleted").alias("state"), F.col("deleted").alias("n")))
+
+
+@query
+def delete_session(d: StandIns) -> DataFrame:
+    """Focus records of under ten minutes deleted by id; counters stay as they are."""
+    doomed = d.sessions.filter(F.col("duration_minutes") < 10).select("user_id", "id")
+    kept, outcome = tasks.delete_rows(d.sessions, doomed, ["user_id", "id"])
+    flags = outcome.select("user_id", "id", F.when(F.col("deleted"), "deleted").otherwise("absent").alias("state"))
+    return kept.select("user_id", "id", F.lit("kept").alias("state")).unionByName(flags)
+
+
 @query
 def delete_entries(d: StandIns) -> DataFrame:
     """Days without completions deleted; counters of other days stay as they are."""
@@ -923,19 +941,19 @@ def _activity_stream(d: StandIns) -> DataFrame:
 @query
 def stream_daily_activity(d: StandIns) -> DataFrame:
     """Daily counters by stream."""
-    changes = stream_activity.stream_daily_activity(_activity_stream(d))
-    path = sink.run_available(changes, "daily")
+    rows = stream_activity.stream_daily_activity(_activity_stream(d))
+    path = sink.run_sums(rows, "daily", ["user_id", "date"], stream_activity.COUNTERS)
     schema = "user_id bigint, date date, tasks_completed bigint, focus_minutes bigint"
-    return sink.read_current(d.spark, path, schema, ["user_id", "date"])
+    return sink.read_sums(d.spark, path, schema, ["user_id", "date"])
 
 
 @query
 def stream_weekly_activity(d: StandIns) -> DataFrame:
     """Weekly counters by stream."""
-    changes = stream_activity.stream_weekly_activity(_activity_stream(d))
-    path = sink.run_available(changes, "weekly")
+    rows = stream_activity.stream_weekly_activity(_activity_stream(d))
+    path = sink.run_sums(rows, "weekly", ["user_id", "week"], stream_activity.COUNTERS)
     schema = "user_id bigint, week date, tasks_completed bigint, focus_minutes bigint"
-    return sink.read_current(d.spark, path, schema, ["user_id", "week"])
+    return sink.read_sums(d.spark, path, schema, ["user_id", "week"])
 
 
 @query
@@ -964,15 +982,10 @@ def stream_dedup(d: StandIns) -> DataFrame:
 
 @query
 def stream_sessions(d: StandIns) -> DataFrame:
-    """Sessions by stream, as far as the watermark has come."""
-    changes = stream_timers.stream_sessions(with_timer_columns(_event_stream(d)))
-    path = sink.run_available(changes, "sessions", "append")
-    schema = (
-        "user_id bigint, start_event_id bigint, task_id bigint, is_break boolean, "
-        "planned_minutes int, started_at timestamp_ntz, ended_at timestamp_ntz, "
-        "outcome string, elapsed_seconds bigint"
-    )
-    return sink.read_appended(d.spark, path, schema)
+    """Sessions by stream, what waits behind the watermark included once the stream is over."""
+    path, progress = new_folder(d.spark, "sessions"), new_folder(d.spark, "sessions-progress")
+    stream_timers.stream_sessions(with_timer_columns(_event_stream(d)), path, progress).awaitTermination()
+    return stream_timers.whole_sessions(d.spark, path)
 
 
 @query

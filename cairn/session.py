@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 LOCAL_FOLDER = "cairn.local.folder"
+RUN_FOLDER = "cairn.run.folder"
 
 
 def local_session(cores: int | str = "*", name: str = "cairn") -> SparkSession:
@@ -33,27 +39,56 @@ def local_session(cores: int | str = "*", name: str = "cairn") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor can reach, as named by the cluster.
 
-    Only a local master may fall back to a folder of its own.
+    Only a local master may do without that setting: it gets a folder of its
+    own, which goes when the process ends.
     """
     folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.conf.get(LOCAL_FOLDER, None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="cairn-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set(LOCAL_FOLDER, folder)
     return folder.rstrip("/")
 
 
+@contextlib.contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """One folder for all intermediate tables made in the block; it is removed at the end.
+
+    Results are lazy and read those tables: write or collect them inside.
+    """
+    outer = spark.conf.get(RUN_FOLDER, None)
+    path = f"{shared_folder(spark)}/cairn-run-{uuid.uuid4().hex}"
+    spark.conf.set(RUN_FOLDER, path)
+    try:
+        yield path
+    finally:
+        if outer is None:
+            spark.conf.unset(RUN_FOLDER)
+        else:
+            spark.conf.set(RUN_FOLDER, outer)
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate tables; the one place that asks the file system itself."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_folder(spark)}/cairn-{label}-{uuid.uuid4().hex}"
+    """A fresh path under the folder of the run, or else under the shared folder."""
+    base = spark.conf.get(RUN_FOLDER, None) or shared_folder(spark)
+    return f"{base}/cairn-{label}-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame, label: str = "step") -> DataFrame:
     """Write the rows to the shared folder and read them back.
 
     This cuts the lineage, fixes generated positions for good, survives lost
-    executors and gives the planner exact sizes for its join choices.
+    executors and gives the planner exact sizes for its join choices. The table
+    lives as long as its run, see ``run_folder``.
     """
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cairn.functions.columns import MICROS_PER_DAY, micros
+from cairn.functions.columns import micros
 
 LATE = "1 day"
 
@@ -34,37 +34,31 @@ def on_event_time(events: DataFrame, late: str = LATE) -> DataFrame:
     return events.withColumn("event_time", point).withWatermark("event_time", late)
 
 
-def _window_day(window: str) -> Column:
-    """The zone-free day a window starts on."""
-    days = F.expr(f"cast(unix_micros({window}.start) div {MICROS_PER_DAY} as int)")
-    return F.date_from_unix_date(days)
+COUNTERS = ["tasks_completed", "focus_minutes"]
 
 
-def _counters() -> list:
+def _counted(events: DataFrame, name: str, day: Column) -> DataFrame:
     kind = F.col("kind")
-    return [
-        F.count_if(kind == "complete").alias("tasks_completed"),
-        F.coalesce(
-            F.sum(F.when(kind == "focus", F.col("duration_minutes"))), F.lit(0)
-        ).cast("bigint").alias("focus_minutes"),
-    ]
-
-
-def stream_daily_activity(events: DataFrame, late: str = LATE) -> DataFrame:
-    """Counters per user and day; use update mode, a day's row is sent at each change."""
-    counted = on_event_time(events, late).filter(F.col("kind").isin("complete", "focus"))
-    return counted.groupBy("user_id", F.window("event_time", "1 day")).agg(*_counters()).select(
-        "user_id", _window_day("window").alias("date"), "tasks_completed", "focus_minutes"
+    return events.filter(kind.isin("complete", "focus")).select(
+        "user_id",
+        day.alias(name),
+        (kind == "complete").cast("bigint").alias("tasks_completed"),
+        F.when(kind == "focus", F.coalesce("duration_minutes", F.lit(0))).otherwise(0).cast("bigint")
+        .alias("focus_minutes"),
     )
 
 
-def stream_weekly_activity(events: DataFrame, late: str = LATE) -> DataFrame:
-    """Counters per user and week from Monday; 1970 began on a Thursday, hence the shift."""
-    counted = on_event_time(events, late).filter(F.col("kind").isin("complete", "focus"))
-    week = F.window("event_time", "7 days", "7 days", "4 days")
-    return counted.groupBy("user_id", week).agg(*_counters()).select(
-        "user_id", _window_day("window").alias("week"), "tasks_completed", "focus_minutes"
-    )
+def stream_daily_activity(events: DataFrame) -> DataFrame:
+    """What each event adds to the counters of its user and day; sum it up with ``sink.write_sums``.
+
+    Late events count like all others, and no state is kept.
+    """
+    return _counted(events, "date", F.to_date("ts"))
+
+
+def stream_weekly_activity(events: DataFrame) -> DataFrame:
+    """What each event adds to the counters of its user and week from Monday."""
+    return _counted(events, "week", F.to_date(F.date_trunc("week", F.col("ts"))))
 
 
 def stream_dedup(events: DataFrame, late: str = LATE, salts: int = 8) -> DataFrame:
@@ -73,7 +67,8 @@ def stream_dedup(events: DataFrame, late: str = LATE, salts: int = 8) -> DataFra
     Copies are first thinned in ``salts`` groups, so an event that was sent very
     often is spread over that many tasks and the second step sees it at most
     ``salts`` times per batch. The salt may change when a batch is retried: the
-    second step alone decides what passes.
+    second step alone decides what passes. The price is that each id is kept and
+    shuffled twice; use ``salts=1`` for sources that cannot repeat one id often.
     """
     timed = on_event_time(events, late)
     if salts > 1:

@@ -1,4 +1,9 @@
-"""Upserts on plain parquet: each micro-batch is a partition, readers keep the newest."""
+"""Streams into plain parquet: each micro-batch is a partition of its own.
+
+``write_changes`` stores rows that replace older ones, and readers keep the
+newest per key. ``write_sums`` stores what a batch adds per key, and readers add
+up. A batch that is tried again overwrites its own partition only.
+"""
 
 from __future__ import annotations
 
@@ -6,47 +11,105 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cairn.session import new_folder
-
-
-def write_changes(changes: DataFrame, path: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
-    """Start a stream that stores each batch's rows under ``batch_id=N``.
+from cairn.session import durable, new_folder, remove
 
-    A retried batch overwrites its own partition only, so rows are never doubled.
-    """
+BATCH = "batch_id"
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
+def _start(rows: DataFrame, store, checkpoint: str, mode: str, trigger: dict | None) -> StreamingQuery:
     return (
-        changes.writeStream.outputMode(mode)
+        rows.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .foreachBatch(store)
         .start()
     )
 
 
+def write_changes(
+    changes: DataFrame, path: str, checkpoint: str, mode: str = "update", trigger: dict | None = None
+) -> StreamingQuery:
+    """Start a stream that stores each batch's rows under ``batch_id=N``.
+
+    ``trigger`` is that of ``DataStreamWriter``, such as ``{"processingTime": "1
+    minute"}`` for a stream that keeps running; by default it ends when all
+    input is read.
+    """
+    return _start(
+        changes, lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={number}"),
+        checkpoint, mode, trigger,
+    )
+
+
+def write_sums(
+    rows: DataFrame, keys: list[str], values: list[str], path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Start a stream that stores the sums of each batch per key.
+
+    There is no state and no watermark: a row that comes weeks late is added
+    like any other.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        sums = batch.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
+        sums.write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")
+
+    return _start(rows, store, checkpoint, "append", trigger)
+
+
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(f"{schema}, {BATCH} bigint").option("basePath", path).parquet(path)
+
+
 def read_current(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:
     """The newest stored row per key."""
-    stored = spark.read.schema(f"{schema}, batch_id bigint").option("basePath", path).parquet(path)
-    values = [c for c in stored.columns if c not in (*keys, "batch_id")]
-    newest = F.max_by(F.struct(*values), "batch_id").alias("v")
+    stored = _stored(spark, path, schema)
+    values = [c for c in stored.columns if c not in (*keys, BATCH)]
+    newest = F.max_by(F.struct(*values), BATCH).alias("v")
     return stored.groupBy(*keys).agg(newest).select(*keys, "v.*")
 
 
+def read_sums(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:
+    """The sums of all batches per key."""
+    stored = _stored(spark, path, schema)
+    values = [c for c in stored.columns if c not in (*keys, BATCH)]
+    return stored.groupBy(*keys).agg(*[F.sum(v).cast("bigint").alias(v) for v in values])
+
+
 def read_appended(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """All stored rows of a stream in append mode."""
-    return (
-        spark.read.schema(f"{schema}, batch_id bigint").option("basePath", path)
-        .parquet(path).drop("batch_id")
-    )
+    return _stored(spark, path, schema).drop(BATCH)
+
+
+def compact(spark: SparkSession, path: str, schema: str, keys: list[str], upto: int, sums: bool = False) -> None:
+    """Put the batches before ``upto`` together as batch ``upto - 1``, to be run while no reader is at work.
+
+    Readers give the same rows before and after, and read one partition where
+    there were many. Batches from ``upto`` on, which may still be written, stay.
+    """
+    old = _stored(spark, path, schema).filter(F.col(BATCH) < upto)
+    numbers = [r[0] for r in old.select(BATCH).distinct().collect()]  # one number per batch
+    values = [c for c in old.columns if c not in (*keys, BATCH)]
+    if sums:
+        merged = old.groupBy(*keys).agg(*[F.sum(v).cast("bigint").alias(v) for v in values])
+    else:
+        newest = F.max_by(F.struct(*values), BATCH).alias("v")
+        merged = old.groupBy(*keys).agg(newest).select(*keys, "v.*")
+    durable(merged, "compacted").write.mode("overwrite").parquet(f"{path}/{BATCH}={upto - 1}")
+    for number in numbers:
+        if number != upto - 1:
+            remove(spark, f"{path}/{BATCH}={number}")
 
 
 def run_available(changes: DataFrame, label: str, mode: str = "update") -> str:
     """Run a stream over all input there is and return the folder with its rows."""
-    spark = changes.sparkSession
-    path = new_folder(spark, label)
-    query = write_changes(changes, path, new_folder(spark, f"{label}-progress"), mode)
-    query.awaitTermination()
+    path, progress = new_folder(changes.sparkSession, label), new_folder(changes.sparkSession, f"{label}-progress")
+    write_changes(changes, path, progress, mode).awaitTermination()
+    return path
+
+
+def run_sums(rows: DataFrame, label: str, keys: list[str], values: list[str]) -> str:
+    """Sum up all input there is and return the folder with the sums."""
+    path, progress = new_folder(rows.sparkSession, label), new_folder(rows.sparkSession, f"{label}-progress")
+    write_sums(rows, keys, values, path, progress).awaitTermination()
     return path

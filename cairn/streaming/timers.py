@@ -1,156 +1,101 @@
-"""Timer sessions as they happen."""
+"""Timer sessions as they happen, by the fold that the batch operator uses.
+
+Each micro-batch is folded in the JVM from the timers that the batches before
+left set. What it leaves behind lies beside the sessions in one folder per
+batch, so a batch that is tried again replaces its own output only:
+
+- ``sessions``: sessions that ended, once each;
+- ``timers``: timers still set;
+- ``waiting``: events newer than the watermark, which may still be overtaken;
+- ``late``: events older than what had been folded when they came. They are
+  kept, for a batch run over the whole log;
+- ``marks``: how far the log is folded.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import datetime as dt
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
-
-from cairn.functions.columns import MICROS_PER_SECOND, from_micros, micros
-from cairn.streaming.activity import on_event_time
-
-TIMER = (
-    "start_event_id long, task_id long, is_break boolean, planned_minutes int, "
-    "started long, remaining long, resumed long"
-)
-WAITING = (
-    "event_id long, at long, kind string, planned_minutes int, is_break boolean, task_id long"
-)
-SESSION = (
-    "user_id long, start_event_id long, task_id long, is_break boolean, planned_minutes int, "
-    "started long, ended long, active long, outcome string"
-)
-
-
-
-class TimerProcessor(StatefulProcessor):
-    """Holds one timer per user and the events that the watermark has not passed yet.
-
-    Events act in time order: they wait until the watermark says that no earlier
-    one can come. A running timer closes once the watermark passes its end.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._timer = handle.getValueState("timer", TIMER)
-        self._waiting = handle.getListState("waiting", WAITING)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        arrived = [
-            (int(r.event_id), int(r.at), r.kind, _int(r.planned_minutes), _bool(r.is_break), _int(r.task_id))
-            for frame in rows
-            for r in frame.itertuples(index=False)
-        ]
-        waiting = [tuple(w) for w in self._waiting.get()] + arrived
-        yield from self._advance(int(key[0]), waiting, timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        waiting = [tuple(w) for w in self._waiting.get()]
-        yield from self._advance(int(key[0]), waiting, timerValues.getCurrentWatermarkInMs())
-
-    def close(self) -> None:
-        pass
-
-    def _advance(self, user: int, waiting: list[tuple], watermark_ms: int):
-        safe = watermark_ms * 1000
-        waiting.sort(key=lambda w: (w[1], w[0]))
-        timer = tuple(self._timer.get()) if self._timer.exists() else None
-        out: list[tuple] = []
-        held: list[tuple] = []
-        for event in waiting:
-            if event[1] >= safe:
-                held.append(event)
-                continue
-            timer = _apply(user, timer, event, out)
-        timer = _run_out(user, timer, safe, out, strict=True)
-        self._timer.update(timer) if timer else self._timer.clear()
-        self._waiting.put(held) if held else self._waiting.clear()
-        self._wake(timer, held)
-        if out:
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in SESSION.split(", ")]).astype(
-                {"task_id": "Int64"}
-            )
-
-    def _wake(self, timer: tuple | None, held: list[tuple]) -> None:
-        for old in list(self._handle.listTimers()):
-            self._handle.deleteTimer(old)
-        times = [held[0][1]] if held else []
-        if timer and timer[6] is not None:
-            times.append(timer[6] + timer[5])
-        if times:
-            self._handle.registerTimer(min(times) // 1000 + 1)
-
-
-def _int(value):
-    return None if pd.isna(value) else int(value)
-
-
-def _bool(value):
-    return None if pd.isna(value) else bool(value)
-
-
-def _closed(user: int, timer: tuple, ended: int, left: int, outcome: str) -> tuple:
-    total = timer[3] * 60 * MICROS_PER_SECOND
-    return (user, *timer[:5], ended, total - left, outcome)
-
-
-def _run_out(user: int, timer: tuple | None, now: int, out: list, strict: bool = False):
-    """Close a running timer whose end has come."""
-    if timer is None or timer[6] is None:
-        return timer
-    end = timer[6] + timer[5]
-    if end < now or (end == now and not strict):
-        out.append(_closed(user, timer, end, 0, "completed"))
-        return None
-    return timer
+from pyspark.sql.streaming import StreamingQuery
 
+from cairn.functions.columns import micros
+from cairn.operators import sessions
+from cairn.session import durable
 
-def _apply(user: int, timer: tuple | None, event: tuple, out: list):
-    event_id, now, kind, minutes, is_break, task_id = event
-    timer = _run_out(user, timer, now, out)
-    if timer is None:
-        if kind == "start" and minutes is not None and 1 <= minutes <= 120:
-            total = minutes * 60 * MICROS_PER_SECOND
-            return (event_id, task_id, is_break, minutes, now, total, now)
-        return None
-    remaining, resumed = timer[5], timer[6]
-    if resumed is not None:
-        remaining -= now - resumed
-    if kind == "stop":
-        out.append(_closed(user, timer, now, remaining, "stopped"))
+COLUMNS = ("user_id", "event_id", "ts", "kind", "planned_minutes", "is_break", "task_id")
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None
-    if kind == "toggle":
-        return (*timer[:5], remaining, now if resumed is None else None)
-    return timer
 
 
-# The state store that keeps timers.
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+def fold_batch(batch: DataFrame, path: str, number: int, late: dt.timedelta) -> None:
+    """Fold one micro-batch into the folder of its number, from that of the one before."""
+    spark = batch.sparkSession
+    rows = durable(batch.select(*COLUMNS), "stream-batch")
+    mark = _read(spark, f"{path}/marks/batch={number - 1}")
+    before = mark.first()["safe"] if mark is not None else None
+    newest = rows.agg(F.max("ts")).first()[0]
+    known = [t for t in (before, newest - late if newest else None) if t is not None]
+    safe = max(known) if known else None
+    point = lambda t: F.lit(t).cast("timestamp_ntz")
+    overtaken = F.col("ts") < point(before) if before else F.lit(False)
+    held = _read(spark, f"{path}/waiting/batch={number - 1}")
+    waiting = rows.filter(~overtaken)
+    waiting = durable(waiting.unionByName(held.select(*COLUMNS)) if held is not None else waiting, "waiting")
+    timers = _read(spark, f"{path}/timers/batch={number - 1}")
+    passed = F.col("ts") < point(safe) if safe else F.lit(False)
+    folds = sessions.fold_log(waiting.filter(passed), timers)
+    left = durable(sessions.timers_after(folds), "timers")
+    over = F.coalesce(sessions.timer_end() < micros(point(safe)), F.lit(False)) if safe else F.lit(False)
+    ended = sessions.closed_in(folds).unionByName(sessions.run_out(left.filter(over)))
+
+    def put(frame: DataFrame, name: str) -> None:
+        frame.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+
+    put(sessions.sessions_of(ended), "sessions")
+    put(left.filter(~over), "timers")
+    put(waiting.filter(~passed), "waiting")
+    put(rows.filter(overtaken), "late")
+    put(spark.range(1).select(point(safe).alias("safe")), "marks")  # last: the batch is whole
+
+
+def stream_sessions(
+    events: DataFrame, path: str, checkpoint: str, late: dt.timedelta = dt.timedelta(hours=1),
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Start a stream that keeps sessions under ``path``; by default it ends when all input is read."""
+    return (
+        events.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .foreachBatch(lambda batch, number: fold_batch(batch, path, number, late))
+        .start()
+    )
 
 
-def stream_sessions(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Sessions in append mode, once each, as soon as the watermark allows.
+def read_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """The sessions that have ended by the watermark."""
+    return spark.read.option("basePath", f"{path}/sessions").parquet(f"{path}/sessions").drop("batch")
 
-    One user's events act one after the other, so a micro-batch must be small
-    enough for its busiest user: bound it at the source.
-    """
-    events.sparkSession.conf.set(STATE_STORE, ROCKSDB)
-    rows = on_event_time(events, late).select(
-        "user_id", "event_id", "event_time", micros(F.col("ts")).alias("at"), "kind",
-        "planned_minutes", "is_break", "task_id",
-    )
-    closed = rows.groupBy("user_id").transformWithStateInPandas(
-        TimerProcessor(), StructType.fromDDL(SESSION), "Append", "EventTime"
-    )
-    return closed.select(
-        "user_id", "start_event_id", "task_id", "is_break", "planned_minutes",
-        from_micros(F.col("started")).alias("started_at"),
-        from_micros(F.col("ended")).alias("ended_at"),
-        "outcome",
-        F.expr(f"active div {MICROS_PER_SECOND}").alias("elapsed_seconds"),
-    )
+
+def read_late(spark: SparkSession, path: str) -> DataFrame:
+    """The events that came too late to be folded."""
+    return spark.read.option("basePath", f"{path}/late").parquet(f"{path}/late").drop("batch")
+
+
+def whole_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """All sessions once a stream is over: what has ended, and the events and timers still waiting, folded to their end."""
+    last = spark.read.option("basePath", f"{path}/marks").parquet(f"{path}/marks").agg(F.max("batch")).first()[0]
+    waiting, timers = (_read(spark, f"{path}/{name}/batch={last}") for name in ("waiting", "timers"))
+    folds = sessions.fold_log(waiting, timers)
+    tail = sessions.closed_in(folds).unionByName(sessions.run_out(sessions.timers_after(folds)))
+    done = read_sessions(spark, path)
+    return done.unionByName(sessions.sessions_of(tail).select(*done.columns))

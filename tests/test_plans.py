@@ -5,14 +5,12 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from cairn.operators import activity, history, ordered, profiles, scoring, tasks, trends
+from cairn.plans.checks import CHECKS
 from cairn.plans.queries import QUERIES
 from tests.conftest import DATA
 from tools.compare import connect, normal
 
-PLAIN = [
-    name for name in QUERIES
-    if not name.startswith(("stream_", "scan_", "decode_", "sink_", "delete_", "reconstruct", "auto_", "focus_"))
-]
+PLAIN = list(QUERIES)
 
 
 def plan(frame):
@@ -26,6 +24,22 @@ def test_no_python_and_no_product(spark, name):
         assert word not in text
 
 
+def exchanges(frame):
+    return plan(frame).count("Exchange ") - plan(frame).count("BroadcastExchange ")
+
+
+def test_one_shuffle_scores_and_compares(stand):
+    scored = scoring.score_questionnaire(stand.answers, validated=True)
+    assert exchanges(scored) == 1 and "collect_list" not in plan(scored)
+    before = stand.tasks.select("user_id", "id", "status")
+    assert exchanges(tasks.snapshot_diff(before, before.filter("status <> 'done'"))) == 1
+
+
+@pytest.mark.parametrize("name", ["delete_results", "delete_all_results", "delete_entries", "delete_session"])
+def test_deletes_shuffle_little(spark, name):
+    assert exchanges(QUERIES[name](spark, DATA)) <= 8
+
+
 def test_limits_are_cut_before_the_shuffle(stand):
     text = plan(history.recent_sessions(stand.sessions, 5))
     assert text.count("WindowGroupLimit") == 2
@@ -54,16 +68,17 @@ def test_entry_and_contract(spark):
     frame = contract.entry(spark)
     assert frame.count() > 0
     assert contract.oracle_sql()
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(CHECKS)
+    assert set(QUERIES) <= set(contract.queries()) and set(CHECKS) <= set(contract.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(CHECKS))
 def test_query_agrees_with_its_sql(spark, name):
     import pandas as pd
 
     frame = QUERIES[name](spark, DATA)
     mine = pd.DataFrame([tuple(r) for r in frame.collect()], columns=frame.columns, dtype=object)
-    result = connect(DATA).execute(contract.oracle_sql()[name])
+    result = connect(DATA).execute(CHECKS[name])
     other = pd.DataFrame(result.fetchall(), columns=[c[0] for c in result.description], dtype=object)
     assert sorted(mine.columns) == sorted(other.columns)
     assert normal(mine) == normal(other)

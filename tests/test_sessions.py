@@ -156,3 +156,26 @@ def test_chains(spark, sizes):
     assert rows(chains, "chain", "sessions", "focus_blocks", "focus_minutes", "task_id") == [
         (1, 3, 2, 2, 42), (2, 1, 0, 0, None), (3, 1, 1, 1, None), (4, 1, 1, 1, None)
     ]
+
+
+@pytest.mark.parametrize("chunks,most", [(31, 8), (1000, 14)])
+def test_a_timer_leaps_over_the_chunks_it_sits_through(spark, chunks, most):
+    """Starts only, chunks of 8 rows, plans far longer than a chunk: few turns, the right sessions."""
+    seconds = 3 * 3600 / 1000  # a chunk each
+    log = spark.range(chunks * 8).select(
+        F.lit(1).cast("bigint").alias("user_id"), F.col("id").alias("event_id"),
+        F.timestamp_micros((F.col("id") * int(seconds / 8 * 1e6)).cast("bigint")).cast("timestamp_ntz").alias("ts"),
+        F.lit("start").alias("kind"), F.lit(100).alias("planned_minutes"), F.lit(False).alias("is_break"),
+        F.lit(None).cast("bigint").alias("task_id"),
+    )
+    folds = sessions.fold_log(log, chunk_rows=8)
+    assert len(folds) <= most
+    found = sessions.reconstruct_sessions(log, chunk_rows=8)
+    begins = [r.start_event_id for r in found.orderBy("started_at").collect()]
+    step, expected = int(seconds / 8 * 1e6), [0]
+    while True:
+        after = -(-(expected[-1] * step + 100 * 60 * 10**6) // step)
+        if after >= chunks * 8:
+            break
+        expected.append(after)
+    assert begins == expected

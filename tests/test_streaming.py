@@ -1,15 +1,16 @@
 """Streams end where the batch operators end."""
 
 import datetime as dt
+import pathlib
 import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from cairn.operators import profiles, sessions
 from cairn.plans.queries import QUERIES
-from cairn.plans.stand_ins import with_timer_columns
-from cairn.session import new_folder
+from cairn.session import new_folder, run_folder, shared_folder
 from cairn.streaming import activity, sink, timers
 from tests.conftest import DATA
 
@@ -35,17 +36,25 @@ def test_weeks_are_sums_of_days(spark, stand):
     assert same(weekly, days)
 
 
-def test_counters_over_several_batches_and_retries(spark, stand):
-    """Files arrive one by one; a day's row is replaced as it grows."""
+DAILY_SCHEMA = "user_id bigint, date date, tasks_completed bigint, focus_minutes bigint"
+
+
+def test_counters_over_several_batches_late_rows_and_compaction(spark, stand):
+    """Files arrive one by one, the oldest days last; batches put together say the same."""
     source = tempfile.mkdtemp(prefix="cairn-test-")
     events = stand.activity.filter("kind <> 'focus' or duration_minutes between 1 and 120")
-    events.repartitionByRange(4, "ts").write.mode("append").parquet(source)
+    for part in range(4, 0, -1):
+        own = events.filter(F.pmod(F.dayofmonth("ts"), F.lit(4)) == part - 1)
+        own.coalesce(1).write.mode("append").parquet(source)
     stream = activity.read_events(spark, source, events.schema, files_per_batch=1)
-    path = sink.run_available(activity.stream_daily_activity(stream, late="40 days"), "daily")
-    schema = "user_id bigint, date date, tasks_completed bigint, focus_minutes bigint"
-    stored = spark.read.option("basePath", path).parquet(path)
-    assert stored.select("batch_id").distinct().count() >= 4
-    assert same(sink.read_current(spark, path, schema, ["user_id", "date"]), stand.daily)
+    keys = ["user_id", "date"]
+    path = sink.run_sums(activity.stream_daily_activity(stream), "daily", keys, activity.COUNTERS)
+    numbers = spark.read.option("basePath", path).parquet(path).select("batch_id").distinct().count()
+    assert numbers >= 4
+    assert same(sink.read_sums(spark, path, DAILY_SCHEMA, keys), stand.daily)
+    sink.compact(spark, path, DAILY_SCHEMA, keys, upto=3, sums=True)
+    assert spark.read.option("basePath", path).parquet(path).select("batch_id").distinct().count() == numbers - 2
+    assert same(sink.read_sums(spark, path, DAILY_SCHEMA, keys), stand.daily)
 
 
 @pytest.mark.parametrize("salts", [1, 8])
@@ -60,27 +69,48 @@ def test_copies_pass_once(spark, stand, salts):
     assert same(sink.read_appended(spark, path, "event_id bigint"), events.select("event_id"))
 
 
+def run_sessions(spark, source, schema, late):
+    stream = activity.read_events(spark, source, schema, files_per_batch=1)
+    path = new_folder(spark, "sessions")
+    timers.stream_sessions(stream, path, new_folder(spark, "progress"), late).awaitTermination()
+    return path
+
+
 def test_sessions_by_stream_and_by_batch(spark, stand):
-    """A late heartbeat of another user moves the watermark past every timer."""
+    """Three micro-batches in order, none late: ended, waiting and open sessions together are all of them."""
     source = tempfile.mkdtemp(prefix="cairn-test-")
     events = stand.timer_events
-    ends = events.agg(F.max("ts")).first()[0]
-    parts = events.repartitionByRange(3, "ts")
-    parts.write.mode("append").parquet(source)
-    beats = [(99, -1, ends + dt.timedelta(days=3), "stop", None, None, None)]
-    spark.createDataFrame(beats, events.select("user_id", "event_id", "ts", "kind", "planned_minutes", "is_break", "task_id").schema).coalesce(1).write.mode("append").parquet(source)
-    stream = activity.read_events(spark, source, events.schema, files_per_batch=1)
-    path = sink.run_available(timers.stream_sessions(stream, late="30 days"), "sessions", "append")
-    schema = (
-        "user_id bigint, start_event_id bigint, task_id bigint, is_break boolean, planned_minutes int, "
-        "started_at timestamp_ntz, ended_at timestamp_ntz, outcome string, elapsed_seconds bigint"
-    )
-    streamed = sink.read_appended(spark, path, schema)
-    # With 30 days of patience nothing is late, and only what is 30 days old is out.
-    limit = ends + dt.timedelta(days=3) - dt.timedelta(days=30)
-    batch = sessions.reconstruct_sessions(events).filter(F.col("ended_at") < F.lit(limit).cast("timestamp_ntz"))
-    assert not streamed.isEmpty()
-    assert same(streamed, batch.select(streamed.columns))
+    events.repartitionByRange(3, "ts").write.mode("append").parquet(source)
+    path = run_sessions(spark, source, events.schema, dt.timedelta(days=40))
+    assert timers.read_late(spark, path).isEmpty()
+    assert same(timers.whole_sessions(spark, path), sessions.reconstruct_sessions(events))
+    path = run_sessions(spark, source, events.schema, dt.timedelta(hours=1))
+    ended = timers.read_sessions(spark, path)
+    late = timers.read_late(spark, path).select("event_id")
+    assert not ended.isEmpty()
+    on_time = sessions.reconstruct_sessions(events.join(late, "event_id", "left_anti"))
+    assert same(timers.whole_sessions(spark, path), on_time)
+
+
+def test_late_timer_events_are_kept_aside(spark, stand):
+    source = tempfile.mkdtemp(prefix="cairn-test-")
+    events = stand.timer_events
+    for day in (20, 2):  # the older day comes second
+        own = events.filter(F.dayofmonth("ts") == day)
+        own.coalesce(1).write.mode("append").parquet(source)
+        time.sleep(1.1)  # files are read in the order of their times
+    path = run_sessions(spark, source, events.schema, dt.timedelta(hours=1))
+    old = events.filter(F.dayofmonth("ts") == 2)
+    assert same(timers.read_late(spark, path).select("event_id"), old.select("event_id"))
+
+
+def test_nothing_is_left_behind_a_run(spark, stand):
+    shared = pathlib.Path(shared_folder(spark).removeprefix("file:"))
+    before = set(shared.iterdir())
+    with run_folder(spark) as path:
+        assert sessions.reconstruct_sessions(stand.timer_events).count() > 0
+        assert any(pathlib.Path(path.removeprefix("file:")).iterdir())
+    assert set(shared.iterdir()) == before
 
 
 def test_state_is_one_row_per_user(spark, stand):
