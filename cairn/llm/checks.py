@@ -97,3 +97,62 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
         AND word_length >= least_word AS kept
 FROM ratios r JOIN limits l ON r.lang IS NOT DISTINCT FROM l.lang AND r.source IS NOT DISTINCT FROM l.source
 """
+
+
+def _deal(children: str, parent: str, order: str) -> str:
+    """Budgets of the children (capacity, weight, given) of each parent, as ``mixing.deal`` gives them."""
+    over = f"PARTITION BY {parent}" if parent else ""
+    line = f"{over} ORDER BY capacity / weight, " + ", ".join(f"{c} NULLS FIRST" for c in order.split(", "))
+    return f"""
+    SELECT *, budget0 + CASE WHEN NOT is_full AND opened <= spare THEN 1 ELSE 0 END AS budget FROM (
+        SELECT *, given - sum(budget0) OVER ({over}) AS spare,
+            sum(CASE WHEN is_full THEN 0 ELSE 1 END) OVER ({line} ROWS UNBOUNDED PRECEDING) AS opened FROM (
+            SELECT *, CASE WHEN is_full THEN capacity ELSE (rest * weight) // greatest(open_weight, 1) END AS budget0 FROM (
+                SELECT *, given - sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER ({over}) AS rest,
+                    sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ({over}) AS open_weight FROM (
+                    SELECT *, capacity * share <= (given - spent) * weight AS is_full FROM (
+                        SELECT *, coalesce(sum(capacity) OVER ({line} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent,
+                            sum(weight) OVER ({line} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share
+                        FROM {children} WHERE weight > 0) a) b) c) d) e"""
+
+
+CHECKS["op4_mixed_sources"] = f"""
+WITH docs AS (
+    SELECT doc_id, lang, source, CASE right(source, 1) WHEN '0' THEN 'web' WHEN '1' THEN 'web' WHEN '2' THEN 'web'
+            WHEN '3' THEN 'books' WHEN '4' THEN 'books' WHEN '5' THEN 'books' WHEN '6' THEN 'talk' WHEN '7' THEN 'talk'
+            ELSE CASE WHEN source IS NOT NULL THEN 'code' END END AS domain,
+        CASE WHEN coalesce(text, '') = '' THEN 0 ELSE length(text) - length(replace(text, ' ', '')) + 1 END AS tokens
+    FROM documents
+), leaves AS (
+    SELECT domain, lang, source, sum(tokens) AS tokens, 2 * sum(tokens) AS capacity FROM docs GROUP BY ALL
+), top AS (
+    SELECT domain, sum(capacity) AS capacity, (SELECT sum(tokens) FROM leaves) AS given,
+        CASE domain WHEN 'web' THEN 4 WHEN 'books' THEN 3 WHEN 'talk' THEN 2 WHEN 'code' THEN 2 ELSE 1 END AS weight
+    FROM leaves GROUP BY domain
+), top_dealt AS ({_deal("top", "", "domain")}
+), middle AS (
+    SELECT l.domain, l.lang, sum(l.capacity) AS capacity, any_value(t.budget) AS given,
+        CASE l.lang WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 WHEN 'es' THEN 2 ELSE 1 END AS weight
+    FROM leaves l JOIN top_dealt t ON l.domain IS NOT DISTINCT FROM t.domain GROUP BY l.domain, l.lang
+), middle_dealt AS ({_deal("middle", "domain", "domain, lang")}
+), low AS (
+    SELECT l.domain, l.lang, l.source, l.tokens, l.capacity, m.budget AS given,
+        CASE l.source WHEN 'src0' THEN 3 ELSE 1 END AS weight
+    FROM leaves l JOIN middle_dealt m ON l.domain IS NOT DISTINCT FROM m.domain AND l.lang IS NOT DISTINCT FROM m.lang
+), low_dealt AS ({_deal("low", "domain, lang", "domain, lang, source")}
+), ends AS (
+    SELECT domain, lang, source, CASE WHEN tokens = 0 THEN 0 ELSE budget // tokens END AS whole,
+        CASE WHEN tokens = 0 THEN 0 ELSE budget % tokens END AS rest FROM low_dealt
+), placed AS (
+    SELECT d.*, e.whole, e.rest, coalesce(sum(d.tokens) OVER (
+        PARTITION BY d.domain, d.lang, d.source ORDER BY md5('17:' || e.whole::BIGINT || ':' || coalesce(d.doc_id::VARCHAR, 'null'))
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun
+    FROM docs d JOIN ends e ON d.domain IS NOT DISTINCT FROM e.domain AND d.lang IS NOT DISTINCT FROM e.lang
+        AND d.source IS NOT DISTINCT FROM e.source
+)
+SELECT doc_id, domain, lang, source, tokens, epoch, tokens AS tokens_taken
+FROM (SELECT *, unnest(range(0, whole::BIGINT)) AS epoch FROM placed)
+UNION ALL
+SELECT doc_id, domain, lang, source, tokens, whole::BIGINT, least(tokens, rest - begun)::BIGINT
+FROM placed WHERE begun < rest
+"""
