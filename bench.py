@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from cairn.plans.queries import QUERIES  # noqa: E402
-from cairn.session import local_session  # noqa: E402
+from cairn.session import local_session, run_folder  # noqa: E402
 
 HEADLINE = [
     "status_summary",
@@ -37,10 +37,11 @@ HEADLINE = [
 
 
 def run_once(spark, name: str, folder: str) -> float:
-    """Seconds for the whole result, computed but not kept."""
-    began = time.perf_counter()
-    QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - began
+    """Seconds for the whole result, computed but not kept; what it wrote on the way is removed."""
+    with run_folder(spark):
+        began = time.perf_counter()
+        QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
 
 
 def main() -> None:

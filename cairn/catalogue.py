@@ -49,6 +49,23 @@ BANDS = {
     BISBAS: ("low", "moderate", "high"),
 }
 
+# Cut points of bands and readings, in percent or milliseconds.
+QUARTERS = (25, 50, 75)
+TRAIT_LOW, TRAIT_HIGH = 50, 75
+ANXIETY_LOW, ANXIETY_HIGH = 40, 75
+WHOLE_LOW, WHOLE_HIGH = 33, 66
+ACCURACY_CUTS = {"excellent": 90, "good": 70, "moderate": 50}
+SPEED_CUTS = {"fast": 1000, "average": 2000}
+
+# Cut points of the profile, in percent or milliseconds.
+DIFFICULTY_SEVERE, DIFFICULTY_SOME, DIFFICULTY_LITTLE = 75, 50, 30
+WEAK_ACCURACY, WEAK_MS = 65, 2200
+SHARP_ACCURACY, SHARP_MS = 90, 1200
+
+# Minutes of the profile.
+FOCUS_CAREFUL, FOCUS_EAGER, FOCUS_SHORT = 10, 20, 12
+BREAK_LONG, BREAK_LEAST = 6, 4
+
 
 def domain_max(kind: str) -> int:
     """Highest raw score of one domain."""

@@ -6,18 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cairn.catalogue import (
-    BDEFS, BDEFS_DOMAINS, BIS, BISBAS, BISBAS_DOMAINS, DRIVE, FUN, REWARD,
+    ACCURACY_CUTS, ANXIETY_HIGH, ANXIETY_LOW, BDEFS, BDEFS_DOMAINS, BIS, BISBAS, BISBAS_DOMAINS,
+    DRIVE, FUN, QUARTERS, REWARD, SPEED_CUTS, TRAIT_HIGH, TRAIT_LOW, WHOLE_HIGH, WHOLE_LOW,
     domain_floor, domain_max, total_floor, total_max,
 )
 from cairn.functions.columns import percent, present, score_of
 
 
 def quarter_band(pct: Column, top: str) -> Column:
-    """Four bands cut at 25, 50 and 75, upper bounds included."""
+    """Four bands cut at the quarters, upper bounds included."""
+    low, middle, high = QUARTERS
     return (
-        F.when(pct <= 25, "minimal")
-        .when(pct <= 50, "mild")
-        .when(pct <= 75, "moderate")
+        F.when(pct <= low, "minimal")
+        .when(pct <= middle, "mild")
+        .when(pct <= high, "moderate")
         .otherwise(top)
     )
 
@@ -58,7 +60,7 @@ def bisbas_domain_range(domain: Column) -> Column:
 def bisbas_domain_band(domain: Column, score: Column) -> Column:
     """Low, moderate or high on the floor-free percentage, null for an unknown domain."""
     pct = percent(bisbas_domain_score(domain, score), bisbas_domain_range(domain))
-    band = F.when(pct <= 50, "low").when(pct <= 75, "moderate").otherwise("high")
+    band = F.when(pct <= TRAIT_LOW, "low").when(pct <= TRAIT_HIGH, "moderate").otherwise("high")
     return F.when(domain.isin(*BISBAS_DOMAINS), band)
 
 
@@ -84,15 +86,15 @@ def bisbas_profile_codes(score: Column, scores: Column) -> Column:
     whole = percent(bisbas_total(score), F.lit(bisbas_total_range()))
     return present(
         [
-            F.when(bis >= 75, "bis_high").when(bis <= 40, "bis_low_to_moderate").otherwise(
+            F.when(bis >= ANXIETY_HIGH, "bis_high").when(bis <= ANXIETY_LOW, "bis_low_to_moderate").otherwise(
                 "bis_moderate"
             ),
-            F.when(drive >= 75, "drive_strong").when(drive <= 50, "drive_low").otherwise(
+            F.when(drive >= TRAIT_HIGH, "drive_strong").when(drive <= TRAIT_LOW, "drive_low").otherwise(
                 "drive_moderate"
             ),
-            F.when(reward >= 75, "reward_strong").when(reward <= 50, "reward_weak"),
-            F.when(fun >= 75, "fun_strong").when(fun <= 50, "fun_weak"),
-            F.when(whole <= 33, "overall_low").when(whole >= 66, "overall_high").otherwise(
+            F.when(reward >= TRAIT_HIGH, "reward_strong").when(reward <= TRAIT_LOW, "reward_weak"),
+            F.when(fun >= TRAIT_HIGH, "fun_strong").when(fun <= TRAIT_LOW, "fun_weak"),
+            F.when(whole <= WHOLE_LOW, "overall_low").when(whole >= WHOLE_HIGH, "overall_high").otherwise(
                 "overall_moderate"
             ),
         ]
@@ -105,10 +107,10 @@ def bisbas_tip_codes(scores: Column) -> Column:
     reward, fun = floor_free_pct(scores, REWARD), floor_free_pct(scores, FUN)
     return present(
         [
-            F.when(bis >= 75, "bis_high").when(bis <= 40, "bis_low").otherwise("bis_middle"),
-            F.when(drive <= 50, "drive_low").when(drive >= 75, "drive_high"),
-            F.when(reward >= 75, "reward_high").otherwise("reward_other"),
-            F.when(fun >= 75, "fun_high").otherwise("fun_other"),
+            F.when(bis >= ANXIETY_HIGH, "bis_high").when(bis <= ANXIETY_LOW, "bis_low").otherwise("bis_middle"),
+            F.when(drive <= TRAIT_LOW, "drive_low").when(drive >= TRAIT_HIGH, "drive_high"),
+            F.when(reward >= TRAIT_HIGH, "reward_high").otherwise("reward_other"),
+            F.when(fun >= TRAIT_HIGH, "fun_high").otherwise("fun_other"),
         ]
     )
 
@@ -117,16 +119,16 @@ def stroop_accuracy_code(correct: Column, trials: Column) -> Column:
     """Accuracy code of a reaction test."""
     pct = percent(correct, trials)
     return (
-        F.when(pct >= 90, "excellent")
-        .when(pct >= 70, "good")
-        .when(pct >= 50, "moderate")
+        F.when(pct >= ACCURACY_CUTS["excellent"], "excellent")
+        .when(pct >= ACCURACY_CUTS["good"], "good")
+        .when(pct >= ACCURACY_CUTS["moderate"], "moderate")
         .otherwise("low")
     )
 
 
 def stroop_speed_code(avg_ms: Column) -> Column:
     """Speed code of a reaction test."""
-    return F.when(avg_ms <= 1000, "fast").when(avg_ms <= 2000, "average").otherwise("slow")
+    return F.when(avg_ms <= SPEED_CUTS["fast"], "fast").when(avg_ms <= SPEED_CUTS["average"], "average").otherwise("slow")
 
 
 def clamp(value: Column, low: int, high: int) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn import catalogue
 from cairn.catalogue import AVG_TIME_KEY, BDEFS, BIS, BISBAS, DRIVE, FUN, REWARD, STROOP, domain_max
 from cairn.functions.bands import clamp
 from cairn.functions.columns import percent, score_of
@@ -45,17 +46,17 @@ def with_bisbas_profile(rows: DataFrame, scores: Column) -> DataFrame:
     known = scores.isNotNull()
     flags = rows.withColumns(
         {
-            "_anxious": known & (pct[BIS] >= 75),
-            "_slack": known & (pct[DRIVE] <= 50),
-            "_keen": known & (pct[DRIVE] >= 75),
-            "_rewarded": known & (pct[REWARD] >= 75),
-            "_playful": known & (pct[FUN] >= 75),
+            "_anxious": known & (pct[BIS] >= catalogue.ANXIETY_HIGH),
+            "_slack": known & (pct[DRIVE] <= catalogue.TRAIT_LOW),
+            "_keen": known & (pct[DRIVE] >= catalogue.TRAIT_HIGH),
+            "_rewarded": known & (pct[REWARD] >= catalogue.TRAIT_HIGH),
+            "_playful": known & (pct[FUN] >= catalogue.TRAIT_HIGH),
         }
     )
     careful = F.col("_anxious") | F.col("_slack")
     eager = F.col("_keen") & F.col("_rewarded")
-    focus = F.when(careful, 10).when(eager, 20).otherwise(DEFAULTS["focus_minutes"])
-    rest = F.when(careful, 6).otherwise(DEFAULTS["break_minutes"])
+    focus = F.when(careful, catalogue.FOCUS_CAREFUL).when(eager, catalogue.FOCUS_EAGER).otherwise(DEFAULTS["focus_minutes"])
+    rest = F.when(careful, catalogue.BREAK_LONG).otherwise(DEFAULTS["break_minutes"])
     liked = F.col("_rewarded") | F.col("_keen")
     style = (
         F.when(F.col("_anxious"), "reassuring")
@@ -65,8 +66,8 @@ def with_bisbas_profile(rows: DataFrame, scores: Column) -> DataFrame:
     playful = F.col("_playful")
     return flags.withColumns(
         {
-            "focus_minutes": F.when(playful, F.least(focus, F.lit(12))).otherwise(focus),
-            "break_minutes": F.when(playful, F.greatest(rest, F.lit(6))).otherwise(rest),
+            "focus_minutes": F.when(playful, F.least(focus, F.lit(catalogue.FOCUS_SHORT))).otherwise(focus),
+            "break_minutes": F.when(playful, F.greatest(rest, F.lit(catalogue.BREAK_LONG))).otherwise(rest),
             "nudge_style": style,
             "suggest_breakdown": careful,
             "encourage_reward": liked,
@@ -77,7 +78,8 @@ def with_bisbas_profile(rows: DataFrame, scores: Column) -> DataFrame:
 
 def _with_bdefs(rows: DataFrame) -> DataFrame:
     pct = F.col("_difficulty")
-    severe, some, little = pct >= 75, (pct >= 50) & (pct < 75), pct <= 30
+    severe, little = pct >= catalogue.DIFFICULTY_SEVERE, pct <= catalogue.DIFFICULTY_LITTLE
+    some = (pct >= catalogue.DIFFICULTY_SOME) & ~severe
     hard = severe | some
 
     def when(cond: Column, then: Column, name: str) -> Column:
@@ -98,15 +100,15 @@ def _with_bdefs(rows: DataFrame) -> DataFrame:
 
 def _with_stroop(rows: DataFrame) -> DataFrame:
     accuracy, ms = F.col("_accuracy"), F.col("_avg_ms")
-    weak = (accuracy < 65) | (ms >= 2200)
-    sharp = ~weak & (accuracy >= 90) & (ms > 0) & (ms <= 1200)
+    weak = (accuracy < catalogue.WEAK_ACCURACY) | (ms >= catalogue.WEAK_MS)
+    sharp = ~weak & (accuracy >= catalogue.SHARP_ACCURACY) & (ms > 0) & (ms <= catalogue.SHARP_MS)
     focus, rest, style = F.col("focus_minutes"), F.col("break_minutes"), F.col("nudge_style")
     yes = F.lit(True)
     return rows.withColumns(
         {
-            "focus_minutes": F.when(weak, F.least(focus, F.lit(12))).when(sharp, focus + 2).otherwise(focus),
-            "break_minutes": F.when(weak, F.greatest(rest, F.lit(6)))
-            .when(sharp, F.greatest(rest - 1, F.lit(4))).otherwise(rest),
+            "focus_minutes": F.when(weak, F.least(focus, F.lit(catalogue.FOCUS_SHORT))).when(sharp, focus + 2).otherwise(focus),
+            "break_minutes": F.when(weak, F.greatest(rest, F.lit(catalogue.BREAK_LONG)))
+            .when(sharp, F.greatest(rest - 1, F.lit(catalogue.BREAK_LEAST))).otherwise(rest),
             "nudge_style": F.when(weak & (style != "reward"), "reassuring")
             .when(sharp & (style != "reassuring"), "reward").otherwise(style),
             "suggest_breakdown": F.when(weak, yes).otherwise(F.col("suggest_breakdown")),

@@ -468,7 +468,7 @@ def assessment_asof_session(d: StandIns) -> DataFrame:
     key = F.col("id")
     back = F.make_dt_interval((F.lit(8400) + key % 2300).cast("int"))
     moved = d.sessions.withColumn("completed_at", F.col("completed_at") - back)
-    stored = durable(d.questionnaires)
+    stored = durable(d.questionnaires.filter(F.col("type") == BISBAS))
     return history.assessment_asof_session(moved, stored).drop("domain_scores")
 
 
