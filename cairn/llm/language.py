@@ -22,11 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.llm.common import small_batches
-from cairn.session import durable
 
 #: Bytes of an n-gram, rows of the filter, rows read per n-gram.
 SIZES, ROWS, READS = (3, 5), 1 << 18, 3
-#: At most so many texts are learned from per language, those of lowest hashed doc_id.
+#: About so many texts are learned from per language, those of lowest hashed doc_id.
 TRAIN_TEXTS = 4_000
 #: An n-gram belongs to a language when so large a share of its texts have it, the most frequent ones first.
 LEAST_SHARE, LANGUAGE_GRAMS = 0.01, 20_000
@@ -123,17 +122,19 @@ def build(kept: dict[str, np.ndarray], texts: dict[str, int], rows: int = ROWS)
 def fit(texts: DataFrame, most_texts: int = TRAIN_TEXTS, rows: int = ROWS) -> Filter:
     """Learn from (doc_id, text, lang); rows without a text or language are left out.
 
-    A bounded number of texts per language is read, chosen by hashed doc_id
-    before any text moves; their ids (64 languages at most) are broadcast. Of
-    each language the driver gets its most frequent n-grams, a fixed number.
+    The share of a language's texts that makes about ``most_texts`` is read:
+    those whose hashed doc_id is low enough, so nothing is ranked and no text is
+    shuffled. The driver gets one count per language and those n-grams that a
+    fixed share of a language's sample has, of which there are as many as an
+    average text has divided by that share, at most.
     """
     known = texts.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    place = F.expr("row_number() over (partition by lang order by xxhash64(doc_id), doc_id)")
-    ids = known.select("doc_id", "lang").distinct().withColumn("place", place).filter(F.col("place") <= most_texts)
-    ids = durable(ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")), "language-sample")
-    chosen = known.join(
-        F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))
-    ).select("lang", "text")
+    there = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()}
+    if not there:
+        return Filter([], np.zeros(1, np.uint8), np.zeros(0), 0)
+    share = F.create_map(*[F.lit(x) for k, n in there.items() for x in (k, min(1.0, most_texts / n))])
+    place = (F.xxhash64("doc_id").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    chosen = known.filter(place < share[F.col("lang")]).select("lang", "text")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -154,18 +155,13 @@ def fit(texts: DataFrame, most_texts: int = TRAIN_TEXTS, rows: int = ROWS) -> Fi
                     )
 
     counts = chosen.mapInArrow(seen, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    sizes = {r["_lang"]: r["count"] for r in ids.groupBy("_lang").count().collect()}
-    if not sizes:
-        return Filter([], np.zeros(1, np.uint8), np.zeros(0), 0)
+    sizes = {name: max(1, min(n, most_texts)) for name, n in there.items()}
     least = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, max(2.0, LEAST_SHARE * v) if v > 20 else 1.0)])
-    often = counts.filter(F.col("n") >= least[F.col("lang")])
-    place = F.expr("row_number() over (partition by lang order by n desc, gram)")
-    often = often.withColumn("place", place).filter(F.col("place") <= LANGUAGE_GRAMS)
+    found = counts.filter(F.col("n") >= least[F.col("lang")]).toPandas().sort_values(["n", "gram"], ascending=[False, True])
     kept = {name: np.zeros(0, np.uint64) for name in sizes}
-    found = often.select("lang", "gram").toPandas()
     for name, part in found.groupby("lang"):
-        kept[name] = part["gram"].to_numpy(np.int64).view(np.uint64)
-    return build(kept, sizes, rows)
+        kept[name] = part["gram"].to_numpy(np.int64)[:LANGUAGE_GRAMS].view(np.uint64)
+    return build(kept, there, rows)
 
 
 def identify(docs: DataFrame, model: Filter) -> DataFrame:

@@ -83,8 +83,9 @@ def budgets(
     """
     levels = list(levels)
     sized = leaves.withColumn("capacity", F.col("tokens") * epochs)
-    given = sized.agg(F.least(F.lit(total).cast("bigint"), F.sum("capacity")).alias("given"))
-    nodes = sized.groupBy(levels[0]).agg(F.sum("capacity").alias("capacity")).crossJoin(F.broadcast(given))
+    given = min(total, sized.agg(F.sum("capacity")).first()[0] or 0)
+    nodes = sized.groupBy(levels[0]).agg(F.sum("capacity").alias("capacity"))
+    nodes = nodes.withColumn("given", F.lit(given).cast("bigint"))
     dealt = deal(nodes.withColumn("weight", weight_of(levels[0], weights)).withColumn("_root", F.lit(0)), ["_root"], levels[:1])
     for depth in range(1, len(levels)):
         path, above = levels[: depth + 1], levels[:depth]
@@ -121,7 +122,7 @@ def shares(
     whole = F.expr("if(tokens = 0, 0L, budget div tokens)")
     dealt = dealt.withColumn("whole", whole).withColumn("rest", F.expr("budget - whole * tokens"))
     dealt = durable(dealt, "budgets")
-    digits = 1
+    digits = 2
     while 16**digits * bucket_rows < (most or 0):
         digits += 1
     asked = dealt.filter("rest > 0").select(*[F.col(c).alias(f"_{c}") for c in levels], "whole", "rest")

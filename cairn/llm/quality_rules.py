@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import free_name, text_or_empty
@@ -107,11 +107,21 @@ def sketches(rows: DataFrame) -> DataFrame:
 def quartiles(parts: DataFrame, keys: list[str]) -> DataFrame:
     """Quartiles q1 and q3 and the count per key and rule, from sketches merged to these keys."""
     merged = parts.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*keys, "rule")
-    upto = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = merged.withColumn("upto", F.sum("n").over(upto)).withColumn("docs", F.sum("n").over(group))
-    at = lambda q: bucket_value(F.min(F.when(F.col("upto") >= q * F.col("docs"), F.col("bucket"))))
-    return ranked.groupBy(*keys, "rule").agg(F.first("docs").alias("docs"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+    # A sketch is at most some two thousand buckets, whatever it has counted.
+    whole = merged.groupBy(*keys, "rule").agg(
+        F.sum("n").alias("docs"), F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("sketch")
+    )
+
+    def at(q: float) -> Column:
+        wanted = F.lit(q) * F.col("docs")
+        begin = F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit(None).cast("int").alias("at"))
+        step = lambda a, e: F.struct(
+            (a["upto"] + e["n"]).alias("upto"),
+            F.coalesce(a["at"], F.when(a["upto"] + e["n"] >= wanted, e["bucket"])).alias("at"),
+        )
+        return bucket_value(F.aggregate("sketch", begin, step, lambda a: a["at"]))
+
+    return whole.select(*keys, "rule", "docs", at(0.25).alias("q1"), at(0.75).alias("q3"))
 
 
 def fences(parts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
