@@ -6,11 +6,14 @@
 2. Representatives that share a band key are a bucket. Bucket members are
    compared with one leader, the lowest id: no pairs within a bucket.
 3. Compared means exact: the weighted Jaccard similarity of the two texts.
-4. Members a leader did not reach may still be linked with one another. They go
-   on, with ever more leaders per bucket, until each bucket is one component or
-   every pair in it that could be a link has been compared. Distances to the
-   first leader rule pairs out: similarity 0.8 means a Jaccard distance of 0.2,
-   and the triangle inequality holds for it.
+4. Members a leader did not reach may still be linked with one another, so
+   buckets that are not one component yet go on. Distances to the leader rule
+   members out: similarity 0.8 is a Jaccard distance of 0.2, and the triangle
+   inequality holds for it. The others are regrouped by their rarest shingles:
+   two texts that are similar to 0.8 share one of the rarest fifth of either's,
+   whatever else they have in common. Texts with many edits of their own fall
+   into no group at all, without any pair of them being looked at. Groups meet
+   ever more leaders until every pair in them is compared or connected.
 5. Links give components, each named by its lowest doc_id.
 """
 
@@ -33,7 +36,7 @@ SIMILARITY = 0.8
 #: 48 bands of 7: a pair at 0.8 is missed by all bands with a chance of 1.2e-5.
 BANDS, ROWS = 48, 7
 BATCH_BYTES = 1 << 19
-GROWTH = 32
+GROWTH = 64
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = darts.WORDS) -> DataFrame:
@@ -108,20 +111,19 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     edges = durable(edges, "links")
-    before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u").select(
-            F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
-        ).select("e.*").filter("u <> v").distinct()
+        to_low = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = large.join(lower, "u").select(F.explode(to_low).alias("e")).select("e.*").filter("u <> v").distinct()
         edges = durable(small, "links")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        # Stars: no node that others hang on hangs on another, and none hangs on two.
+        inner = edges.select(F.col("v").alias("u")).distinct()
+        twice = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("u")
+        if edges.join(inner, "u", "left_semi").select("u").unionByName(twice).isEmpty():
             break
-        before = now
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
@@ -132,11 +134,54 @@ def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(named, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
 
 
-def links_of(reps: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) that connect all representatives (rep, bands) whose texts are similar.
+def rare_elements(texts: DataFrame, similarity: float, width: int = darts.WORDS) -> DataFrame:
+    """Of each text (rep, text) the rarest elements, enough that similar texts share one.
 
-    ``reps`` must be a stored table. Pairs inside one component are left out
-    where others connect it already.
+    Of n elements those are the n - ceil(similarity * n) + 1 that the fewest of
+    these texts have. Elements of one text only are left out then: nobody
+    shares them. Columns: rep, key, n and most, the largest partner in question
+    when this is the first element that both have: those passed over are not
+    shared, and what remains must make up the similarity.
+    """
+    kind = texts.schema["rep"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = darts.Powers()
+        for whole in batches:
+            for batch in small_batches(whole, "text", BATCH_BYTES):
+                elements, doc = darts.shingles(batch.column("text"), powers, width)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("rep").take(pa.array(doc)), pa.array(elements.view(np.int64))], ["rep", "key"]
+                )
+
+    schema = T.StructType([T.StructField("rep", kind), T.StructField("key", T.LongType())])
+    every = durable(texts.select("rep", "text").mapInArrow(run, schema), "elements")
+    held = every.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    sorted_ = every.join(held, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("all"))
+    size = F.size("all")
+    first = (size - F.ceil(size * F.lit(similarity) - 1e-9) + 1).cast("int")
+    rare = sorted_.select("rep", size.alias("n"), F.posexplode(F.slice("all", F.lit(1), first)).alias("at", "x"))
+    share = similarity / (1 + similarity)
+    most = F.floor((F.col("n") - F.col("at")) / F.lit(share) - F.col("n") + 1e-6).cast("int")
+    return rare.filter("x.n > 1").select("rep", F.col("x.key").alias("key"), "n", most.alias("most"))
+
+
+def _partnered(rows: DataFrame) -> DataFrame:
+    """Rows of a group that has a member small enough to be a partner."""
+    least = rows.groupBy("key").agg(F.min("n").alias("least"))
+    return durable(rows.join(least, "key").filter("least <= most").drop("least"), "partnered")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows of groups that are of more than one component."""
+    mixed = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1")
+    return durable(rows.join(mixed.select("key"), "key"), "groups")
+
+
+def linked(reps: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root) of all representatives (rep, bands) with a similar one; root is their class.
+
+    ``reps`` must be a stored table.
     """
     reach = 1.0 - similarity + 1e-9
     banded = reps.select("rep", F.explode("bands").alias("key"))
@@ -151,34 +196,42 @@ def links_of(reps: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -
     asked = members.filter("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
     sims = durable(similarities(asked, texts), "similarities")
     links = sims.filter(F.col("sim") >= similarity).select("a", "b")
+    roots = components(links)
     far = sims.select(F.col("a").alias("rep"), F.col("b").alias("lead"), (1 - F.col("sim")).alias("far"))
-    members = durable(members.join(far, ["rep", "lead"]), "members")  # leaders have met all others
+    known = _labelled(members.join(far, ["rep", "lead"]), roots)  # leaders have met all others
+    ends = known.groupBy("key").agg(
+        F.min("root").alias("r0"), F.max("root").alias("r1"),
+        F.min(F.when(F.col("far") > reach, F.col("far"))).alias("least_far"),
+    ).filter("r0 < r1")
+    near = F.col("far") > F.coalesce(F.col("least_far"), F.lit(0.0)) - reach
+    left = durable(known.join(ends, "key").filter(near).select("rep").distinct(), "left")
+    if left.isEmpty():
+        return roots
+    rest = texts.join(left, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    groups = durable(rare_elements(rest, similarity), "groups")
     parts = GROWTH
     while True:
-        roots = components(links)
-        known = _labelled(members, roots)
-        ends = known.groupBy("key").agg(
-            F.min("root").alias("r0"), F.max("root").alias("r1"),
-            F.min(F.when(F.col("far") > reach, F.col("far"))).alias("least_far"),
-        ).filter("r0 < r1")
-        near = F.col("far") > F.coalesce(F.col("least_far"), F.lit(0.0)) - reach
-        left = durable(known.join(ends, "key").filter(near).select("key", "rep", "far", "root"), "members")
-        if left.isEmpty():
-            return links
+        known = _mixed(_partnered(_labelled(groups, roots)))
+        if known.isEmpty():
+            return roots
         part = F.pmod(F.xxhash64("rep"), F.lit(parts))
         leaders = durable(
-            left.groupBy("key", part.alias("part")).agg(F.min(F.struct("rep", "far", "root")).alias("x"))
-            .select("key", F.col("x.rep").alias("lead"), F.col("x.far").alias("lead_far"), F.col("x.root").alias("lead_root")),
+            known.groupBy("key", part.alias("part")).agg(F.min(F.struct("rep", "root", "n", "most")).alias("x"))
+            .select("key", *[F.col(f"x.{c}").alias(f"lead_{c}") for c in ("root", "n", "most")], F.col("x.rep").alias("lead")),
             "leaders",
         )
-        met = left.join(leaders, "key").filter(
-            (F.col("root") != F.col("lead_root")) & (F.abs(F.col("far") - F.col("lead_far")) <= reach)
-        )
+        fit = (F.col("n") <= F.col("lead_most")) & (F.col("lead_n") <= F.col("most"))
+        met = known.join(leaders, "key").filter((F.col("root") != F.col("lead_root")) & fit)
         asked = met.select(F.greatest("rep", "lead").alias("a"), F.least("rep", "lead").alias("b")).distinct()
-        sims = durable(similarities(asked, texts), "similarities")
-        links = durable(links.unionByName(sims.filter(F.col("sim") >= similarity).select("a", "b")), "links")
+        asked = asked.join(sims.select("a", "b"), ["a", "b"], "left_anti")
+        found = durable(similarities(asked, texts), "similarities")
+        fresh = found.filter(F.col("sim") >= similarity).select("a", "b")
+        sims = sims.unionByName(found)
+        if not fresh.isEmpty():
+            links = links.unionByName(fresh)
+            roots = components(links)
         used = leaders.select("key", F.col("lead").alias("rep"))
-        members = durable(left.drop("root").join(used, ["key", "rep"], "left_anti"), "members")
+        groups = known.drop("root").join(used, ["key", "rep"], "left_anti")
         parts *= GROWTH
 
 
@@ -194,13 +247,13 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     texts = durable(
         rows.groupBy("t0", "t1").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "copies"
     )
-    reps = texts.select("rep", "bands")
-    links = links_of(reps, docs, similarity)
+    roots = linked(texts.select("rep", "bands"), docs, similarity)
     copies = rows.join(texts.select("t0", "t1", "rep"), ["t0", "t1"]).select("doc_id", "rep")
     # A doc_id with several texts ties their classes together.
     several = copies.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("c")).filter("b < c")
-    ties = copies.join(several, "doc_id").select(F.col("rep").alias("a"), "b").filter("a <> b").distinct()
-    roots = components(links.unionByName(ties))
+    ties = durable(copies.join(several, "doc_id").select(F.col("rep").alias("a"), "b").filter("a <> b").distinct(), "ties")
+    if not ties.isEmpty():
+        roots = components(ties.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     named = copies.join(roots, F.col("rep") == F.col("node"), "left").select(
         "doc_id", F.coalesce("root", "rep").alias("class_id")
     ).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
