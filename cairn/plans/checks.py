@@ -691,15 +691,15 @@ FROM (SELECT list, user_id, date, (user_id * 7919 + CAST(date - DATE '1970-01-01
 JOIN (SELECT CASE WHEN line_no % 3 = 0 THEN 'break' ELSE 'nudge' END AS list, message,
              row_number() OVER (PARTITION BY line_no % 3 = 0 ORDER BY doc_id, line_no) - 1 AS number FROM fx_bullets) m
   ON m.number = d.number AND m.list = d.list""")
-PARTS["fx_ranked"] = """
+PARTS["fx_entries"] = """
 SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY taken_at DESC, id DESC) AS n FROM fx_results"""
-PARTS["fx_lines"] = """
+PARTS["fx_entry_lines"] = """
 SELECT id, 'total' AS part, NULL AS name, CASE WHEN type = 'bisbas' THEN greatest(score - 20, 0) ELSE score END AS value,
-         CASE WHEN type = 'bisbas' THEN 60 ELSE max_score END AS out_of, NULL AS code FROM fx_ranked
+         CASE WHEN type = 'bisbas' THEN 60 ELSE max_score END AS out_of, NULL AS code FROM fx_entries
   UNION ALL
   SELECT id, 'domain', domain, CASE WHEN type = 'bisbas' THEN greatest(domain_score - 5, 0) ELSE domain_score END,
          CASE WHEN type = 'bisbas' THEN 15 END, band FROM fx_banded WHERE type IN ('bdefs', 'bisbas')
-  UNION ALL SELECT id, 'time', NULL, avg_time_ms, NULL, NULL FROM fx_ranked WHERE type = 'stroop'
+  UNION ALL SELECT id, 'time', NULL, avg_time_ms, NULL, NULL FROM fx_entries WHERE type = 'stroop'
   UNION ALL
   SELECT id, 'reading', NULL, NULL, NULL, unnest(CASE
     WHEN type = 'bisbas' THEN string_split(codes, '|')
@@ -708,11 +708,11 @@ SELECT id, 'total' AS part, NULL AS name, CASE WHEN type = 'bisbas' THEN greates
     ELSE [CASE WHEN score / max_score * 100 >= 90 THEN 'excellent' WHEN score / max_score * 100 >= 70 THEN 'good'
                WHEN score / max_score * 100 >= 50 THEN 'moderate' ELSE 'low' END,
           CASE WHEN avg_time_ms <= 1000 THEN 'fast' WHEN avg_time_ms <= 2000 THEN 'average' ELSE 'slow' END] END)
-  FROM (SELECT r.*, c.codes FROM fx_ranked r LEFT JOIN fx_codes c ON c.id = r.id) x"""
+  FROM (SELECT r.*, c.codes FROM fx_entries r LEFT JOIN fx_codes c ON c.id = r.id) x"""
 _check("history_entries", """
 SELECT r.user_id, r.id, CAST(r.n AS INTEGER) AS rank, r.type, r.taken_at, l.part, l.name, CAST(l.value AS INTEGER) AS value,
        CAST(l.out_of AS INTEGER) AS out_of, l.code
-FROM fx_ranked r JOIN fx_lines l ON l.id = r.id WHERE r.n <= 10""")
+FROM fx_entries r JOIN fx_entry_lines l ON l.id = r.id WHERE r.n <= 10""")
 _check("radar_vector", """
 SELECT r.id, d.domain_no AS place, CAST(coalesce(s.domain_score, 0) AS DOUBLE) AS value
 FROM fx_results r JOIN domains d ON d.type = 'bdefs'
