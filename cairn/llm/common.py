@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cairn.session import durable
 
 BLOCK_ROWS = 100_000
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def documents(spark, folder: str) -> DataFrame:

@@ -28,7 +28,7 @@ from cairn.session import durable
 
 CAPACITY = 1024
 END = 2
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 
 #: How a byte-level vocabulary splits text before its merges.

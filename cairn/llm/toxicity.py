@@ -36,6 +36,8 @@ PRIOR, LEAST_Z, TERMS = 0.05, 5.0, 20_000
 #: Lengths of the word beginnings and endings that are tokens beside the word.
 PARTS = range(3, 8)
 EXPECTED = 0.05
+#: Words a worker remembers the score of.
+CACHE_WORDS = 100_000
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—¿¡"
 
 
@@ -91,7 +93,7 @@ class Model:
         for word in words:
             score = cache.get(word)
             if score is None:
-                if len(cache) > 500_000:
+                if len(cache) > CACHE_WORDS:
                     cache.clear()
                 known = [self.weights[x] for x in tokens(token(word)) if x in self.weights]
                 score = cache[word] = max(known, key=abs, default=self.drift)
