@@ -5,12 +5,15 @@ quantile sketches (Masson, Rim and Lee, 2019): counts in buckets that grow by a
 fixed factor, so a quantile is within one percent and sketches merge by adding
 counts. Each group of language and source gets fences from its own sketch; a
 group of few documents takes the merged sketch of its language, or of all.
+Where the upper quartile is zero, a high quantile of the sketch is the fence. No
+fixed cutoff takes part unless the caller gives floors.
 The fences are joined to the statistics, and documents outside go.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +28,11 @@ GROWTH = (1 + ACCURACY) / (1 - ACCURACY)
 LEAST_VALUE = 1e-6
 #: Fences stand so many quartile distances outside the quartiles; groups under LEAST_DOCS take a wider sketch.
 REACH, LEAST_DOCS = 3.0, 200
-#: Ratios that are judged, with the least upper fence: no group is held to less.
+#: Quantile that is the fence of a ratio whose upper quartile is zero.
+HIGH = 0.99
+#: From the value of a bucket to its upper edge: no document is lost to the rounding of the sketch.
+SLACK = (GROWTH + 1) / 2 * (1 + 1e-6)
+#: Ratios that are judged, with the floors of op5, which its check SQL fixes: least upper fences.
 RATIOS = {"symbol_ratio": 0.1, "dup_line_ratio": 0.3, "repeat_ratio": 0.3, "word_length": 8.0}
 
 
@@ -105,7 +112,7 @@ def sketches(rows: DataFrame) -> DataFrame:
 
 
 def quartiles(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """Quartiles q1 and q3 and the count per key and rule, from sketches merged to these keys."""
+    """Quartiles q1 and q3, a high quantile and the count per key and rule, from sketches merged to these keys."""
     merged = parts.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
     # A sketch is at most some two thousand buckets, whatever it has counted.
     whole = merged.groupBy(*keys, "rule").agg(
@@ -121,28 +128,38 @@ def quartiles(parts: DataFrame, keys: list[str]) -> DataFrame:
         )
         return bucket_value(F.aggregate("sketch", begin, step, lambda a: a["at"]))
 
-    return whole.select(*keys, "rule", "docs", at(0.25).alias("q1"), at(0.75).alias("q3"))
+    return whole.select(*keys, "rule", "docs", at(0.25).alias("q1"), at(0.75).alias("q3"), at(HIGH).alias("high"))
 
 
-def fences(parts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """One row per language and source: an upper fence for each rule and a lower one for word_length."""
+def fences(parts: DataFrame, least_docs: int = LEAST_DOCS, floors: Mapping[str, float] | None = None) -> DataFrame:
+    """One row per language and source: an upper fence for each rule and a lower one for word_length.
+
+    With ``floors`` no upper fence is lower than its floor, and the plain
+    quartile fences stand beside them, without the high quantile and slack.
+    """
+    values = ("q1", "q3", "high")
     own = quartiles(parts, ["lang", "source"])
-    wide = quartiles(parts, ["lang"]).toDF("_lang", "_rule", "_docs", "_q1", "_q3")
-    every = quartiles(parts, []).toDF("_all_rule", "_all_docs", "_all_q1", "_all_q3")
+    wide = quartiles(parts, ["lang"]).toDF("_lang", "_rule", "_docs", *[f"_{q}" for q in values])
+    every = quartiles(parts, []).toDF("_all_rule", "_all_docs", *[f"_all_{q}" for q in values])
     rows = own.join(wide, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("rule") == F.col("_rule")))
     rows = rows.join(every, F.col("rule") == F.col("_all_rule"))
     pick = lambda q: F.when(F.col("docs") >= least_docs, F.col(q)).when(
         F.col("_docs") >= least_docs, F.col(f"_{q}")).otherwise(F.col(f"_all_{q}"))
-    rows = rows.select("lang", "source", "rule", pick("q1").alias("q1"), pick("q3").alias("q3"))
+    rows = rows.select("lang", "source", "rule", *[pick(q).alias(q) for q in values])
     reach = REACH * (F.col("q3") - F.col("q1"))
-    upper = lambda rule: F.max(F.when(F.col("rule") == rule, F.greatest(F.col("q3") + reach, F.lit(RATIOS[rule]))))
-    lower = F.max(F.when(F.col("rule") == "word_length", F.col("q1") - reach))
+    above, below = F.col("q3") + reach, F.col("q1") - reach
+    if floors is None:
+        above = F.when(F.col("q3") > 0, above).otherwise(F.col("high")) * SLACK
+        below = below / SLACK
+    held = lambda rule: above if floors is None else F.greatest(above, F.lit(floors[rule]))
+    upper = lambda rule: F.max(F.when(F.col("rule") == rule, held(rule)))
+    lower = F.max(F.when(F.col("rule") == "word_length", below))
     return rows.groupBy("lang", "source").agg(
         *[upper(rule).alias(f"most_{rule}") for rule in RATIOS], lower.alias("least_word_length")
     )
 
 
-def judged(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+def judged(docs: DataFrame, least_docs: int = LEAST_DOCS, floors: Mapping[str, float] | None = None) -> DataFrame:
     """Per row: doc_id, the counts, base_failed and kept.
 
     A null language or source is a group of its own. A text without words fails
@@ -150,7 +167,7 @@ def judged(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """
     stats = durable(with_ratios(statistics(docs)), "statistics")
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    limits = durable(fences(sketches(stats), least_docs), "fences").withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    limits = durable(fences(sketches(stats), least_docs, floors), "fences").withColumnsRenamed({"lang": "_lang", "source": "_source"})
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     inside = F.col("word_length") >= F.col("least_word_length")
     for rule in RATIOS:

@@ -57,8 +57,8 @@ def op4_mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_adaptive_rules(spark: SparkSession, folder: str) -> DataFrame:
-    """Counts of every text and the verdict of rules with thresholds per language and source."""
-    return quality_rules.judged(documents(spark, folder))
+    """Counts of every text and the verdict of rules with thresholds per language and source, floors as in its SQL."""
+    return quality_rules.judged(documents(spark, folder), floors=quality_rules.RATIOS)
 
 
 def op6_rule_ensemble(spark: SparkSession, folder: str) -> DataFrame:

@@ -56,6 +56,31 @@ def test_small_groups_take_wider_sketches(spark):
     assert found["small"]["most_word_length"] == found["big"]["most_word_length"] == found[None]["most_word_length"] < 50
 
 
+def test_fences_come_from_the_sketch_alone(spark):
+    rows = [("en", "a", 0.0, 0.0, 0.0, 5.0)] * 997 + [("en", "a", 0.08, 0.0, 0.0, 5.0), ("en", "a", 0.0, 0.25, 0.0, 7.0),
+                                                     ("en", "a", 0.0, 0.0, 0.29, 5.0)]
+    rows += [("en", "b", 0.01 + i % 10 / 1000, 0.0, 0.0, 5.0 + i % 10 / 10) for i in range(1000)]
+    df = spark.createDataFrame(rows, "lang string, source string, symbol_ratio double, dup_line_ratio double, "
+                                     "repeat_ratio double, word_length double")
+    parts = quality_rules.sketches(df)
+    found = {r["source"]: r for r in quality_rules.fences(parts).collect()}
+    a, b = found["a"], found["b"]
+    assert (a["most_symbol_ratio"], a["most_dup_line_ratio"], a["most_repeat_ratio"]) == (0, 0, 0)
+    assert a["least_word_length"] <= 5.0 <= a["most_word_length"] < 5.2  # a group of one length keeps it
+    assert 0.019 < b["most_symbol_ratio"] < 0.04 and 5.9 < b["most_word_length"] < 8.0
+    held = quality_rules.fences(parts, floors=quality_rules.RATIOS).collect()
+    assert all(r[f"most_{rule}"] >= floor for r in held for rule, floor in quality_rules.RATIOS.items())
+
+
+def test_far_outside_its_group_goes(spark):
+    words = lambda i: [f"w{(i * 37 + k * 11) % 5000:04d}" for k in range(100)]
+    texts = [" ".join(words(i)) for i in range(300)] + [" ".join(words(7)[:92] + ["#" + w for w in words(7)[92:]])]
+    df = spark.createDataFrame([(i, t, "en", "src0") for i, t in enumerate(texts)], "doc_id int, text string, lang string, source string")
+    assert {r["doc_id"] for r in quality_rules.keep_good(df).collect()} == set(range(300))
+    held = quality_rules.judged(df, floors=quality_rules.RATIOS).filter("doc_id = 300").first()
+    assert held["n_symbols"] == 8
+
+
 def test_rules_filter(odd, clashing, docs, none):
     verdict = {r["doc_id"]: r["kept"] for r in quality_rules.judged(docs).collect()}
     assert {r["doc_id"] for r in quality_rules.keep_good(docs).collect()} == {d for d, k in verdict.items() if k}
