@@ -2,8 +2,8 @@
 
 Every language keeps its frequent byte n-grams in a Bloom filter of its own.
 The filters are laid side by side: row r of the table holds bit r of all of
-them, so a few row reads joined by AND give the bitmask of all languages that
-contain an n-gram. The set bits of each language are counted over a text, the
+them, in as many words as the languages need, so a few row reads joined by AND
+give the bitmask of all languages that contain an n-gram. The set bits of each language are counted over a text, the
 counts are corrected for what the filter's false positives add, and the
 language with the highest corrected count is the answer.
 """
@@ -72,6 +72,10 @@ def rows_of(hashes: np.ndarray, rows: int, read: int) -> np.ndarray:
     return ((mixed >> np.uint64(32)) * np.uint64(rows)) >> np.uint64(32)
 
 
+#: Languages in a word of a table row.
+WORD = 64
+
+
 @dataclass
 class Filter:
     """The bit-sliced table, its languages, the false-positive rate of each, and the answer without evidence."""
@@ -81,46 +85,55 @@ class Filter:
     wrong: np.ndarray
     fallback: int
 
-    def masks(self, hashes: np.ndarray) -> np.ndarray:
-        """Per n-gram the languages that contain it, one bit each."""
-        found = self.table[rows_of(hashes, len(self.table), 0)]
-        for read in range(1, READS):
-            found &= self.table[rows_of(hashes, len(self.table), read)]
+    def places(self, hashes: np.ndarray) -> list[np.ndarray]:
+        """Row of every n-gram for each of its reads."""
+        return [rows_of(hashes, len(self.table), read) for read in range(READS)]
+
+    def masks(self, hashes: np.ndarray, word: int = 0, places: list[np.ndarray] | None = None) -> np.ndarray:
+        """Per n-gram which of the languages of a word contain it, one bit each."""
+        first, *others = self.places(hashes) if places is None else places
+        column = self.table[:, word]
+        found = column[first]
+        for place in others:
+            found &= column[place]
         return found
 
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Corrected counts, texts by languages, and the number of n-grams of each text."""
         hashes, doc = grams(texts)
-        masks = self.masks(hashes)
+        places = self.places(hashes)
         total = np.bincount(doc, minlength=len(texts)) if len(doc) else np.zeros(len(texts), np.int64)
         found = np.zeros((len(texts), len(self.languages)))
+        kind = self.table.dtype.type
         for at in range(len(self.languages)):
-            own = (masks >> self.table.dtype.type(at)) & self.table.dtype.type(1)
+            word, bit = divmod(at, WORD)
+            if bit == 0:
+                masks = self.masks(hashes, word, places)
+            own = (masks >> kind(bit)) & kind(1)
             hits = np.bincount(doc, weights=own, minlength=len(texts)) if len(doc) else 0.0
             found[:, at] = (hits - total * self.wrong[at]) / (1.0 - self.wrong[at])
         return np.maximum(found, 0.0), total
 
 
 def build(kept: dict[str, np.ndarray], texts: dict[str, int], rows: int = ROWS) -> Filter:
-    """A filter from the n-grams of each language; up to 64 languages."""
+    """A filter from the n-grams of each language; a row has a word for every 64 languages."""
     languages = sorted(kept)
-    if len(languages) > 64:
-        raise ValueError("a table row holds 64 languages at most")
-    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= 8 * np.dtype(k).itemsize)
-    table = np.zeros(rows, kind)
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if min(len(languages), WORD) <= 8 * np.dtype(k).itemsize)
+    table = np.zeros((rows, max(1, -(-len(languages) // WORD))), kind)
     wrong = np.zeros(len(languages))
     for at, language in enumerate(languages):
         own = np.zeros(rows, bool)
         for read in range(READS):
             own[rows_of(kept[language], rows, read)] = True
-        table[own] |= kind(1 << at)
+        word, bit = divmod(at, WORD)
+        table[own, word] |= kind(1 << bit)
         wrong[at] = own.mean() ** READS
     most = max(range(len(languages)), key=lambda at: (texts[languages[at]], -at)) if languages else 0
     return Filter(languages, table, wrong, most)
 
 
 def fit(texts: DataFrame, most_texts: int = TRAIN_TEXTS, rows: int = ROWS) -> Filter:
-    """Learn from (doc_id, text, lang); rows without a text or language are left out.
+    """Learn all languages of (doc_id, text, lang); rows without a text or language are left out.
 
     The share of a language's texts that makes about ``most_texts`` is read:
     those whose hashed doc_id is low enough, so nothing is ranked and no text is
@@ -129,9 +142,9 @@ def fit(texts: DataFrame, most_texts: int = TRAIN_TEXTS, rows: int = ROWS) -> Fi
     average text has divided by that share, at most.
     """
     known = texts.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    there = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()}
+    there = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not there:
-        return Filter([], np.zeros(1, np.uint8), np.zeros(0), 0)
+        return Filter([], np.zeros((1, 1), np.uint8), np.zeros(0), 0)
     share = F.create_map(*[F.lit(x) for k, n in there.items() for x in (k, min(1.0, most_texts / n))])
     place = (F.xxhash64("doc_id").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
     chosen = known.filter(place < share[F.col("lang")]).select("lang", "text")

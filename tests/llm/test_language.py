@@ -26,6 +26,18 @@ def test_filter_never_misses_and_is_corrected():
     assert model.languages[model.fallback] == "bb"
 
 
+def test_more_languages_than_a_word_has_bits(spark):
+    rng = np.random.default_rng(3)
+    letters = {f"l{k:03d}": [chr(0x4E00 + 40 * k + j) for j in range(40)] for k in range(150)}
+    rows = [(150 * i + k, "".join(rng.choice(own, 200)), name)
+            for k, (name, own) in enumerate(letters.items()) for i in range(1 + (k < 100))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.fit(df)
+    assert model.languages == sorted(letters) and model.table.shape == (language.ROWS, 3)
+    found = {r["doc_id"]: r["lang_pred"] for r in language.identify(df, model).collect()}
+    assert found == {d: name for d, _, name in rows}
+
+
 def test_held_out_texts(spark):
     docs = spark.read.parquet(f"{HERE}/documents.parquet").select("doc_id", "lang")
     rows = op1_language_filters(spark, HERE).join(docs, "doc_id").filter("held_out").collect()
