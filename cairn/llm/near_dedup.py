@@ -2,7 +2,8 @@
 
 1. Every text becomes a weighted set of word shingles, its signature of darts,
    and one key per band of the signature. Equal texts are one representative
-   from here on, so a thousand copies cost one signature.
+   from here on, so a thousand copies cost one signature. Representatives have
+   numbers of their own: a doc_id may stand for several texts, or come twice.
 2. Representatives that share a band key are a bucket. Bucket members are
    compared with one leader, the lowest id: no pairs within a bucket.
 3. Compared means exact: the weighted Jaccard similarity of the two texts.
@@ -14,7 +15,7 @@
    whatever else they have in common. Texts with many edits of their own fall
    into no group at all, without any pair of them being looked at. Groups meet
    ever more leaders until every pair in them is compared or connected.
-5. Links give components, each named by its lowest doc_id.
+5. Links give components, each named by the lowest doc_id of its texts.
 """
 
 from __future__ import annotations
@@ -39,6 +40,11 @@ BATCH_BYTES = 1 << 19
 GROWTH = 64
 
 
+def text_hashes(texts: pa.Array) -> np.ndarray:
+    """128-bit hash of every text, as two words."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.encode()) for t in texts.to_pylist()), np.int64).reshape(-1, 2)
+
+
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = darts.WORDS) -> DataFrame:
     """Per document with a text: doc_id, text hash (t0, t1), band keys (empty without words)."""
     kind = docs.schema["doc_id"].dataType
@@ -53,9 +59,7 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = d
                 keys = darts.band_keys(darts.signatures(elements, doc, n, bands * rows), bands)
                 filled = np.bincount(doc, minlength=n) > 0 if len(doc) else np.zeros(n, bool)
                 ends = np.concatenate([[0], np.cumsum(filled * bands)]).astype(np.int32)
-                hashes = np.frombuffer(
-                    b"".join(xxhash.xxh3_128_digest(t.encode()) for t in texts.to_pylist()), np.int64
-                ).reshape(-1, 2)
+                hashes = text_hashes(texts)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array(hashes[:, 0]), pa.array(hashes[:, 1]),
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[filled].ravel()))],
@@ -76,9 +80,9 @@ def similarities(pairs: DataFrame, texts: DataFrame, width: int = darts.WORDS) -
     The text of ``b`` comes first, then that of ``a``: both are plain joins
     that can be split where one document is in very many pairs.
     """
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    kind = texts.schema["doc_id"].dataType
+    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
+    kind = texts.schema["rep"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = darts.Powers()
@@ -178,10 +182,40 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return durable(rows.join(mixed.select("key"), "key"), "groups")
 
 
-def linked(reps: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root) of all representatives (rep, bands) with a similar one; root is their class.
+def texts_of(wanted: DataFrame, docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(rep, text), one row for each of wanted (rep, doc, t0, t1).
+
+    A document's one row is found by its id. Ids that documents share
+    (``repeated``, a stored table) are told apart by their text: equal rows are
+    put together before they are shuffled, the others hashed once more.
+    """
+    rows = docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
+    if repeated.isEmpty():
+        return rows.join(wanted.select("rep", F.col("doc").alias("doc_id")), "doc_id").select("rep", "text")
+    several = repeated.select("doc_id")
+    named = wanted.withColumnRenamed("doc", "doc_id")
+    once = rows.join(named.join(several, "doc_id", "left_anti").select("rep", "doc_id"), "doc_id").select("rep", "text")
+    asked = named.join(several, "doc_id", "left_semi")
+    each = rows.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in small_batches(whole, "text", BATCH_BYTES):
+                hashes = text_hashes(batch.column("text"))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(hashes[:, 0]), pa.array(hashes[:, 1])], ["doc_id", "text", "t0", "t1"]
+                )
+
+    schema = T.StructType([*each.schema.fields, T.StructField("t0", T.LongType()), T.StructField("t1", T.LongType())])
+    found = each.mapInArrow(run, schema).join(asked, ["doc_id", "t0", "t1"])
+    return once.unionByName(found.select("rep", "text"))
+
+
+def linked(reps: DataFrame, docs: DataFrame, repeated: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root) of all representatives (rep, doc, t0, t1, bands) with a similar one; root is their class.
 
-    ``reps`` must be a stored table.
+    ``reps`` must be a stored table with one row per distinct text, ``doc`` a
+    document that has it, and ``repeated`` one of the doc_ids of several rows.
     """
     reach = 1.0 - similarity + 1e-9
     banded = reps.select("rep", F.explode("bands").alias("key"))
@@ -189,10 +223,9 @@ def linked(reps: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
         banded.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets"
     )
     members = durable(banded.join(buckets, "key").select("key", "rep", "lead"), "members")
-    involved = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = durable(
-        docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(involved, "doc_id", "left_semi"), "texts"
-    )
+    involved = members.select("rep").distinct()
+    wanted = durable(reps.select("rep", "doc", "t0", "t1").join(involved, "rep", "left_semi"), "involved")
+    texts = durable(texts_of(wanted, docs, repeated), "texts")
     asked = members.filter("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
     sims = durable(similarities(asked, texts), "similarities")
     links = sims.filter(F.col("sim") >= similarity).select("a", "b")
@@ -207,7 +240,7 @@ def linked(reps: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
     left = durable(known.join(ends, "key").filter(near).select("rep").distinct(), "left")
     if left.isEmpty():
         return roots
-    rest = texts.join(left, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    rest = texts.join(left, "rep", "left_semi")
     groups = durable(rare_elements(rest, similarity), "groups")
     parts = GROWTH
     while True:
@@ -244,18 +277,24 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     share a class.
     """
     rows = durable(sketch(docs), "sketch")
-    texts = durable(
-        rows.groupBy("t0", "t1").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "copies"
-    )
-    roots = linked(texts.select("rep", "bands"), docs, similarity)
-    copies = rows.join(texts.select("t0", "t1", "rep"), ["t0", "t1"]).select("doc_id", "rep")
+    texts = rows.groupBy("t0", "t1").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"))
+    # The numbers are fixed by being written.
+    texts = durable(texts.select(F.monotonically_increasing_id().alias("rep"), "doc", "t0", "t1", "bands"), "copies")
+    copies = rows.join(texts.select("t0", "t1", "rep", "doc"), ["t0", "t1"]).select("doc_id", "rep", "doc")
+    repeated = copies.groupBy("doc_id").agg(
+        F.min("rep").alias("b"), F.max("rep").alias("c"), F.count(F.lit(1)).alias("n")
+    ).filter("n > 1")
+    repeated = durable(repeated.select("doc_id", "b", "c"), "repeated")
+    roots = linked(texts, docs, repeated, similarity)
     # A doc_id with several texts ties their classes together.
-    several = copies.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("c")).filter("b < c")
+    several = repeated.filter("b < c").select("doc_id", "b")
     ties = durable(copies.join(several, "doc_id").select(F.col("rep").alias("a"), "b").filter("a <> b").distinct(), "ties")
     if not ties.isEmpty():
         roots = components(ties.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    named = copies.join(roots, F.col("rep") == F.col("node"), "left").select(
-        "doc_id", F.coalesce("root", "rep").alias("class_id")
+    least = texts.select("rep", "doc").join(roots, F.col("rep") == F.col("node")).groupBy("root").agg(F.min("doc").alias("low"))
+    lowest = durable(roots.join(least, "root").select("node", "low"), "lowest")
+    named = copies.join(lowest, F.col("rep") == F.col("node"), "left").select(
+        "doc_id", F.coalesce("low", "doc").alias("class_id")
     ).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     return docs.select("doc_id").join(named, "doc_id", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id")

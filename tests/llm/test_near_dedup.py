@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.llm import darts, near_dedup
 from tests.llm.conftest import shape
@@ -73,6 +74,22 @@ def test_classes_as_by_all_pairs(copies, odd, clashing, docs):
         assert {r["doc_id"]: r["class_id"] for r in found} == brute(rows)
 
 
+def test_repeated_rows_reach_the_second_step(spark, monkeypatch):
+    """One bucket, whose leader is like none of its members: all links are found among the rarest shingles."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    lead, x, y, long = " ".join(fresh(80)), fresh(100), fresh(90), " ".join(fresh(400))
+    rows = [(1, lead), (2, " ".join(x)), (2, " ".join(x)), (2, " ".join(x)), (3, edited(rng, x, 1))]
+    rows += [(4, " ".join(y)), (4, long), (5, edited(rng, y, 1)), (6, long + " more")]  # 4 ties 5 and 6
+    rows += [(7, " ".join(fresh(100))), (7, " ".join(fresh(100)))]
+    real = near_dedup.sketch
+    monkeypatch.setattr(near_dedup, "sketch", lambda docs: real(docs).withColumn("bands", F.array(F.lit(7).cast("bigint"))))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = near_dedup.classes(df).collect()
+    assert len(found) == len(rows)
+    assert {r["doc_id"]: r["class_id"] for r in found} == brute(rows) == {1: 1, 2: 2, 3: 2, 4: 4, 5: 4, 6: 4, 7: 7}
+
+
 def test_one_of_each_class_stays(copies, clashing, none):
     expected = brute([(r["doc_id"], r["text"]) for r in copies.collect()])
     assert {r["doc_id"] for r in near_dedup.keep_one(copies).collect()} == set(expected.values())
