@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import fingerprints, language, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, sharding, toxicity
+from cairn.llm import (
+    fingerprints, language, line_dedup, mixing, near_dedup, packing, prefix_trie, quality_classifier, quality_rules,
+    sharding, toxicity,
+)
 from cairn.llm.common import documents
 
 SHARDS = 16
@@ -89,6 +92,11 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_report(documents(spark, folder))
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """All nodes of the prefix trie of rebuilt conversations, with sums over their subtrees."""
+    return prefix_trie.trie(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_filters": op1_language_filters,
     "op2_jump_shards": op2_jump_shards,
@@ -100,4 +108,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packed_sequences": op8_packed_sequences,
     "op9_bottom_k": op9_bottom_k,
     "op10_line_dedup": op10_line_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }
