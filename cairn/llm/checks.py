@@ -156,3 +156,50 @@ UNION ALL
 SELECT doc_id, domain, lang, source, tokens, whole::BIGINT, least(tokens, rest - begun)::BIGINT
 FROM placed WHERE begun < rest
 """
+
+
+#: The table of the reflected CRC-32 polynomial 0xEDB88320, and the CRC of a text out of it.
+CRC_TABLE = """crc_table AS MATERIALIZED (
+    SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+        lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+)"""
+
+
+def crc32(text: str, table: str = "t") -> str:
+    """Unsigned CRC-32 of an ASCII text in SQL; ``table`` names the column of ``CRC_TABLE``."""
+    return (
+        f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), "
+        f"lambda c, x: xor(c >> 8, {table}[(xor(c, x) & 255) + 1])), 4294967295)"
+    )
+
+
+CHECKS["op13_prefix_trie"] = f"""
+WITH {CRC_TABLE}, own AS (
+    SELECT conv_id, list({{'role': coalesce(role, ''), 'txt': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS turns
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), heads AS (
+    SELECT own.*, {crc32("conv_id::VARCHAR")} % 4 AS h FROM own, crc_table
+), rebuilt AS (
+    SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) AS turns
+    FROM heads c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20
+), paths AS (
+    SELECT conv_id, d AS depth, sha256(turns[1:d]::VARCHAR) AS node, CASE WHEN d > 0 THEN sha256(turns[1:d - 1]::VARCHAR) END AS above,
+        d = len(turns) AS last, CASE WHEN d > 0 THEN len(regexp_extract_all(turns[d].txt, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words
+    FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)
+), nodes AS (
+    SELECT node, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(above) AS above, count(*) AS n_convs,
+        any_value(words) AS words,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256
+    FROM paths GROUP BY node
+), children AS (
+    SELECT above AS node, count(*) AS n FROM nodes WHERE above IS NOT NULL GROUP BY above
+), worth AS (
+    SELECT nodes.*, coalesce(n, 0) AS n_children, (n IS NULL)::BIGINT AS leaf, (n_convs - 1) * words AS saved
+    FROM nodes LEFT JOIN children USING (node)
+), sums AS (
+    SELECT p.node, sum(w.leaf)::BIGINT AS n_leaves, sum(w.saved)::BIGINT AS saved_tokens
+    FROM worth w JOIN paths p ON p.conv_id = w.conv_id AND p.depth <= w.depth GROUP BY p.node
+)
+SELECT w.conv_id, w.depth, a.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256
+FROM worth w JOIN sums USING (node) LEFT JOIN nodes a ON a.node = w.above
+"""
