@@ -166,11 +166,10 @@ CRC_TABLE = """crc_table AS MATERIALIZED (
 
 
 def crc32(text: str, table: str = "t") -> str:
-    """Unsigned CRC-32 of an ASCII text in SQL; ``table`` names the column of ``CRC_TABLE``."""
-    return (
-        f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), "
-        f"lambda c, x: xor(c >> 8, {table}[(xor(c, x) & 255) + 1])), 4294967295)"
-    )
+    """Unsigned CRC-32 of a text in SQL; ``table`` names the column of ``CRC_TABLE``."""
+    each = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    step = f"lambda c, x: xor(c >> 8, {table}[(xor(c, x) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {each}), {step}), 4294967295)"
 
 
 CHECKS["op13_prefix_trie"] = f"""
@@ -203,3 +202,40 @@ WITH {CRC_TABLE}, own AS (
 SELECT w.conv_id, w.depth, a.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256
 FROM worth w JOIN sums USING (node) LEFT JOIN nodes a ON a.node = w.above
 """
+
+
+#: Letters beyond ASCII as other ASCII characters, so that a distance in bytes is one in letters.
+_WIDE = "".join(chr(c) for c in range(0xC0, 0x100))
+_NARROW = "".join(c for c in map(chr, range(33, 127)) if c not in "abcdefghijklmnopqrstuvwxyz'")[:64]
+
+CHECKS["op11_spelling_variants"] = f"""
+WITH {CRC_TABLE}, runs AS (
+    SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), counted AS (
+    SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY doc_id, run
+), hashed AS (
+    SELECT run, n, {crc32("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h
+    FROM counted, crc_table
+), words AS (
+    SELECT CASE WHEN h % 199 = 0 THEN run[:(h % length(run))::INT] || run[(h % length(run))::INT + 2:] ELSE run END AS word, sum(n)::BIGINT AS n
+    FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5
+), narrow AS (
+    SELECT word, n, translate(word, '{_WIDE}', '{_NARROW}') AS w, length(word) AS size FROM words
+), pairs AS (
+    SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM narrow a JOIN narrow b
+        ON b.size BETWEEN a.size - 1 AND a.size + 1 AND a.word <> b.word AND levenshtein(a.w, b.w) = 1
+), best AS (
+    SELECT word, count(*) AS n_near, arg_min({{'near': near, 'n': near_n}}, {{'less': -near_n, 'near': encode(near)}}) AS best FROM pairs GROUP BY word
+), forms AS (
+    SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 5 * n THEN best.near END AS form,
+        CASE WHEN best.n >= 5 * n THEN best.n END AS form_n
+    FROM words LEFT JOIN best USING (word)
+), chains AS (
+    WITH RECURSIVE c AS (
+        SELECT word, form, word AS last FROM forms
+        UNION ALL SELECT c.word, f.form, f.word FROM c JOIN forms f ON f.word = c.form
+    ) SELECT word, last AS root FROM c WHERE form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN chains USING (word)
+"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm import (
     fingerprints, language, line_dedup, mixing, near_dedup, packing, prefix_trie, quality_classifier, quality_rules,
-    sharding, toxicity,
+    sharding, spelling, toxicity,
 )
 from cairn.llm.common import documents
 
@@ -92,6 +92,11 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_report(documents(spark, folder))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all texts with the form and root they are spelling variants of."""
+    return spelling.variants(documents(spark, folder))
+
+
 def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     """All nodes of the prefix trie of rebuilt conversations, with sums over their subtrees."""
     return prefix_trie.trie(spark.read.parquet(f"{folder}/conversations.parquet"))
@@ -108,5 +113,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packed_sequences": op8_packed_sequences,
     "op9_bottom_k": op9_bottom_k,
     "op10_line_dedup": op10_line_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
     "op13_prefix_trie": op13_prefix_trie,
 }
