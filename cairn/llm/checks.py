@@ -239,3 +239,25 @@ WITH {CRC_TABLE}, runs AS (
 )
 SELECT word, form, root, n, n_near, form_n FROM forms JOIN chains USING (word)
 """
+
+CHECKS["op12_signature_join"] = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, sha256(array_to_string(w[i:i + 4], ' ')) AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), reach AS (
+    SELECT doc_id AS at, doc_id AS start FROM documents
+    UNION SELECT b, start FROM reach JOIN links ON a = at
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, low AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT start, min(at) AS low FROM reach GROUP BY start) r ON r.start = d.doc_id
+"""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,3 +82,34 @@ def numbered(df: DataFrame, group: Sequence[str], name: str, block_rows: int = B
         *columns,
         F.explode(F.sequence(F.col(first), F.col(first) + F.col(count) - 1)).alias(name),
     )
+
+
+#: Bits of a filter of ids; 4 MB whatever the number of ids.
+FILTER_BITS = 1 << 25
+
+
+def likely(df: DataFrame, column: str, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows whose ``column`` is, or by chance looks like, one of the ids (one column of the same type).
+
+    A Bloom filter of fixed size is put together in Spark and handed to the
+    tasks. It keeps rows that a join would drop anyway from being shuffled;
+    with very many ids it lets all rows pass and is of no harm. To be followed
+    by that join.
+    """
+    h = F.xxhash64(F.col(ids.columns[0]))
+    spots = F.explode(F.array(F.pmod(h, F.lit(bits)), F.pmod(F.shiftright(h, 31), F.lit(bits)))).alias("spot")
+    words = ids.select(spots).groupBy(F.expr("spot div 64").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("bits")
+    ).toPandas()  # at most bits / 64 rows
+    table = np.zeros(bits // 64, np.int64)
+    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+
+    @F.pandas_udf("boolean")
+    def there(hashed: pd.Series) -> pd.Series:
+        found, one = hashed.to_numpy(np.int64), np.int64(1)
+        hit = np.ones(len(found), bool)
+        for spot in (np.mod(found, bits), np.mod(found >> 31, bits)):
+            hit &= (table[spot >> 6] >> (spot & 63)) & one == one
+        return pd.Series(hit)
+
+    return df.filter(there(F.xxhash64(F.col(column))))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm import (
     fingerprints, language, line_dedup, mixing, near_dedup, packing, prefix_trie, quality_classifier, quality_rules,
-    sharding, spelling, toxicity,
+    sharding, signature_tree, spelling, toxicity,
 )
 from cairn.llm.common import documents
 
@@ -97,6 +97,11 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(documents(spark, folder))
 
 
+def op12_signature_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every document under links of 0.8 or more between sets of word shingles."""
+    return signature_tree.linked_documents(documents(spark, folder))
+
+
 def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     """All nodes of the prefix trie of rebuilt conversations, with sums over their subtrees."""
     return prefix_trie.trie(spark.read.parquet(f"{folder}/conversations.parquet"))
@@ -114,5 +119,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bottom_k": op9_bottom_k,
     "op10_line_dedup": op10_line_dedup,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_signature_join": op12_signature_join,
     "op13_prefix_trie": op13_prefix_trie,
 }
