@@ -255,9 +255,9 @@ WITH RECURSIVE words AS (
 ), links AS (
     SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
 ), reach AS (
-    SELECT doc_id AS at, doc_id AS start FROM documents
-    UNION SELECT b, start FROM reach JOIN links ON a = at
+    SELECT doc_id AS here, doc_id AS start FROM documents
+    UNION SELECT b, start FROM reach JOIN links ON a = here
 )
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, low AS component_id
-FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT start, min(at) AS low FROM reach GROUP BY start) r ON r.start = d.doc_id
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT start, min(here) AS low FROM reach GROUP BY start) r ON r.start = d.doc_id
 """
