@@ -13,7 +13,8 @@
    pairs of nodes, all groups at once, and leaves out pairs whose sizes differ
    too much, whose bitmaps have too few bits in common for the overlap that
    their sizes need, or that are of one component already.
-4. Pairs of members that are left are compared exactly. Before the traversal
+4. Pairs of members that are left are compared exactly; only now are whole sets
+   made again from the texts, of members of such pairs. Before the traversal
    members meet the first of their group, then the firsts of sixteen parts of
    it, so that a group of thousands of copies is one component before any pair
    of nodes is looked at.
@@ -41,7 +42,7 @@ WIDTH = 5
 SHARE = 80
 BATCH_BYTES = 1 << 19
 #: Longs in a bitmap, children of a node, and parts of a group whose firsts are met.
-BITMAP, FAN, PARTS = 64, 16, 16
+BITMAP, FAN, PARTS = 32, 16, 16
 #: The order of shingles follows a sample of so many texts; a shingle in so many of them is common.
 SAMPLE_ROWS, COMMON, MOST_COMMON = 10_000, 4, 1 << 18
 U = np.uint64
@@ -86,9 +87,10 @@ def first_shingles(n: np.ndarray, share: int) -> np.ndarray:
 
 
 def set_rows(docs: DataFrame, common: np.ndarray, share: int = SHARE, width: int = WIDTH) -> DataFrame:
-    """Per row: doc_id, n (distinct shingles), s0 and s1 (hash of the set), first (its first shingles).
+    """Per row: doc_id, n (distinct shingles), s0 and s1 (hash of the set), first (its first shingles), low, bits.
 
-    ``common`` are shingles that come last, in the given order.
+    ``common`` are shingles that come last, in the given order. ``bits`` is the
+    bitmap of the set, ``low`` the number of its bits less n.
     """
     kind = docs.schema["doc_id"].dataType
     by_value = np.argsort(common)
@@ -102,6 +104,10 @@ def set_rows(docs: DataFrame, common: np.ndarray, share: int = SHARE, width: int
                 n = np.bincount(doc, minlength=batch.num_rows) if len(doc) else np.zeros(batch.num_rows, np.int64)
                 ends = np.cumsum(n)
                 s0, s1 = _sums(darts.mix(made), ends), _sums(darts.mix(made ^ darts.MIX1), ends)
+                table = np.zeros((batch.num_rows, 64 * BITMAP), bool)
+                table[doc, (darts.mix(made + darts.STEP) % U(64 * BITMAP)).astype(np.int64)] = True
+                low = table.sum(axis=1) - n
+                bits = np.packbits(table, axis=1, bitorder="little").view(np.int64)
                 if len(known) and len(made):
                     at = np.minimum(np.searchsorted(known, made), len(known) - 1)
                     late = np.where(known[at] == made, by_value[at] + 1, 0)
@@ -112,12 +118,14 @@ def set_rows(docs: DataFrame, common: np.ndarray, share: int = SHARE, width: int
                 offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(s0.view(np.int64)), pa.array(s1.view(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(first.view(np.int64)))],
-                    ["doc_id", "n", "s0", "s1", "first"],
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(first.view(np.int64))), pa.array(low.astype(np.int64)),
+                     pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BITMAP), pa.array(bits.ravel()))],
+                    ["doc_id", "n", "s0", "s1", "first", "low", "bits"],
                 )
 
+    longs = T.ArrayType(T.LongType())
     schema = T.StructType([T.StructField("doc_id", kind), *[T.StructField(c, T.LongType()) for c in ("n", "s0", "s1")],
-                           T.StructField("first", T.ArrayType(T.LongType()))])
+                           T.StructField("first", longs), T.StructField("low", T.LongType()), T.StructField("bits", longs)])
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -177,36 +185,27 @@ def groups_of(rows: DataFrame) -> DataFrame:
 
 
 def full_sets(wanted: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(rep, n, set, low, bits) of wanted (rep, doc, n, s0, s1): all shingles, bitmap, and bits set less n.
+    """(rep, set) of wanted (rep, doc, s0, s1), a stored table: all their shingles.
 
     Texts that are not wanted are held back by a filter of fixed size before
     they are shuffled. Of rows under one doc_id that with the wanted set counts.
     """
-    asked = wanted.withColumnRenamed("doc", "doc_id")
+    asked = wanted.select("rep", F.col("doc").alias("doc_id"), "s0", "s1")
     texts = likely(docs.select("doc_id", "text").filter("doc_id is not null"), "doc_id", wanted.select("doc"))
-    rows = texts.join(asked, "doc_id").select("rep", "n", "s0", "s1", "text")
+    rows = texts.join(asked, "doc_id").select("rep", "s0", "s1", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = darts.Powers()
         for whole in batches:
             for batch in small_batches(whole, "text", BATCH_BYTES):
                 made, doc = shingle_sets(batch.column("text"), powers, width)
-                n = np.bincount(doc, minlength=batch.num_rows) if len(doc) else np.zeros(batch.num_rows, np.int64)
-                ends = np.cumsum(n)
+                ends = np.cumsum(np.bincount(doc, minlength=batch.num_rows)) if len(doc) else np.zeros(batch.num_rows, np.int64)
                 right = _sums(darts.mix(made), ends).view(np.int64) == batch.column("s0").to_numpy()
                 right &= _sums(darts.mix(made ^ darts.MIX1), ends).view(np.int64) == batch.column("s1").to_numpy()
-                bit = (darts.mix(made + darts.STEP) % U(64 * BITMAP)).astype(np.int64)
-                table = np.zeros((batch.num_rows, 64 * BITMAP), bool)
-                table[doc, bit] = True
-                packed = np.packbits(table, axis=1, bitorder="little").view(np.int64)
-                low = table.sum(axis=1) - n
                 held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(made.view(np.int64)))
-                maps = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BITMAP), pa.array(packed.ravel()))
-                out = pa.RecordBatch.from_arrays(
-                    [batch.column("rep"), pa.array(n.astype(np.int64)), held, pa.array(low.astype(np.int64)), maps], ["rep", "n", "set", "low", "bits"])
-                yield out.filter(pa.array(right))
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), held], ["rep", "set"]).filter(pa.array(right))
 
-    found = durable(rows.mapInArrow(run, "rep bigint, n bigint, set array<bigint>, low bigint, bits array<bigint>"), "sets")
+    found = durable(rows.mapInArrow(run, "rep bigint, set array<bigint>"), "sets")
     return found if found.count() == wanted.count() else durable(found.dropDuplicates(["rep"]), "sets")
 
 
@@ -233,49 +232,47 @@ def _apart(a: str, b: str) -> Column:
     return (F.col(f"{a}.r0") != F.col(f"{a}.r1")) | (F.col(f"{b}.r0") != F.col(f"{b}.r1")) | (F.col(f"{a}.r0") != F.col(f"{b}.r0"))
 
 
-def compared(pairs: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame:
-    """Pairs (a, b) with ``linked``, by their whole sets; pairs whose bitmaps rule it out are not compared."""
-    node = sets.select(F.col("rep").alias("at"), F.col("n").alias("least"), F.col("n").alias("most"), "low", "bits")
+def fitting(pairs: DataFrame, marks: DataFrame, share: int = SHARE) -> DataFrame:
+    """Pairs (a, b) that neither their sizes nor their bitmaps in ``marks`` (rep, n, low, bits) rule out."""
+    node = marks.select(F.col("rep").alias("at"), F.col("n").alias("least"), F.col("n").alias("most"), "low", "bits")
     left, right = node.alias("x"), node.alias("y")
     fit = pairs.join(left, F.col("a") == F.col("x.at")).join(right, F.col("b") == F.col("y.at")).filter(_fits("x", "y", share))
-    fit = durable(fit.select("a", "b"), "fitting")
+    return durable(fit.select("a", "b"), "fitting")
+
+
+def compared(pairs: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame:
+    """Pairs (a, b) with ``linked``, by their whole sets (rep, set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.zeros(batch.num_rows, bool)
-            sides = []
-            for name in ("sa", "sb"):
-                lists = batch.column(name)
-                sides.append((lists.offsets.to_numpy(), lists.values.to_numpy()))
-            (oa, va), (ob, vb) = sides
+            (oa, va), (ob, vb) = ((x.offsets.to_numpy(), x.values.to_numpy()) for x in (batch.column("sa"), batch.column("sb")))
             for i in range(batch.num_rows):
                 x, y = va[oa[i]:oa[i + 1]], vb[ob[i]:ob[i + 1]]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 found[i] = 100 * both >= share * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found)], ["a", "b", "linked"])
 
-    whole = fit.join(sets.select(F.col("rep").alias("b"), F.col("set").alias("sb")), "b")
+    whole = pairs.join(sets.select(F.col("rep").alias("b"), F.col("set").alias("sb")), "b")
     whole = whole.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("sa")), "a").select("a", "b", "sa", "sb")
     return whole.mapInArrow(run, "a bigint, b bigint, linked boolean")
 
 
 def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Members (key, rep) with their component, of groups that are of more than one."""
+    """Members (key, rep, n) with their component, of groups that are of more than one."""
     rows = members.withColumn("root", F.col("rep"))
     if roots is not None:
         rows = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    rows = durable(rows.select("key", "rep", "root"), "members")
+    rows = durable(rows.select("key", "rep", "n", "root"), "members")
     mixed = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1")
     return durable(rows.join(mixed.select("key"), "key", "left_semi"), "mixed")
 
 
-def _levels(members: DataFrame, sets: DataFrame, fan: int) -> list[DataFrame]:
+def _levels(members: DataFrame, marks: DataFrame, fan: int) -> list[DataFrame]:
     """The nodes of all trees by level, the members first: key, node, least, most, low, r0, r1, bits."""
-    sized = members.join(sets.select("rep", "n", "low", "bits"), "rep")
     # Groups lie side by side in one order; nodes are gapless numbers cut into parents.
-    placed = ordered.number(members.join(sets.select("rep", "n"), "rep"), ["key", "n", "root", "rep"], "node")
-    sized = placed.select("key", "rep", "node").join(sized, ["key", "rep"])
-    level = durable(sized.select(
+    placed = ordered.number(members, ["key", "n", "root", "rep"], "node")
+    level = durable(placed.join(marks.select("rep", "low", "bits"), "rep").select(
         "key", "node", "rep", F.col("n").alias("least"), F.col("n").alias("most"), "low", F.col("root").alias("r0"),
         F.col("root").alias("r1"), "bits"), "nodes")
     levels = [level]
@@ -288,9 +285,9 @@ def _levels(members: DataFrame, sets: DataFrame, fan: int) -> list[DataFrame]:
     return levels
 
 
-def traversed(members: DataFrame, sets: DataFrame, share: int = SHARE, fan: int = FAN) -> DataFrame:
-    """Pairs (a, b) of members of different components that no node of their trees rules out."""
-    levels = _levels(members, sets, fan)
+def traversed(members: DataFrame, marks: DataFrame, share: int = SHARE, fan: int = FAN) -> DataFrame:
+    """Pairs (a, b) of members (key, rep, n, root) of different components that no node of their trees rules out."""
+    levels = _levels(members, marks, fan)
     pairs = levels[-1].filter("r0 < r1").select("key", F.col("node").alias("p"), F.col("node").alias("q"))
     for level in reversed(levels[:-1]):
         above = level.withColumn("parent", F.expr(f"node div {fan}"))
@@ -309,26 +306,40 @@ def traversed(members: DataFrame, sets: DataFrame, share: int = SHARE, fan: int
 
 
 def linked(
-    members: DataFrame, sets: DataFrame, share: int = SHARE, parts: int = PARTS, fan: int = FAN
+    members: DataFrame, reps: DataFrame, docs: DataFrame, share: int = SHARE, width: int = WIDTH,
+    parts: int = PARTS, fan: int = FAN,
 ) -> DataFrame | None:
-    """(node, root) of all members of groups that have a link; root is their component."""
-    roots, links, done = None, None, None
+    """(node, root) of all members (key, rep, n) of groups that have a link; root is their component.
+
+    ``reps`` is a stored table of (rep, doc, n, s0, s1, low, bits) for all members.
+    """
+    roots, links, done, sets = None, None, None, None
+    sizes = (100 * F.col("n") >= share * F.col("lead_n")) & (100 * F.col("lead_n") >= share * F.col("n"))
     for firsts in (1, parts, 0):
         mixed = _rooted(members, roots)
         if mixed.isEmpty():
             return roots
         if firsts:
             part = F.pmod(F.xxhash64("rep"), F.lit(firsts)).alias("part")
-            leads = mixed.groupBy("key", part).agg(F.min(F.struct("rep", "root")).alias("lead")).select(
-                "key", F.col("lead.rep").alias("lead"), F.col("lead.root").alias("lead_root"))
-            met = mixed.join(leads, "key").filter("root <> lead_root")
-            pairs = met.select(F.greatest("rep", "lead").alias("a"), F.least("rep", "lead").alias("b")).distinct()
+            leads = mixed.groupBy("key", part).agg(F.min(F.struct("rep", "root", "n")).alias("lead")).select(
+                "key", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("rep", "root", "n")])
+            met = mixed.join(leads, "key").filter((F.col("root") != F.col("lead_root")) & sizes)
+            pairs = met.select(F.greatest("rep", "lead_rep").alias("a"), F.least("rep", "lead_rep").alias("b")).distinct()
+            pairs = fitting(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), reps, share)
         else:
-            pairs = traversed(mixed, sets, share, fan)
-        if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        found = durable(compared(durable(pairs, "asked"), sets, share), "compared")
-        done = found if done is None else done.unionByName(found)
+            pairs = traversed(mixed, reps, share, fan)
+            pairs = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        if sets is not None:
+            asked = asked.join(sets.select("rep"), "rep", "left_anti")
+        wanted = durable(reps.select("rep", "doc", "s0", "s1").join(asked, "rep", "left_semi"), "wanted")
+        if not wanted.isEmpty():
+            fresh = full_sets(wanted, docs, width)
+            sets = fresh if sets is None else sets.unionByName(fresh)
+        if sets is None:
+            continue
+        found = durable(compared(pairs, sets, share), "compared")
+        done = found.select("a", "b") if done is None else done.unionByName(found.select("a", "b"))
         fresh = found.filter("linked").select("a", "b")
         if not fresh.isEmpty():
             links = fresh if links is None else links.unionByName(fresh)
@@ -348,14 +359,13 @@ def linked_documents(
     """
     rows = durable(set_rows(docs, common_shingles(docs, least=common, width=width), share, width), "sets")
     good = rows.filter("n > 0 and doc_id is not null")
-    reps = good.groupBy("n", "s0", "s1").agg(F.min("doc_id").alias("doc"), F.first("first").alias("first"))
+    reps = good.groupBy("n", "s0", "s1").agg(F.min("doc_id").alias("doc"), F.first(F.struct("first", "low", "bits")).alias("x"))
     # The numbers are fixed by being written.
-    reps = durable(reps.select(F.monotonically_increasing_id().alias("rep"), "doc", "n", "s0", "s1", "first"), "reps")
+    reps = durable(reps.select(F.monotonically_increasing_id().alias("rep"), "doc", "n", "s0", "s1", "x.*"), "reps")
     keys = durable(shared(reps.select("rep", F.explode("first").alias("key"))), "shared")
-    members = durable(groups_of(keys), "groups")
-    involved = members.select("rep").distinct()
-    wanted = durable(reps.select("rep", "doc", "n", "s0", "s1").join(involved, "rep", "left_semi"), "involved")
-    roots = linked(members, full_sets(wanted, docs, width), share, parts, fan)
+    involved = durable(reps.drop("first").join(keys.select("rep").distinct(), "rep", "left_semi"), "involved")
+    members = durable(groups_of(keys).join(involved.select("rep", "n"), "rep"), "groups")
+    roots = linked(members, involved, docs, share, width, parts, fan)
     named = reps.select("rep", "doc", "n", "s0", "s1")
     if roots is not None:
         least = named.join(roots, F.col("rep") == F.col("node")).groupBy("root").agg(F.min("doc").alias("low"))

@@ -86,9 +86,9 @@ def test_traversal_alone_finds_every_link(spark, copies):
     rows = sorted(unique.values())
     df = spark.createDataFrame(rows, SCHEMA)
     known = signature_tree.set_rows(df, np.zeros(0, np.uint64)).withColumn("rep", F.col("doc_id")).withColumnRenamed("doc_id", "doc")
-    sets = signature_tree.full_sets(known.drop("first"), df)
-    members = df.select(F.lit(1).cast("bigint").alias("key"), F.col("doc_id").alias("rep"), F.col("doc_id").alias("root"))
-    pairs = signature_tree.traversed(members, sets, fan=3)
+    sets = signature_tree.full_sets(known, df)
+    members = known.select(F.lit(1).cast("bigint").alias("key"), "rep", "n", F.col("rep").alias("root"))
+    pairs = signature_tree.traversed(members, known, fan=3)
     left = {tuple(r) for r in pairs.collect()}
     every = [(a, b) for a, _ in rows for b, _ in rows if a > b]
     texts = dict(rows)
