@@ -93,3 +93,11 @@ def durable(df: DataFrame, label: str = "step") -> DataFrame:
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table that ``durable`` wrote; only once all that was made of it has been written itself."""
+    for folder in {os.path.dirname(name) for name in df.inputFiles()}:
+        if not os.path.basename(folder).startswith("cairn-"):
+            raise ValueError(f"not an intermediate table: {folder}")
+        remove(df.sparkSession, folder)
