@@ -5,8 +5,9 @@
 2. Of n shingles in one order for all, similar sets share one of the first few
    (n less the overlap they need, plus one). Shingles that a sample of the texts
    shows to be common come last in that order, so what many documents share
-   rarely is among the first. Representatives with a common first shingle are a
-   group; groups of the same members are one.
+   rarely is among the first. A few more of them tell, by how many are found
+   elsewhere, who cannot have a partner at all. Representatives with a common
+   first shingle are a group; groups of the same members are one.
 3. A group's members, ordered by size and component, are the lowest nodes of a
    tree. Each node holds the bitmap of its members' shingles, OR-combined, the
    range of their sizes and of their components. A dual traversal goes down
@@ -35,7 +36,7 @@ from cairn.llm import darts
 from cairn.llm.common import likely, small_batches
 from cairn.llm.near_dedup import components
 from cairn.operators import ordered
-from cairn.session import durable
+from cairn.session import discard, durable
 
 WIDTH = 5
 #: Sets are linked from 80 of 100 on.
@@ -43,6 +44,8 @@ SHARE = 80
 BATCH_BYTES = 1 << 19
 #: Longs in a bitmap, children of a node, and parts of a group whose firsts are met.
 BITMAP, FAN, PARTS = 32, 16, 16
+#: A tenth of all shingles beside the first ones tells who may have a partner.
+MORE = 10
 #: The order of shingles follows a sample of so many texts; a shingle in so many of them is common.
 SAMPLE_ROWS, COMMON, MOST_COMMON = 10_000, 4, 1 << 18
 U = np.uint64
@@ -86,8 +89,13 @@ def first_shingles(n: np.ndarray, share: int) -> np.ndarray:
     return n - -(-n * share // 100) + 1
 
 
+def more_shingles(n: np.ndarray) -> np.ndarray:
+    """How many further shingles are looked at: linked sets share that many of their first ones beside the one."""
+    return n // MORE
+
+
 def set_rows(docs: DataFrame, common: np.ndarray, share: int = SHARE, width: int = WIDTH) -> DataFrame:
-    """Per row: doc_id, n (distinct shingles), s0 and s1 (hash of the set), first (its first shingles), low, bits.
+    """Per row: doc_id, n (distinct shingles), s0 and s1 (hash of the set), first (its first shingles and some more), low, bits.
 
     ``common`` are shingles that come last, in the given order. ``bits`` is the
     bitmap of the set, ``low`` the number of its bits less n.
@@ -113,7 +121,7 @@ def set_rows(docs: DataFrame, common: np.ndarray, share: int = SHARE, width: int
                     late = np.where(known[at] == made, by_value[at] + 1, 0)
                     made = made[np.lexsort((made, late, doc))]
                 place = np.arange(len(made)) - np.repeat(ends - n, n)
-                size = np.where(n > 0, first_shingles(n, share), 0)
+                size = np.where(n > 0, first_shingles(n, share) + more_shingles(n), 0)
                 first = made[place < size[doc]] if len(made) else made
                 offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -152,36 +160,42 @@ def common_shingles(docs: DataFrame, rows: int = SAMPLE_ROWS, least: int = COMMO
 
 
 def shared(keys: DataFrame) -> DataFrame:
-    """Rows (key, rep) of keys that two rows or more have, sorted once; no group is held."""
+    """Rows (key, rep, at) of keys that two rows or more have, sorted once; no group is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the newest row, not yet passed on, and whether its key came before
+        last, again_before = None, False  # the newest row is not passed on before the next is known
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, rep = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "rep"))
-            again = np.zeros(len(key) + 1, bool)
-            again[1:-1] = key[1:] == key[:-1]
-            if last is not None:
-                again[0] = last[0] == key[0]
-                if last[2] or again[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64())], ["key", "rep"])
-            out = (again[:-1] | again[1:])[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(key[:-1][out]), pa.array(rep[:-1][out])], ["key", "rep"])
-            last = int(key[-1]), int(rep[-1]), bool(again[-2])
-        if last is not None and last[2]:
-            yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64())], ["key", "rep"])
-
-    placed = keys.select("key", "rep").repartition("key").sortWithinPartitions("key", "rep")
-    return placed.mapInArrow(run, "key bigint, rep bigint")
-
-
-def groups_of(rows: DataFrame) -> DataFrame:
-    """(key, rep) of one key for each different group of members."""
+            whole = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+            key = whole.column("key").to_numpy(zero_copy_only=False)
+            same = np.concatenate([[again_before], key[1:] == key[:-1]])
+            yield whole.slice(0, len(key) - 1).filter(pa.array((same[:-1] | same[1:])))
+            last, again_before = whole.slice(len(key) - 1), bool(same[-1])
+        if last is not None and again_before:
+            yield last
+
+    placed = keys.select("key", "rep", "at").repartition("key").sortWithinPartitions("key", "rep")
+    return placed.mapInArrow(run, "key bigint, rep bigint, at int")
+
+
+def groups_of(rows: DataFrame, reps: DataFrame, share: int = SHARE) -> DataFrame:
+    """(key, rep, n): groups of members that may have a partner, from ``shared`` rows of ``reps`` (rep, n).
+
+    Of two linked sets, the first common shingle is one of the first of either,
+    and as many as both look at besides are common, too. The smallest partner
+    looks at the fewest.
+    """
+    n = F.col("n")
+    least = F.expr(f"int(ceil(n * {share} / 100.0 - 1e-9)) div {MORE}") + 1
+    held = rows.groupBy("rep").agg(F.count(F.lit(1)).alias("held")).join(reps.select("rep", "n"), "rep")
+    chief = n - F.ceil(n * share / 100 - 1e-9) + 1
+    held = held.filter(F.col("held") >= least).select("rep", "n", chief.alias("chief"))
+    rows = durable(rows.join(held, "rep").filter("at < chief").select("key", "rep", "n"), "partners")
     x0, x1 = F.bit_xor(F.xxhash64("rep")), F.bit_xor(F.xxhash64(F.lit(7), "rep"))
-    known = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), x0.alias("x0"), x1.alias("x1"))
-    once = known.groupBy("n", "x0", "x1").agg(F.min("key").alias("key"))
-    return rows.join(once.select("key"), "key", "left_semi")
+    known = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), x0.alias("x0"), x1.alias("x1")).filter("size > 1")
+    once = known.groupBy("size", "x0", "x1").agg(F.min("key").alias("key"))
+    return durable(rows.join(once.select("key"), "key", "left_semi"), "groups")
 
 
 def full_sets(wanted: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -362,17 +376,21 @@ def linked_documents(
     reps = good.groupBy("n", "s0", "s1").agg(F.min("doc_id").alias("doc"), F.first(F.struct("first", "low", "bits")).alias("x"))
     # The numbers are fixed by being written.
     reps = durable(reps.select(F.monotonically_increasing_id().alias("rep"), "doc", "n", "s0", "s1", "x.*"), "reps")
-    keys = durable(shared(reps.select("rep", F.explode("first").alias("key"))), "shared")
-    involved = durable(reps.drop("first").join(keys.select("rep").distinct(), "rep", "left_semi"), "involved")
-    members = durable(groups_of(keys).join(involved.select("rep", "n"), "rep"), "groups")
+    each = durable(rows.select("doc_id", "n", "s0", "s1"), "documents")
+    discard(rows)
+    keys = durable(shared(reps.select("rep", F.posexplode("first").alias("at", "key"))), "shared")
+    members = groups_of(keys, reps, share)
+    involved = durable(reps.drop("first").join(members.select("rep").distinct(), "rep", "left_semi"), "involved")
+    named = durable(reps.select("rep", "doc", "n", "s0", "s1"), "representatives")
+    discard(reps)
+    discard(keys)
     roots = linked(members, involved, docs, share, width, parts, fan)
-    named = reps.select("rep", "doc", "n", "s0", "s1")
     if roots is not None:
         least = named.join(roots, F.col("rep") == F.col("node")).groupBy("root").agg(F.min("doc").alias("low"))
         lowest = durable(roots.join(least, "root").select(F.col("node").alias("rep"), "low"), "lowest")
         named = named.join(lowest, "rep", "left").withColumn("doc", F.coalesce("low", "doc"))
     named = named.select("n", "s0", "s1", F.col("doc").alias("component"))
-    found = rows.select("doc_id", "n", "s0", "s1").join(named, ["n", "s0", "s1"], "left")
+    found = each.join(named, ["n", "s0", "s1"], "left")
     lone = F.col("doc_id").isNull() | F.col("component").isNull()
     return found.select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(lone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id")
