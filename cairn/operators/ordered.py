@@ -101,11 +101,16 @@ def scan(
     keys: Sequence[str],
     order: Sequence[Column | str],
     *,
-    limit: int = PLAIN_LIMIT,
+    limit: int | None = PLAIN_LIMIT,
     chunk_rows: int = CHUNK_ROWS,
     **outputs: Running,
 ) -> DataFrame:
-    """Add one column per output, running along ``order`` within ``keys``."""
+    """Add one column per output, running along ``order`` within ``keys``.
+
+    A limit of None says that the caller knows all keys to be small.
+    """
+    if limit is None:
+        return _scan_plain(df, keys, order, outputs)
     return by_key_size(
         df,
         keys,

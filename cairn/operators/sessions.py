@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.columns import MICROS_PER_SECOND, from_micros, micros
-from cairn.operators import ordered
+from cairn.operators import ordered, timer_chain
 from cairn.operators.validate import timer_plan_rules, valid
 from cairn.session import durable
 
@@ -168,21 +168,25 @@ def _entries(ends: DataFrame, many: bool) -> DataFrame:
     return carried.unionByName(rest.select("user_id", "chunk", "wanted"))
 
 
+def accepted_events(events: DataFrame) -> DataFrame:
+    """Starts of 1..120 minutes, toggles and stops."""
+    starts = valid(events.filter(F.col("kind") == "start"), timer_plan_rules())
+    return starts.unionByName(events.filter(F.col("kind").isin("toggle", "stop")))
+
+
 def fold_log(
     events: DataFrame, timers: DataFrame | None = None,
-    chunk_rows: int = FOLD_ROWS, chunk_limit: int = ordered.PLAIN_LIMIT,
-) -> list[DataFrame]:
+    chunk_rows: int = FOLD_ROWS, chunk_limit: int = ordered.PLAIN_LIMIT, turns: int | None = None,
+) -> list[DataFrame] | None:
     """The log folded in chunks, each from the timer the one before left: all folds, newest last.
 
+    None if that is not done after ``turns`` turns, where a number is given.
+
     ``timers`` are (user_id, timer) that are set before the log begins. Every
     turn writes the chunks that it folds again and no others; ``_newest`` puts
     the turns together.
     """
-    starts = F.col("kind") == "start"
-    accepted = valid(events.filter(starts), timer_plan_rules()).unionByName(
-        events.filter(F.col("kind").isin("toggle", "stop"))
-    )
-    placed = ordered.chunked(accepted, ["user_id"], ["ts", "event_id"], chunk_rows)
+    placed = ordered.chunked(accepted_events(events), ["user_id"], ["ts", "event_id"], chunk_rows)
     event = F.struct(
         "_pos", "event_id", micros(F.col("ts")).alias("at"), "kind",
         "planned_minutes", "is_break", "task_id",
@@ -210,12 +214,18 @@ def fold_log(
         stale = durable(_entries(_newest(folds, _ENDS), many), "stale")
         if stale.isEmpty():
             return folds
+        if turns is not None and len(folds) > turns:
+            return None
         again = chunks.join(stale, ["user_id", "chunk"]).withColumnRenamed("wanted", "entry")
         folds.append(durable(_fold(again, len(folds)), "folded"))
 
 
+#: Turns in which most logs are folded; others are not folded any further.
+FOLD_TURNS = 6
+
+
 def reconstruct_sessions(
-    events: DataFrame, chunk_rows: int = FOLD_ROWS, chunk_limit: int = ordered.PLAIN_LIMIT
+    events: DataFrame, chunk_rows: int = FOLD_ROWS, chunk_limit: int = ordered.PLAIN_LIMIT, turns: int = FOLD_TURNS
 ) -> DataFrame:
     """Sessions from ``(user_id, event_id, ts, kind, planned_minutes, is_break, task_id)``.
 
@@ -227,14 +237,32 @@ def reconstruct_sessions(
     What a start means depends on whether an earlier timer is over, so rows are
     folded in order, in chunks of bounded size, never a user at once. All chunks
     first assume that they begin idle; those whose predecessor left a timer set
-    are folded again from it, until every chunk began with what the one before
-    left. A timer that sits through many chunks is carried over all of them in
-    one turn.
+    are folded again from it. Nearly all logs come to rest within a few such
+    turns, as every idle moment does. One that does not after ``turns`` turns,
+    such as starts without a pause for days, is left to :func:`chained_sessions`,
+    whose turns grow with the logarithm of the log only. Both give the same rows.
     """
-    folds = fold_log(events, None, chunk_rows, chunk_limit)
+    folds = fold_log(events, None, chunk_rows, chunk_limit, turns)
+    if folds is None:
+        return chained_sessions(events, chunk_limit=chunk_limit)
     return sessions_of(closed_in(folds).unionByName(run_out(timers_after(folds))))
 
 
+def chained_sessions(
+    events: DataFrame, chunk_starts: int = timer_chain.CHUNK_STARTS, chunk_limit: int = ordered.PLAIN_LIMIT
+) -> DataFrame:
+    """The same without folding: every start is given the end it would have, and pointers between starts double.
+
+    The number of Spark jobs grows with the logarithm of the log's chunks,
+    whatever the log holds; see :mod:`cairn.operators.timer_chain`.
+    """
+    found = timer_chain.sessions_in(accepted_events(events), chunk_starts=chunk_starts, limit=chunk_limit)
+    return sessions_of(found.select("user_id", F.struct(
+        F.col("event_id").alias("start_event_id"), "task_id", "is_break", "planned_minutes", F.col("at").alias("started"),
+        "ended", (F.col("total") - F.col("left")).alias("active"), "outcome",
+    ).cast(_SESSION).alias("s")))
+
+
 def closed_in(folds: list[DataFrame]) -> DataFrame:
     """(user_id, s): sessions that ended within the log."""
     return _newest(folds, ("done",)).select("user_id", F.explode("done").alias("s"))

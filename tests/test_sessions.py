@@ -179,3 +179,42 @@ def test_a_timer_leaps_over_the_chunks_it_sits_through(spark, chunks, most):
             break
         expected.append(after)
     assert begins == expected
+
+
+@pytest.mark.parametrize("sizes", [{}, {"chunk_starts": 5, "chunk_limit": 10}])
+def test_pointers_and_fold_agree(spark, stand, sizes):
+    """Two ways to the same sessions, on logs full of pauses, ties in time and ends at events."""
+    dice = random.Random(11)
+    data = []
+    for user in range(6):
+        now = 0
+        for i in range(90):
+            now += dice.choice([0, 0, 10, 30, 60])
+            kind = dice.choice(["start", "toggle", "toggle", "toggle", "stop"] if user % 2 else ["start", "start", "toggle"])
+            data.append((user, user * 1000 + i, T0 + dt.timedelta(seconds=now), kind, dice.choice([1, 2, 3]), i % 2 == 0, i))
+    frame = spark.createDataFrame(data, TIMER).repartition(3)
+    one, two = sessions.chained_sessions(frame, **sizes), sessions.reconstruct_sessions(frame, turns=99)
+    assert rows(one) == rows(two.select(one.columns))
+
+
+def test_jobs_grow_with_the_logarithm(spark):
+    """A user's starts without stops, a minute each: it is not folded to its end."""
+    from cairn.session import durable
+
+    def run(n):
+        seconds = F.col("id") * 7
+        frame = durable(spark.range(n).select(
+            F.lit(1).cast("bigint").alias("user_id"), F.col("id").alias("event_id"),
+            (F.lit(T0) + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))).cast("timestamp_ntz").alias("ts"),
+            F.lit("start").alias("kind"), F.lit(1).alias("planned_minutes"), F.lit(False).alias("is_break"),
+            F.lit(None).cast("bigint").alias("task_id"),
+        ))
+        spark.sparkContext.setJobGroup(f"log-{n}", "")
+        result = durable(sessions.reconstruct_sessions(frame, chunk_rows=64, turns=1))
+        spark.sparkContext.setJobGroup("", "")
+        assert [r[0] for r in result.select("start_event_id").orderBy("start_event_id").collect()] == list(range(0, n, 9))
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"log-{n}"))
+
+    small, large = run(4_000), run(64_000)
+    # Sixteen times the log: four turns more, of two joins and two looks each.
+    assert large - small <= 4 * 8
