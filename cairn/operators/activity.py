@@ -166,6 +166,26 @@ def status_summary(daily: DataFrame, tasks: DataFrame, as_of: Day) -> DataFrame:
     )
 
 
+def status_view(daily: DataFrame, tasks: DataFrame, as_of: Day, n: int = 20) -> DataFrame:
+    """The dashboard row with its two lists inside: ``pending`` and ``active``, the ``n`` oldest tasks of each.
+
+    A list holds structs of created_at, id, title and parent_id, oldest first; a
+    user without such tasks has an empty one. Every task of the shuffle passes
+    on ``n`` tasks of a user and status at most, so a user with a third of all
+    tasks costs no more than any other. The whole lists are rows: see
+    :func:`cairn.operators.tasks.open_task_list`.
+    """
+    oldest = Window.partitionBy("user_id", "status").orderBy("created_at", "id")
+    some = tasks.filter(F.col("status").isin(ACTIVE, PENDING)).withColumn("_place", F.row_number().over(oldest))
+    row = F.struct("created_at", "id", "title", "parent_id")
+    listed = some.filter(F.col("_place") <= n).groupBy("user_id").agg(*[
+        F.sort_array(F.collect_list(F.when(F.col("status") == status, row))).alias(status) for status in (PENDING, ACTIVE)
+    ])
+    none = F.array().cast(listed.schema[PENDING].dataType)
+    whole = status_summary(daily, tasks, as_of).join(listed, "user_id", "left")
+    return whole.withColumns({status: F.coalesce(F.col(status), none) for status in (PENDING, ACTIVE)})
+
+
 def with_progress(summary: DataFrame) -> DataFrame:
     """Today's completions as a share of them and the open tasks."""
     whole = F.col("today_tasks") + F.col("pending_tasks") + F.col("active_tasks")

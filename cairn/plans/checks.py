@@ -559,6 +559,12 @@ _check("status_summary", "SELECT * FROM fx_status")
 _check("status_lists", """
 SELECT *, row_number() OVER (PARTITION BY user_id, status ORDER BY created_at, id) AS position
 FROM fx_tasks WHERE status IN ('active', 'pending')""")
+_check("status_view", """
+SELECT s.*, coalesce(pending, '[]') AS pending, coalesce(active, '[]') AS active FROM fx_status s LEFT JOIN (
+    SELECT user_id, CAST(to_json(list({'id': id, 'title': title} ORDER BY created_at, id) FILTER (WHERE status = 'pending')) AS VARCHAR) AS pending,
+        CAST(to_json(list({'id': id, 'title': title} ORDER BY created_at, id) FILTER (WHERE status = 'active')) AS VARCHAR) AS active
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id, status ORDER BY created_at, id) AS n FROM fx_tasks WHERE status <> 'done') t
+    WHERE n <= 5 GROUP BY user_id) l ON l.user_id = s.user_id""")
 _check("progress_pct", """
 SELECT user_id, round(CASE WHEN today_tasks + pending_tasks + active_tasks > 0
                       THEN today_tasks / (today_tasks + pending_tasks + active_tasks) * 100 ELSE 0.0 END, 6) AS progress_pct

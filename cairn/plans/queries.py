@@ -505,6 +505,14 @@ def status_lists(d: StandIns) -> DataFrame:
     return tasks.open_task_list(d.tasks)
 
 
+@query
+def status_view(d: StandIns) -> DataFrame:
+    """The dashboard rows with their lists of open tasks inside, five of each kind."""
+    whole = activity.status_view(d.daily, d.tasks, AS_OF, n=5)
+    lists = {k: F.to_json(F.transform(k, lambda x: F.struct(x["id"].alias("id"), x["title"].alias("title")))) for k in ("pending", "active")}
+    return whole.withColumns(lists)
+
+
 @query
 def progress_pct(d: StandIns) -> DataFrame:
     """Progress today."""

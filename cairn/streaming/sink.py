@@ -7,13 +7,18 @@ up. A batch that is tried again overwrites its own partition only.
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cairn.session import durable, new_folder, remove
+from cairn.session import new_folder, remove
 
 BATCH = "batch_id"
+# Folders that readers of the batches pass over: versions of what is live, and batches put together.
+LIVE, MERGED = "_live", "_merged"
 
 
 def _start(rows: DataFrame, store, checkpoint: str, mode: str, trigger: dict | None) -> StreamingQuery:
@@ -57,8 +62,62 @@ def write_sums(
     return _start(rows, store, checkpoint, "append", trigger)
 
 
+def _files(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def manifest(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """(upto, folder): batches below ``upto`` are put together in ``folder``; (0, None) if none are.
+
+    Each version is a file that appears by one rename; the highest counts.
+    """
+    files, place = _files(spark, f"{path}/{LIVE}")
+    if not files.exists(place):
+        return 0, None
+    names = [s.getPath().getName() for s in files.listStatus(place)]
+    versions = sorted(int(n.split("-")[1]) for n in names if n.startswith("version-"))
+    if not versions:
+        return 0, None
+    last = spark.read.json(f"{path}/{LIVE}/version-{versions[-1]}", schema="upto bigint, folder string").first()
+    return last["upto"], last["folder"]
+
+
+def _swap(spark: SparkSession, path: str, upto: int, folder: str) -> None:
+    """Let readers follow ``folder`` from now on: written aside first, then renamed."""
+    line = json.dumps({"upto": upto, "folder": folder}).encode()
+    files, place = _files(spark, f"{path}/{LIVE}")
+    names = [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
+    number = max([int(n.split("-")[1]) for n in names if n.startswith("version-")], default=0) + 1
+    _, aside = _files(spark, f"{path}/{LIVE}/_{uuid.uuid4().hex}")
+    out = files.create(aside, True)
+    out.write(bytearray(line))
+    out.close()
+    if not files.rename(aside, _files(spark, f"{path}/{LIVE}/version-{number}")[1]):
+        raise OSError(f"version {number} of {path} was written by somebody else")
+
+
+def _clear(spark: SparkSession, path: str) -> None:
+    """Remove what no reader follows any more; may be broken off and tried again."""
+    upto, folder = manifest(spark, path)
+    files, place = _files(spark, path)
+    for status in files.listStatus(place):
+        name = status.getPath().getName()
+        if name.startswith(f"{BATCH}=") and int(name.split("=")[1]) < upto:
+            remove(spark, f"{path}/{name}")
+    files, place = _files(spark, f"{path}/{MERGED}")
+    for status in files.listStatus(place) if files.exists(place) else []:
+        if status.getPath().getName() != folder:
+            remove(spark, f"{path}/{MERGED}/{status.getPath().getName()}")
+
+
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(f"{schema}, {BATCH} bigint").option("basePath", path).parquet(path)
+    upto, folder = manifest(spark, path)
+    live = spark.read.schema(f"{schema}, {BATCH} bigint").option("basePath", path).parquet(path)
+    if folder is None:
+        return live
+    merged = spark.read.schema(schema).parquet(f"{path}/{MERGED}/{folder}")
+    return live.filter(F.col(BATCH) >= upto).unionByName(merged.withColumn(BATCH, F.lit(upto - 1).cast("bigint")))
 
 
 def read_current(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:
@@ -82,23 +141,30 @@ def read_appended(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def compact(spark: SparkSession, path: str, schema: str, keys: list[str], upto: int, sums: bool = False) -> None:
-    """Put the batches before ``upto`` together as batch ``upto - 1``, to be run while no reader is at work.
+    """Put the batches before ``upto`` together, to be run while no reader is at work.
 
-    Readers give the same rows before and after, and read one partition where
-    there were many. Batches from ``upto`` on, which may still be written, stay.
+    The rows are written to a folder of their own, one rename makes readers
+    follow it, and only then the old folders go. Readers give the same rows
+    after any of these steps, so a run that breaks off harms nothing and the
+    next one clears up behind it. Batches from ``upto`` on, which may still be
+    written, stay as they are; earlier ones must be complete.
     """
-    old = _stored(spark, path, schema).filter(F.col(BATCH) < upto)
-    numbers = [r[0] for r in old.select(BATCH).distinct().collect()]  # one number per batch
-    values = [c for c in old.columns if c not in (*keys, BATCH)]
-    if sums:
-        merged = old.groupBy(*keys).agg(*[F.sum(v).cast("bigint").alias(v) for v in values])
-    else:
-        newest = F.max_by(F.struct(*values), BATCH).alias("v")
-        merged = old.groupBy(*keys).agg(newest).select(*keys, "v.*")
-    durable(merged, "compacted").write.mode("overwrite").parquet(f"{path}/{BATCH}={upto - 1}")
-    for number in numbers:
-        if number != upto - 1:
-            remove(spark, f"{path}/{BATCH}={number}")
+    if upto > manifest(spark, path)[0]:
+        old = _stored(spark, path, schema).filter(F.col(BATCH) < upto)
+        values = [c for c in old.columns if c not in (*keys, BATCH)]
+        if sums:
+            merged = old.groupBy(*keys).agg(*[F.sum(v).cast("bigint").alias(v) for v in values])
+        else:
+            newest = F.max_by(F.struct(*values), BATCH).alias("v")
+            merged = old.groupBy(*keys).agg(newest).select(*keys, "v.*")
+        folder = f"upto-{upto}-{uuid.uuid4().hex}"
+        _merge(merged, f"{path}/{MERGED}/{folder}")
+        _swap(spark, path, upto, folder)
+    _clear(spark, path)
+
+
+def _merge(merged: DataFrame, folder: str) -> None:
+    merged.write.parquet(folder)
 
 
 def run_available(changes: DataFrame, label: str, mode: str = "update") -> str:

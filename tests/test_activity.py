@@ -102,3 +102,19 @@ def test_rollup_levels_agree(stand):
     rolled = activity.activity_rollup(stand.daily)
     sums = rolled.groupBy("level").agg(F.sum("focus_minutes")).collect()
     assert len(sums) == 3 and len({r[1] for r in sums}) == 1
+
+
+def test_status_lists_inside_the_row(spark):
+    """The oldest open tasks of each kind, of a user with very many too; empty lists where there are none."""
+    from cairn.operators.activity import status_view
+    from tests.helpers import DAILY, TASKS, at, day
+
+    data = [(1, i, f"t{i}", None, "pending", at("2024-01-01", f"00:{59 - i % 60:02d}:00"), None) for i in range(400)]
+    data += [(2, 1000, "b", 7, "active", at("2024-01-02"), None), (2, 999, "a", None, "active", at("2024-01-02"), None),
+             (3, 5, "d", None, "done", at("2024-01-02"), None)]
+    tasks = spark.createDataFrame(data, TASKS).repartition(4)
+    daily = spark.createDataFrame([(4, day("2024-01-30"), 1, 5)], DAILY)
+    view = status_view(daily, tasks, "2024-01-30", n=3)
+    got = {r.user_id: ([x.id for x in r.pending], [(x.id, x.parent_id) for x in r.active], r.pending_tasks) for r in view.collect()}
+    assert got == {1: ([59, 119, 179], [], 400), 2: ([], [(999, None), (1000, 7)], 0), 3: ([], [], 0), 4: ([], [], 0)}
+    assert "WindowGroupLimit" in view._jdf.queryExecution().executedPlan().toString()
