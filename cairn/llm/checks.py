@@ -68,27 +68,31 @@ WITH docs AS (
         sum(n) OVER (PARTITION BY level, lang, source, rule) AS docs FROM levels
 ), places AS (
     SELECT level, lang, source, rule, first(docs) AS docs,
-        min(bucket) FILTER (WHERE upto >= 0.25 * docs) AS b1, min(bucket) FILTER (WHERE upto >= 0.75 * docs) AS b3
+        min(bucket) FILTER (WHERE upto >= 0.25 * docs) AS b1, min(bucket) FILTER (WHERE upto >= 0.75 * docs) AS b3,
+        min(bucket) FILTER (WHERE upto >= 0.99::DOUBLE * docs) AS b9
     FROM ranked GROUP BY level, lang, source, rule
 ), quarts AS (
     SELECT level, lang, source, rule, docs,
         CASE WHEN b1 = -1000000 THEN 0 ELSE 2 / (1.01::DOUBLE / 0.99 + 1) * pow(1.01::DOUBLE / 0.99, b1) END AS q1,
-        CASE WHEN b3 = -1000000 THEN 0 ELSE 2 / (1.01::DOUBLE / 0.99 + 1) * pow(1.01::DOUBLE / 0.99, b3) END AS q3
+        CASE WHEN b3 = -1000000 THEN 0 ELSE 2 / (1.01::DOUBLE / 0.99 + 1) * pow(1.01::DOUBLE / 0.99, b3) END AS q3,
+        CASE WHEN b9 = -1000000 THEN 0 ELSE 2 / (1.01::DOUBLE / 0.99 + 1) * pow(1.01::DOUBLE / 0.99, b9) END AS high
     FROM places
 ), picked AS (
     SELECT o.lang, o.source, o.rule,
         CASE WHEN o.docs >= 200 THEN o.q1 WHEN w.docs >= 200 THEN w.q1 ELSE e.q1 END AS q1,
-        CASE WHEN o.docs >= 200 THEN o.q3 WHEN w.docs >= 200 THEN w.q3 ELSE e.q3 END AS q3
+        CASE WHEN o.docs >= 200 THEN o.q3 WHEN w.docs >= 200 THEN w.q3 ELSE e.q3 END AS q3,
+        CASE WHEN o.docs >= 200 THEN o.high WHEN w.docs >= 200 THEN w.high ELSE e.high END AS high
     FROM quarts o JOIN quarts w ON w.level = 1 AND w.rule = o.rule AND w.lang IS NOT DISTINCT FROM o.lang
     JOIN quarts e ON e.level = 2 AND e.rule = o.rule WHERE o.level = 0
+), fenced AS (
+    SELECT lang, source, rule, CASE WHEN q3 > 0 THEN q3 + 3 * (q3 - q1) ELSE high END * slack AS above,
+        (q1 - 3 * (q3 - q1)) / slack AS below
+    FROM picked, (SELECT (1.01::DOUBLE / 0.99 + 1) / 2 * (1 + 1e-6::DOUBLE) AS slack)
 ), limits AS (
-    SELECT lang, source,
-        max(greatest(q3 + 3 * (q3 - q1), 0.1)) FILTER (WHERE rule = 'symbol_ratio') AS most_symbol,
-        max(greatest(q3 + 3 * (q3 - q1), 0.3)) FILTER (WHERE rule = 'dup_line_ratio') AS most_dup,
-        max(greatest(q3 + 3 * (q3 - q1), 0.3)) FILTER (WHERE rule = 'repeat_ratio') AS most_repeat,
-        max(greatest(q3 + 3 * (q3 - q1), 8)) FILTER (WHERE rule = 'word_length') AS most_word,
-        max(q1 - 3 * (q3 - q1)) FILTER (WHERE rule = 'word_length') AS least_word
-    FROM picked GROUP BY lang, source
+    SELECT lang, source, max(above) FILTER (WHERE rule = 'symbol_ratio') AS most_symbol,
+        max(above) FILTER (WHERE rule = 'dup_line_ratio') AS most_dup, max(above) FILTER (WHERE rule = 'repeat_ratio') AS most_repeat,
+        max(above) FILTER (WHERE rule = 'word_length') AS most_word, max(below) FILTER (WHERE rule = 'word_length') AS least_word
+    FROM fenced GROUP BY lang, source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
@@ -121,7 +125,7 @@ WITH docs AS (
     SELECT doc_id, lang, source, CASE right(source, 1) WHEN '0' THEN 'web' WHEN '1' THEN 'web' WHEN '2' THEN 'web'
             WHEN '3' THEN 'books' WHEN '4' THEN 'books' WHEN '5' THEN 'books' WHEN '6' THEN 'talk' WHEN '7' THEN 'talk'
             ELSE CASE WHEN source IS NOT NULL THEN 'code' END END AS domain,
-        CASE WHEN coalesce(text, '') = '' THEN 0 ELSE length(text) - length(replace(text, ' ', '')) + 1 END AS tokens
+        len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS tokens
     FROM documents
 ), leaves AS (
     SELECT domain, lang, source, sum(tokens) AS tokens, 2 * sum(tokens) AS capacity FROM docs GROUP BY ALL

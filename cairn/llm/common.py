@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,16 +35,16 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def small_batches(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose ``column`` holds about ``limit`` bytes at most, one row at least.
+def small_batches(batch: pa.RecordBatch, columns: str | Sequence[str], limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose text ``columns`` hold about ``limit`` bytes at most, one row at least.
 
     What a task keeps beside its Arrow batch is then bounded by the longest
     text instead of by 10,000 rows of any length.
     """
-    texts = batch.column(column)
-    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
+    names = [columns] if isinstance(columns, str) else columns
+    sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in names)
     begin, held = 0, 0
-    for at, size in enumerate(sizes):
+    for at, size in enumerate(sizes.tolist()):
         if held and held + size > limit:
             yield batch.slice(begin, at - begin)
             begin, held = at, 0
@@ -52,6 +53,17 @@ def small_batches(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES)
         yield batch.slice(begin)
 
 
+#: Rows of an Arrow batch where rows are whole texts.
+TEXT_ROWS = 1_000
+
+
+def short_batches(spark) -> None:
+    """Let Python workers get batches of ``TEXT_ROWS`` rows at most, for plans that run from now on."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 def numbered(df: DataFrame, group: Sequence[str], name: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Number the rows of each group from 0 without gaps, in no promised order.
 

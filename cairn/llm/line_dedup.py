@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -230,27 +231,29 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     lines has an empty text. A column ``n_chars``, if there is one, follows the
     new text. All other columns are passed through.
     """
-    gone, new = free_name(docs, "_gone"), free_name(docs, "_text")
-
-    def strip(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, lost in batches:
-            yield pd.Series([
-                t if g is None or t is None else b"\n".join(_split(t, g, min_chars)[1]).decode("utf-8", "replace")
-                for t, g in zip(texts, lost)
-            ], dtype=object)
-
-    cut = F.pandas_udf(strip, "string", F.PandasUDFType.SCALAR_ITER)
-    rows = _with_gone(docs, gone, min_docs, min_chars).withColumn(new, cut("text", gone))
-
-    def column(name: str) -> Column:
-        if name == "text":
-            return F.col(new).alias(name)
-        if name == "n_chars":
-            length = F.length(new).cast(docs.schema[name].dataType)
-            return F.when(F.col(gone).isNull(), F.col(name)).otherwise(length).alias(name)
-        return F.col(name)
-
-    return rows.select(*[column(c) for c in docs.columns])
+    gone = free_name(docs, "_gone")
+    rows = _with_gone(docs, gone, min_docs, min_chars)
+    kinds = docs.schema
+    counts = [f.name for f in kinds if f.name == "n_chars"]
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in small_batches(whole, "text"):
+                texts, sizes = [], []
+                lost = batch.column(gone).to_pylist()
+                for text, own in zip(batch.column("text").to_pylist(), lost):
+                    if own is not None and text is not None:
+                        text = b"\n".join(_split(text, own, min_chars)[1]).decode("utf-8", "replace")
+                    texts.append(text)
+                    sizes.append(None if text is None else len(text))
+                new = {"text": pa.array(texts, pa.string())}
+                for name in counts:
+                    old = batch.column(name)
+                    changed = pa.array([x is not None for x in lost])
+                    new[name] = pc.if_else(changed, pa.array(sizes, pa.int64()).cast(old.type), old)
+                yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in kinds.names], kinds.names)
+
+    return rows.select(*docs.columns, gone).mapInArrow(strip, kinds)
 
 
 def line_report(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:

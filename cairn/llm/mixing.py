@@ -29,11 +29,9 @@ BUCKET_ROWS = 10_000
 LEVELS = ("domain", "lang", "source")
 
 
-def blanks(name: str = "text") -> Column:
-    """Tokens of a text as the mix counts them: blanks plus one, none without text."""
-    text = text_or_empty(name)
-    spaces = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
-    return F.when(text == "", F.lit(0)).otherwise(spaces + 1).cast("bigint")
+def words(name: str = "text") -> Column:
+    """Tokens of a text as the mix counts them: runs of other than ASCII blanks."""
+    return F.regexp_count(text_or_empty(name), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
 
 
 def order_key(epoch: Column, doc: Column, seed: int = SEED) -> Column:
@@ -161,22 +159,22 @@ def taken(docs: DataFrame, ends: DataFrame, levels: Sequence[str], tokens: Colum
     """
     epoch, kept = free_name(docs, "epoch"), free_name(docs, "tokens_taken")
     columns = docs.columns
-    marked = ends.select(*[F.col(c).alias(f"_leaf_{c}") for c in levels],
-                         *[F.col(c).alias(f"_leaf_{c}") for c in ("whole", "cut_key", "cut_left")])
+    # Names of its own, whatever the documents' columns are called.
+    own = {c: free_name(docs, f"_leaf_{n}") for n, c in enumerate([*levels, "whole", "cut_key", "cut_left", "key", "times", "epoch"])}
+    marked = ends.select(*[F.col(c).alias(own[c]) for c in [*levels, "whole", "cut_key", "cut_left"]])
     same = F.lit(True)
     for c in levels:
-        same = same & F.col(c).eqNullSafe(F.col(f"_leaf_{c}"))
-    key = order_key(F.col("_leaf_whole"), F.col("doc_id"), seed)
-    rows = docs.join(marked, same).withColumn("_key", F.when(F.col("_leaf_cut_key").isNotNull(), key))
-    more = F.coalesce(F.col("_key") <= F.col("_leaf_cut_key"), F.lit(False))
-    times = F.col("_leaf_whole") + more.cast("bigint")
-    rows = rows.withColumn("_times", times).filter("_times > 0")
-    rows = rows.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_times") - 1)))
+        same = same & F.col(c).eqNullSafe(F.col(own[c]))
+    whole, cut_key, cut_left, at, times, turn = (F.col(own[c]) for c in ("whole", "cut_key", "cut_left", "key", "times", "epoch"))
+    key = order_key(whole, F.col("doc_id"), seed)
+    rows = docs.join(marked, same).withColumn(own["key"], F.when(cut_key.isNotNull(), key))
+    more = F.coalesce(at <= cut_key, F.lit(False))
+    rows = rows.withColumn(own["times"], whole + more.cast("bigint")).filter(times > 0)
+    rows = rows.withColumn(own["epoch"], F.explode(F.sequence(F.lit(0).cast("bigint"), times - 1)))
     size = F.col(tokens) if isinstance(tokens, str) else tokens
-    at_cut = (F.col("_epoch") == F.col("_leaf_whole")) & (F.col("_key") == F.col("_leaf_cut_key"))
+    at_cut = (turn == whole) & (at == cut_key)
     return rows.select(
-        *columns, F.col("_epoch").alias(epoch),
-        F.when(at_cut, F.least(size, F.col("_leaf_cut_left"))).otherwise(size).alias(kept),
+        *columns, turn.alias(epoch), F.when(at_cut, F.least(size, cut_left)).otherwise(size).alias(kept),
     )
 
 
@@ -207,7 +205,7 @@ def mixed(docs: DataFrame, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, *
 
     Null languages and sources are leaves of their own. A null or empty text has no tokens.
     """
-    rows = docs.select("doc_id", domain_of().alias("domain"), "lang", "source", blanks().alias("tokens"))
+    rows = docs.select("doc_id", domain_of().alias("domain"), "lang", "source", words().alias("tokens"))
     rows = durable(rows, "mix-rows")
     ends = durable(shares(rows, LEVELS, weights, share=share, epochs=epochs, seed=seed), "mix-ends")
     return taken(rows, ends, LEVELS, seed=seed)
@@ -220,7 +218,7 @@ def keep_mixed(docs: DataFrame, weights: Mapping[str, Mapping[str, int]] = WEIGH
     whether those rows are broadcast is the planner's choice by their size.
     """
     domain = free_name(docs, "_domain")
-    rows = docs.select("doc_id", domain_of().alias("domain"), "lang", "source", blanks().alias("tokens"))
+    rows = docs.select("doc_id", domain_of().alias("domain"), "lang", "source", words().alias("tokens"))
     rows = durable(rows, "mix-rows")
     ends = durable(shares(rows, LEVELS, weights, share=share, epochs=1, seed=seed), "mix-ends")
     ends = ends.withColumnRenamed("domain", domain)

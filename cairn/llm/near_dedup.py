@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.llm import darts
-from cairn.llm.common import free_name, small_batches
+from cairn.llm.common import free_name, likely, small_batches
 from cairn.session import durable
 
 SIMILARITY = 0.8
@@ -87,7 +87,7 @@ def similarities(pairs: DataFrame, texts: DataFrame, width: int = darts.WORDS) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = darts.Powers()
         for whole in batches:
-            for batch in small_batches(whole, "ta", BATCH_BYTES):
+            for batch in small_batches(whole, ("ta", "tb"), BATCH_BYTES):
                 n = batch.num_rows
                 both = pa.concat_arrays([batch.column("ta"), batch.column("tb")])
                 elements, doc = darts.shingles(both, powers, width)
@@ -187,9 +187,10 @@ def texts_of(wanted: DataFrame, docs: DataFrame, repeated: DataFrame) -> DataFra
 
     A document's one row is found by its id. Ids that documents share
     (``repeated``, a stored table) are told apart by their text: equal rows are
-    put together before they are shuffled, the others hashed once more.
+    put together before they are shuffled, the others hashed once more. A filter
+    of fixed size holds back texts that are not wanted.
     """
-    rows = docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
+    rows = likely(docs.filter(F.col("text").isNotNull()).select("doc_id", "text"), "doc_id", wanted.select("doc"))
     if repeated.isEmpty():
         return rows.join(wanted.select("rep", F.col("doc").alias("doc_id")), "doc_id").select("rep", "text")
     several = repeated.select("doc_id")

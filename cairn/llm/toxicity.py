@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import free_name, small_batches
+from cairn.llm.common import small_batches
 from cairn.session import durable
 
 #: At most so many labelled texts are learned from, those of lowest hashed doc_id.
@@ -37,7 +37,7 @@ PRIOR, LEAST_Z, TERMS = 0.05, 5.0, 20_000
 PARTS = range(3, 8)
 EXPECTED = 0.05
 #: Words a worker remembers the score of.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 50_000
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—¿¡"
 
 
@@ -145,7 +145,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in small_batches(whole, "text")):
             both = (Counter(), Counter())
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
                 both[label].update(set(map(token, set(text.split()))))
@@ -286,13 +286,12 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
     """The documents that score under ``threshold``, as they were. A null text scores as an empty one."""
-    name = free_name(docs, "_score")
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
-        for texts in batches:
-            found = [evidence(model.passages((t or "").split(), cache)) for t in texts]
-            yield pd.Series(model.probability(np.array(found, float)))
+        for whole in batches:
+            for batch in small_batches(whole, "text"):
+                found = [evidence(model.passages((t or "").split(), cache)) for t in batch.column("text").to_pylist()]
+                yield batch.filter(pa.array(model.probability(np.array(found, float)) < threshold))
 
-    score = F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)
-    return docs.withColumn(name, score("text")).filter(F.col(name) < threshold).drop(name)
+    return docs.mapInArrow(run, docs.schema)

@@ -20,7 +20,7 @@ ODD = [
     (12, "Ünïcödé wörter ünd 日本語 und mehr davon", "de", "src6", 40),
     (13, "a a a a a a a a a a a a a a a a a a a a a a a a a", "en", "src0", 49),
 ]
-CLASHES = ["_gone", "_text", "words", "gone", "epoch", "_doc", "shard", "bands", "score", "_Score", "_count", "tokens", "rep"]
+CLASHES = ["_gone", "_text", "words", "gone", "epoch", "_doc", "shard", "bands", "score", "_Score", "_count", "tokens", "rep", "_key", "_times", "_epoch", "_leaf_lang", "_leaf_0", "_leaf_8"]
 
 
 @pytest.fixture(scope="session")

@@ -1,3 +1,4 @@
+import re
 import hashlib
 from collections import defaultdict
 from fractions import Fraction
@@ -61,8 +62,8 @@ def place(epoch, doc):
 def check(df, share, epochs, small=False):
     rows = [r.asDict() for r in df.select("doc_id", "text", mixing.domain_of().alias("domain"), "lang", "source").collect()]
     for r in rows:
-        r["tokens"] = (r["text"].count(" ") + 1) if r["text"] else 0
-    stored = df.select("doc_id", mixing.domain_of().alias("domain"), "lang", "source", mixing.blanks().alias("tokens"))
+        r["tokens"] = len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+    stored = df.select("doc_id", mixing.domain_of().alias("domain"), "lang", "source", mixing.words().alias("tokens"))
     ends = mixing.shares(stored, mixing.LEVELS, mixing.WEIGHTS, share=share, epochs=epochs, bucket_rows=2 if small else 10_000)
     got = defaultdict(int)
     for r in mixing.taken(stored, ends, mixing.LEVELS).collect():

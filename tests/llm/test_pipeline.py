@@ -45,3 +45,15 @@ def test_odd_documents_pass_all_stages(spark, odd, clashing, none):
             out = stage(spark, now, HERE)
             now = spark.createDataFrame(out.collect(), out.schema)
         assert now.count() >= (0 if df is none else 8)
+
+
+def test_toxic_documents_go(spark):
+    """With the labels of 0.01 most labelled toxic documents go and hardly a clean one."""
+    folder = HERE.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    kept = {r["doc_id"] for r in corpus_pipeline.toxic_out(spark, docs, folder).select("doc_id").collect()}
+    toxic, clean = ([d for d, label in labels.items() if label == k] for k in (1, 0))
+    print("gone", sum(d not in kept for d in toxic) / len(toxic), "stay", sum(d in kept for d in clean) / len(clean))
+    assert sum(d not in kept for d in toxic) >= 0.8 * len(toxic) > 0
+    assert sum(d in kept for d in clean) >= 0.98 * len(clean)
