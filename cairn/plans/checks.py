@@ -782,6 +782,14 @@ _check("stream_weekly_activity", """
 SELECT user_id, CAST(date_trunc('week', date) AS DATE) AS week, CAST(sum(tasks_completed) AS BIGINT) AS tasks_completed,
        CAST(sum(focus_minutes) AS BIGINT) AS focus_minutes
 FROM fx_daily GROUP BY user_id, CAST(date_trunc('week', date) AS DATE)""")
+_check("stream_daily_windows", "SELECT * FROM fx_daily")
+_check("stream_weekly_windows", """
+SELECT user_id, CAST(date_trunc('week', date) AS DATE) AS week, CAST(sum(tasks_completed) AS BIGINT) AS tasks_completed,
+       CAST(sum(focus_minutes) AS BIGINT) AS focus_minutes
+FROM fx_daily GROUP BY user_id, CAST(date_trunc('week', date) AS DATE)""")
+_check("sessions_on_days", """
+SELECT user_id, id, task_id, duration_minutes, completed_at FROM fx_sessions
+WHERE CAST(completed_at AS DATE) IN (SELECT date FROM fx_daily WHERE tasks_completed >= 3 AND day(date) % 7 = 1)""")
 _check("stream_latest_profile", "SELECT * FROM fx_blended")
 _check("stream_dedup", "SELECT event_id, user_id, event_type FROM events")
 _check("stream_sessions", "SELECT * FROM fx_timer_sessions")

@@ -481,6 +481,16 @@ def daily_activity(d: StandIns) -> DataFrame:
     return d.daily
 
 
+@query
+def sessions_on_days(d: StandIns) -> DataFrame:
+    """Stored focus records of the days with most completions, read by their partitions alone."""
+    path = new_folder(d.spark, "sessions-by-day")
+    tables.append(d.sessions, path, "focus_sessions", 1)
+    days = d.daily.filter((F.col("tasks_completed") >= 3) & (F.dayofmonth("date") % 7 == 1)).select("date")
+    stored = tables.read_table(d.spark, path, "focus_sessions")
+    return tables.on_asked_days(stored, "completed_at", days).select("user_id", "id", "task_id", "duration_minutes", "completed_at")
+
+
 @query
 def week_totals(d: StandIns) -> DataFrame:
     """This week's sums."""
@@ -964,6 +974,22 @@ def stream_weekly_activity(d: StandIns) -> DataFrame:
     return sink.read_sums(d.spark, path, schema, ["user_id", "week"])
 
 
+@query
+def stream_daily_windows(d: StandIns) -> DataFrame:
+    """Daily counters by event-time windows under a watermark."""
+    path = sink.run_available(stream_activity.stream_windows(_activity_stream(d))[0], "daily-windows")
+    schema = "user_id bigint, date date, tasks_completed bigint, focus_minutes bigint"
+    return sink.read_current(d.spark, path, schema, ["user_id", "date"])
+
+
+@query
+def stream_weekly_windows(d: StandIns) -> DataFrame:
+    """Weekly counters by event-time windows under a watermark."""
+    path = sink.run_available(stream_activity.stream_windows(_activity_stream(d))[1], "weekly-windows")
+    schema = "user_id bigint, week date, tasks_completed bigint, focus_minutes bigint"
+    return sink.read_current(d.spark, path, schema, ["user_id", "week"])
+
+
 @query
 def stream_latest_profile(d: StandIns) -> DataFrame:
     """Profiles by stream over the stored results."""

@@ -63,6 +63,24 @@ def on_days(table: DataFrame, time: str, first: str, last: str) -> DataFrame:
     return table.filter(F.col(DAY).between(F.trunc(low, "month"), high) & exact) if DAY in table.columns else table.filter(exact)
 
 
+def on_asked_days(table: DataFrame, time: str, days: DataFrame) -> DataFrame:
+    """Rows whose ``time`` falls on one of the asked days, a DataFrame with a column ``date``.
+
+    Only the partitions of these days, or of their months, are read: the
+    planner prunes them by what the days turn out to be. A list of up to
+    ``MOST_DAYS`` days is sent to the readers; a longer one is joined. Null
+    times and null days match nothing.
+    """
+    asked = durable(days.filter(F.col("date").isNotNull()).select(F.col("date").alias("_asked")).distinct(), "asked-days")
+    few = asked.count() <= MOST_DAYS
+    if DAY in table.columns:
+        # Partitions are named by their day or by the first of their month. The bound says that days select.
+        part = F.explode(F.array_distinct(F.array("_asked", F.trunc("_asked", "month").cast("date"))))
+        parts = asked.select(part.alias("_part")).distinct().filter(F.col("_part") > F.lit("0001-01-01").cast("date"))
+        table = table.join(F.broadcast(parts) if few else parts, F.col(DAY) == F.col("_part"), "left_semi")
+    return table.join(F.broadcast(asked) if few else asked, F.to_date(time) == F.col("_asked"), "left_semi")
+
+
 def append(
     batch: DataFrame, path: str, table: str, batch_id: int, order: list[str] | None = None
 ) -> DataFrame:

@@ -61,6 +61,27 @@ def stream_weekly_activity(events: DataFrame) -> DataFrame:
     return _counted(events, "week", F.to_date(F.date_trunc("week", F.col("ts"))))
 
 
+def stream_windows(events: DataFrame, late: str = LATE) -> tuple[DataFrame, DataFrame]:
+    """Daily and weekly counters by event time, each as a stream to be written in update mode.
+
+    A window is a state row until the watermark passes its end, so state is
+    bounded by the users of the days (or weeks, from Monday) that are open;
+    events later than that are left to :func:`stream_daily_activity`, whose sums
+    need no state. A changed window is sent again as a whole: keep the newest.
+    """
+    counted = _counted(on_event_time(events, late).withColumn("ts", F.col("event_time")), "date", F.col("ts"))
+    sums = [F.sum(c).alias(c) for c in COUNTERS]
+
+    def by(width: str, name: str, start: str | None = None) -> DataFrame:
+        window = F.window("date", width, startTime=start)
+        rows = counted.groupBy("user_id", window.alias("w")).agg(*sums)
+        # In the session's zone or not, the window begins at midnight UTC.
+        begin = F.date_add(F.lit("1970-01-01").cast("date"), F.expr("int(unix_seconds(w.start) div 86400)"))
+        return rows.select("user_id", begin.alias(name), *COUNTERS)
+
+    return by("1 day", "date"), by("7 days", "week", "4 days")
+
+
 def stream_dedup(events: DataFrame, late: str = LATE, salts: int = 8) -> DataFrame:
     """Each ``event_id`` once, as long as copies arrive within the watermark.
 

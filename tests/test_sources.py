@@ -206,3 +206,22 @@ def test_journal_is_judged_stripped(spark):
     counts = rows(validate.check(frame, validate.journal_rules()).select("id", F.size("reasons").alias("n")))
     assert counts == [(1, 0), (2, 5), (3, 1), (4, 1)]
     assert validate.strip_journal(frame).filter("id = 1").first().values_focus == full[0]
+
+
+def test_reads_by_asked_days_prune_partitions(spark, tmp_path):
+    """The plan prunes by what the days turn out to be; by days and by months, nulls match nothing."""
+    from cairn.sources import tables
+    from tests.helpers import SESSIONS, at, day
+
+    rows = [(1, i, None, 5, at(f"2024-0{1 + i % 3}-{1 + i % 28:02d}", "10:00:00")) for i in range(84)]
+    sessions = spark.createDataFrame(rows, SESSIONS)
+    path = str(tmp_path / "sessions")
+    tables.append(sessions, path, "focus_sessions", 1)
+    days = spark.createDataFrame([(day("2024-01-01"),), (day("2024-02-02"),), (day("2031-01-01"),), (None,)], "date date")
+    stored = tables.read_table(spark, path, "focus_sessions")
+    found = tables.on_asked_days(stored, "completed_at", days)
+    want = sorted(r[1] for r in rows if r[4].date() in (day("2024-01-01"), day("2024-02-02")))
+    assert sorted(r["id"] for r in found.collect()) == want and want
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString().lower()
+    months = stored.drop("day").withColumn("day", F.trunc("completed_at", "month").cast("date"))
+    assert sorted(r["id"] for r in tables.on_asked_days(months, "completed_at", days).collect()) == want

@@ -155,3 +155,22 @@ def test_state_is_one_row_per_user(spark, stand):
     )
     current = sink.read_current(spark, path, schema, ["user_id"])
     assert same(current, profiles.profile_blended(stand.latest))
+
+
+def test_windows_forget_and_sums_do_not(spark, stand):
+    """Days in order are all counted; a day that comes after the watermark is left to the sums."""
+    source, keys = tempfile.mkdtemp(prefix="cairn-test-"), ["user_id", "date"]
+    events = stand.activity.filter("kind <> 'focus' or duration_minutes between 1 and 120")
+    for days in ((1, 10), (11, 20), (21, 31), (0, 0)):
+        own = events.filter(F.dayofmonth("ts").between(*days)) if days[0] else events.filter(F.dayofmonth("ts") == 2)
+        own.coalesce(1).write.mode("append").parquet(source)
+        time.sleep(1.1)  # files are read in the order of their times
+    stream = lambda: activity.read_events(spark, source, events.schema, files_per_batch=1)
+    daily, _ = activity.stream_windows(stream())
+    windows = sink.read_current(spark, sink.run_available(daily, "windows"), DAILY_SCHEMA, keys)
+    assert same(windows, stand.daily)  # day 2 came a second time, too late
+    sums = sink.read_sums(
+        spark, sink.run_sums(activity.stream_daily_activity(stream()), "sums", keys, activity.COUNTERS), DAILY_SCHEMA, keys)
+    again = stand.daily.filter(F.dayofmonth("date") == 2)
+    assert same(sums, stand.daily.unionByName(again).groupBy(*keys).agg(
+        F.sum("tasks_completed").alias("tasks_completed"), F.sum("focus_minutes").alias("focus_minutes")))
