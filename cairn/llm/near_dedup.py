@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.llm import darts
-from cairn.llm.common import free_name, likely, small_batches
+from cairn.llm.common import free_name, likely, short_batches, small_batches
 from cairn.session import durable
 
 SIMILARITY = 0.8
@@ -277,6 +277,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     words have one shingle. Rows that share a doc_id are one document and
     share a class.
     """
+    short_batches(docs.sparkSession)
     rows = durable(sketch(docs), "sketch")
     texts = rows.groupBy("t0", "t1").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"))
     # The numbers are fixed by being written.

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.llm import darts
-from cairn.llm.common import likely, small_batches
+from cairn.llm.common import likely, short_batches, small_batches
 from cairn.llm.near_dedup import components
 from cairn.operators import ordered
 from cairn.session import discard, durable
@@ -371,6 +371,7 @@ def linked_documents(
     linked with nothing. A row without doc_id takes no part; its component_id is
     null. Rows of one doc_id are documents of their own.
     """
+    short_batches(docs.sparkSession)
     rows = durable(set_rows(docs, common_shingles(docs, least=common, width=width), share, width), "sets")
     good = rows.filter("n > 0 and doc_id is not null")
     reps = good.groupBy("n", "s0", "s1").agg(F.min("doc_id").alias("doc"), F.first(F.struct("first", "low", "bits")).alias("x"))
