@@ -538,6 +538,10 @@ _check("advice_lookup", """
 SELECT id, type, domain, domain_score, band, concat('advice on ', domain, ': ', band) AS text FROM fx_banded""")
 _check("advice_lookup_range", """
 SELECT id, type, domain, domain_score, round(pct, 6) AS pct, band FROM fx_banded""")
+_check("records_in_windows", """
+SELECT s.user_id, s.id, s.completed_at, t.event_id AS start_event_id
+FROM fx_sessions s LEFT JOIN fx_timer t ON t.kind = 'start'
+     AND epoch_us(s.completed_at) > t.us AND epoch_us(s.completed_at) <= t.us + CAST(t.planned_minutes AS BIGINT) * 1000000""")
 _check("latest_three_types", """
 SELECT user_id, bdefs_id, bdefs_score, bdefs_taken_at, stroop_id, stroop_score, stroop_taken_at,
        bisbas_id, bisbas_score, bisbas_taken_at FROM fx_latest""")
@@ -570,6 +574,15 @@ SELECT user_id, round(CASE WHEN today_tasks + pending_tasks + active_tasks > 0
                       THEN today_tasks / (today_tasks + pending_tasks + active_tasks) * 100 ELSE 0.0 END, 6) AS progress_pct
 FROM fx_status""")
 _check("score_questionnaire", """
+SELECT id, user_id, type, taken_at, CAST(sum(part) AS INTEGER) AS score, CASE type WHEN 'bdefs' THEN 60 ELSE 80 END AS max_score,
+       '{' || string_agg('"' || domain || '":' || part, ',' ORDER BY place) || '}' AS domain_scores
+FROM (SELECT assessment_id AS id, user_id, type, taken_at, domain, place, CAST(sum(response) AS BIGINT) AS part
+      FROM (SELECT assessment_id, user_id, type, taken_at, response,
+                   CASE WHEN assessment_id % 10 = 0 AND item_no = 0 THEN 'Zest' ELSE domain END AS domain,
+                   CASE WHEN assessment_id % 10 = 0 AND item_no = 0 THEN 9 ELSE domain_no END AS place FROM fx_answers) a
+      GROUP BY ALL) s
+GROUP BY id, user_id, type, taken_at""")
+_check("score_answer_map", """
 SELECT id, user_id, type, taken_at, score, max_score, domain_scores FROM fx_questionnaires""")
 _check("max_scores", """
 SELECT type, domain, items, items AS floor_score, items * 4 AS max_score, items * 3 AS score_range

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from cairn.catalogue import BANDS, BDEFS, BISBAS, DOMAINS, STROOP, domain_max
 from cairn.functions import bands
-from cairn.functions.columns import score_of
+from cairn.functions.columns import micros, score_of
 from cairn.operators import (
-    activity, history, messages, profiles, scoring, sessions, state, tasks, trends, validate,
+    activity, history, intervals, messages, profiles, scoring, sessions, state, tasks, trends, validate,
 )
 from cairn.plans.stand_ins import (
     AS_OF, StandIns, valid_activity, with_activity_columns, with_timer_columns,
@@ -451,6 +451,19 @@ def advice_lookup_range(d: StandIns) -> DataFrame:
     return found.select("id", "type", "domain", "domain_score", F.round("pct", 6).alias("pct"), "band")
 
 
+@query
+def records_in_windows(d: StandIns) -> DataFrame:
+    """Focus records beside every timer start, of whoever, that came as many seconds before as it planned minutes."""
+    begin = micros(F.col("ts"))
+    starts = d.timer_events.filter(F.col("kind") == "start").select(
+        F.col("event_id").alias("start_event_id"),
+        begin.alias("lo"), (begin + F.col("planned_minutes").cast("bigint") * 1_000_000).alias("hi"),
+    )
+    records = d.sessions.withColumn("at", micros(F.col("completed_at")))
+    found = intervals.interval_join(records, starts, "at", "lo", "hi")
+    return found.select("user_id", "id", "completed_at", F.col("range.start_event_id").alias("start_event_id"))
+
+
 @query
 def latest_three_types(d: StandIns) -> DataFrame:
     """Newest result of each type in one row."""
@@ -532,8 +545,23 @@ def progress_pct(d: StandIns) -> DataFrame:
 
 @query
 def score_questionnaire(d: StandIns) -> DataFrame:
-    """Scored questionnaires."""
-    return d.questionnaires.withColumn("domain_scores", F.to_json("domain_scores"))
+    """Scored questionnaires; the first items of every tenth one name a domain that no catalogue has."""
+    strange = (F.col("assessment_id") % 10 == 0) & (F.col("item_no") == 0)
+    answers = d.answers.withColumn("domain", F.when(strange, "Zest").otherwise(F.col("domain")))
+    return scoring.score_questionnaire(answers).withColumn("domain_scores", F.to_json("domain_scores"))
+
+
+@query
+def score_answer_map(d: StandIns) -> DataFrame:
+    """Questionnaires scored from one map of answers per result."""
+    per = d.answers.groupBy(
+        F.col("assessment_id").alias("id"), "user_id", "type", "taken_at", "domain_no", "domain"
+    ).agg(F.collect_list("response").alias("items"))
+    entry = F.struct("domain_no", "domain", "items")
+    maps = per.groupBy("id", "user_id", "type", "taken_at").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    answers = F.map_from_entries(F.transform("entries", lambda e: F.struct(e["domain"], e["items"])))
+    scored = scoring.score_answer_map(maps.withColumn("answers", answers))
+    return scored.withColumn("domain_scores", F.to_json("domain_scores"))
 
 
 @query
