@@ -806,6 +806,7 @@ WHERE CAST(completed_at AS DATE) IN (SELECT date FROM fx_daily WHERE tasks_compl
 _check("stream_latest_profile", "SELECT * FROM fx_blended")
 _check("stream_dedup", "SELECT event_id, user_id, event_type FROM events")
 _check("stream_sessions", "SELECT * FROM fx_timer_sessions")
+_check("stream_sessions_settled", "SELECT * FROM fx_timer_sessions")
 _check("reconstruct_sessions", "SELECT * FROM fx_timer_sessions")
 _check("auto_cycle_chains", """
 SELECT user_id, chain, min(started_at) AS started_at, max(ended_at) AS ended_at, count(*) AS sessions,

@@ -1050,6 +1050,19 @@ def stream_sessions(d: StandIns) -> DataFrame:
     return stream_timers.whole_sessions(d.spark, path)
 
 
+@query
+def stream_sessions_settled(d: StandIns) -> DataFrame:
+    """Sessions by a stream that meets every other event when the rest is over, put in afterwards."""
+    log, stored = d.timer_events, new_folder(d.spark, "timer-log")
+    path, progress = new_folder(d.spark, "sessions"), new_folder(d.spark, "sessions-progress")
+    for half in (1, 0):
+        log.filter(F.col("event_id") % 2 == half).write.mode("append").parquet(stored)
+        stream = stream_activity.read_events(d.spark, stored, log.schema)
+        stream_timers.stream_sessions(stream, path, progress).awaitTermination()
+    stream_timers.settle_late(log, path)
+    return stream_timers.whole_sessions(d.spark, path)
+
+
 @query
 def reconstruct_sessions(d: StandIns) -> DataFrame:
     """Sessions from the whole timer log."""

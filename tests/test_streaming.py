@@ -133,6 +133,41 @@ def test_late_timer_events_are_kept_aside(spark, stand):
     assert same(timers.read_late(spark, path).select("event_id"), old.select("event_id"))
 
 
+def test_late_timer_events_are_put_in(spark, stand, monkeypatch):
+    """Days in any order, a correction that breaks off, one between two runs: always the sessions of the batch."""
+    source = tempfile.mkdtemp(prefix="cairn-test-")
+    events = stand.timer_events
+    path, progress = new_folder(spark, "sessions"), new_folder(spark, "progress")
+    seen = events.limit(0)
+
+    def day(number):
+        own = events.filter(F.dayofmonth("ts") == number)
+        own.coalesce(1).write.mode("append").parquet(source)
+        stream = activity.read_events(spark, source, events.schema, files_per_batch=1)
+        timers.stream_sessions(stream, path, progress, dt.timedelta(hours=1)).awaitTermination()
+        return seen.unionByName(own)
+
+    for number in (12, 3):
+        seen = day(number)
+    assert not timers.read_late(spark, path).isEmpty()
+    before = timers.read_sessions(spark, path).collect()
+    real = timers.sessions.sessions_of
+    monkeypatch.setattr(timers.sessions, "sessions_of", lambda closed: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        timers.settle_late(seen, path)
+    monkeypatch.setattr(timers.sessions, "sessions_of", real)
+    assert sorted(map(str, timers.read_sessions(spark, path).collect())) == sorted(map(str, before))
+    timers.settle_late(seen, path)
+    assert timers.read_late(spark, path).isEmpty()
+    assert same(timers.whole_sessions(spark, path), sessions.reconstruct_sessions(seen))
+    timers.settle_late(seen, path)  # nothing left to do
+    for number in (20, 11):
+        seen = day(number)
+    assert not timers.read_late(spark, path).isEmpty()
+    timers.settle_late(seen, path)
+    assert same(timers.whole_sessions(spark, path), sessions.reconstruct_sessions(seen))
+
+
 def test_nothing_is_left_behind_a_run(spark, stand):
     shared = pathlib.Path(shared_folder(spark).removeprefix("file:"))
     before = set(shared.iterdir())
