@@ -336,35 +336,68 @@ def session_gap(sessions: DataFrame, **sizes: int) -> DataFrame:
     return known.withColumn("gap_minutes", apart / (60 * MICROS_PER_SECOND))
 
 
-def auto_cycle_chains(sessions: DataFrame, gap_seconds: float = 1.0, **sizes: int) -> DataFrame:
-    """Chains in which a completed session hands over to one of the other kind.
+_FIRST = ["started_at", "start_event_id"]
 
-    ``sessions`` come from :func:`reconstruct_sessions`. The next one belongs to
-    the chain when it starts within ``gap_seconds`` of the end of a completed
-    session and focus and break alternate.
+
+def chain_pieces(sessions: DataFrame) -> DataFrame:
+    """Every session as a chain of its own, to be joined by :func:`joined_chains`."""
+    focus = ~F.col("is_break")
+    return sessions.select(
+        "user_id", *_FIRST, "ended_at",
+        F.col("is_break").alias("first_break"), F.col("is_break").alias("last_break"), F.col("completed").alias("last_completed"),
+        F.lit(1).cast("bigint").alias("sessions"),
+        F.coalesce(focus & F.col("completed"), F.lit(False)).cast("bigint").alias("focus_blocks"),
+        F.col("logged_minutes").cast("bigint").alias("focus_minutes"),
+        F.when(focus & F.col("task_id").isNotNull(), F.struct(*_FIRST, "task_id")).alias("task"),
+    )
+
+
+def joined_chains(pieces: DataFrame, gap_seconds: float = 1.0, **sizes: int) -> DataFrame:
+    """Chains put together from consecutive pieces of them, of any length; ``chain`` numbers a user's from 1.
+
+    Pieces have the columns of :func:`chain_pieces`, and so has the result: what
+    is joined may be joined with later pieces again.
     """
-    order = ["started_at", "start_event_id"]
     seen = ordered.scan(
-        sessions, ["user_id"], order,
-        before=ordered.previous(F.struct("ended_at", "is_break", "completed")), **sizes,
+        pieces, ["user_id"], _FIRST,
+        before=ordered.previous(F.struct("ended_at", "last_break", "last_completed")), **sizes,
     )
     gap = micros(F.col("started_at")) - micros(F.col("before.ended_at"))
     follows = (
-        F.col("before.completed")
-        & (F.col("before.is_break") != F.col("is_break"))
+        F.col("before.last_completed")
+        & (F.col("before.last_break") != F.col("first_break"))
         & (gap <= int(gap_seconds * MICROS_PER_SECOND))
     )
     begins = (~F.coalesce(follows, F.lit(False))).cast("int")
     numbered = ordered.scan(
-        seen.withColumn("_begins", begins), ["user_id"], order,
+        seen.withColumn("_begins", begins), ["user_id"], _FIRST,
         chain=ordered.total(F.col("_begins")), **sizes,
     )
-    focus = ~F.col("is_break")
+    place = F.struct(*_FIRST)
     return numbered.groupBy("user_id", "chain").agg(
         F.min("started_at").alias("started_at"),
+        F.min_by("start_event_id", place).alias("start_event_id"),
         F.max("ended_at").alias("ended_at"),
-        F.count(F.lit(1)).alias("sessions"),
-        F.count_if(focus & F.col("completed")).alias("focus_blocks"),
-        F.sum("logged_minutes").cast("bigint").alias("focus_minutes"),
-        F.min_by("task_id", F.when(focus & F.col("task_id").isNotNull(), F.struct(*order))).alias("task_id"),
+        F.min_by("first_break", place).alias("first_break"),
+        F.max_by("last_break", place).alias("last_break"),
+        F.max_by("last_completed", place).alias("last_completed"),
+        F.sum("sessions").alias("sessions"),
+        F.sum("focus_blocks").alias("focus_blocks"),
+        F.sum("focus_minutes").alias("focus_minutes"),
+        F.min("task").alias("task"),
     )
+
+
+#: What callers see of a chain.
+CHAIN_COLUMNS = ("started_at", "ended_at", "sessions", "focus_blocks", "focus_minutes")
+
+
+def auto_cycle_chains(sessions: DataFrame, gap_seconds: float = 1.0, **sizes: int) -> DataFrame:
+    """Chains in which a completed session hands over to one of the other kind.
+
+    ``sessions`` come from :func:`reconstruct_sessions`. The next one belongs to
+    the chain when it starts within ``gap_seconds`` of the end of a completed
+    session and focus and break alternate.
+    """
+    found = joined_chains(chain_pieces(sessions), gap_seconds, **sizes)
+    return found.select("user_id", "chain", *CHAIN_COLUMNS, F.col("task.task_id").alias("task_id"))

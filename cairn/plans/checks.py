@@ -808,7 +808,7 @@ _check("stream_dedup", "SELECT event_id, user_id, event_type FROM events")
 _check("stream_sessions", "SELECT * FROM fx_timer_sessions")
 _check("stream_sessions_settled", "SELECT * FROM fx_timer_sessions")
 _check("reconstruct_sessions", "SELECT * FROM fx_timer_sessions")
-_check("auto_cycle_chains", """
+_CHAINS = """
 SELECT user_id, chain, min(started_at) AS started_at, max(ended_at) AS ended_at, count(*) AS sessions,
        count(*) FILTER (WHERE NOT is_break AND completed) AS focus_blocks,
        CAST(sum(logged_minutes) AS BIGINT) AS focus_minutes,
@@ -817,4 +817,6 @@ FROM (SELECT *, CAST(sum(CASE WHEN follows THEN 0 ELSE 1 END) OVER (PARTITION BY
       FROM (SELECT *, coalesce(lag(completed) OVER w AND lag(is_break) OVER w <> is_break
                                AND epoch_us(started_at) - epoch_us(lag(ended_at) OVER w) <= 600000000, false) AS follows
             FROM fx_timer_sessions WINDOW w AS (PARTITION BY user_id ORDER BY started_at, start_event_id)) x) y
-GROUP BY user_id, chain""")
+GROUP BY user_id, chain"""
+_check("auto_cycle_chains", _CHAINS)
+_check("stream_chains", _CHAINS.replace("SELECT user_id, chain,", "SELECT user_id, min(start_event_id) AS start_event_id,"))

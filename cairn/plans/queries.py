@@ -20,6 +20,7 @@ from cairn.plans.stand_ins import (
 from cairn.session import durable, new_folder
 from cairn.sources import codec, corpus, tables
 from cairn.streaming import activity as stream_activity
+from cairn.streaming import chains as stream_chain_folds
 from cairn.streaming import profiles as stream_profiles
 from cairn.streaming import sink
 from cairn.streaming import timers as stream_timers
@@ -1063,6 +1064,15 @@ def stream_sessions_settled(d: StandIns) -> DataFrame:
     return stream_timers.whole_sessions(d.spark, path)
 
 
+@query
+def stream_chains(d: StandIns) -> DataFrame:
+    """Chains of alternating sessions by stream, the open ones included once the stream is over."""
+    path, progress = new_folder(d.spark, "chains"), new_folder(d.spark, "chains-progress")
+    events = with_timer_columns(_event_stream(d))
+    stream_chain_folds.stream_chains(events, path, progress, gap_seconds=600).awaitTermination()
+    return stream_chain_folds.whole_chains(d.spark, path, gap_seconds=600)
+
+
 @query
 def reconstruct_sessions(d: StandIns) -> DataFrame:
     """Sessions from the whole timer log."""

@@ -32,7 +32,7 @@ from cairn.session import durable
 COLUMNS = ("user_id", "event_id", "ts", "kind", "planned_minutes", "is_break", "task_id")
 
 
-def _read(reader: DataFrameReader, path: str) -> DataFrame | None:
+def read_part(reader: DataFrameReader, path: str) -> DataFrame | None:
     try:
         return reader.parquet(path)
     except AnalysisException as missing:
@@ -45,14 +45,14 @@ def fold_batch(batch: DataFrame, path: str, number: int, late: dt.timedelta) ->
     """Fold one micro-batch into the folder of its number, from that of the one before."""
     spark = batch.sparkSession
     rows = durable(batch.select(*COLUMNS), "stream-batch")
-    mark = _read(spark.read, f"{path}/marks/batch={number - 1}")
+    mark = read_part(spark.read, f"{path}/marks/batch={number - 1}")
     before = mark.first()["safe"] if mark is not None else None
     newest = rows.agg(F.max("ts")).first()[0]
     known = [t for t in (before, newest - late if newest else None) if t is not None]
     safe = max(known) if known else None
     point = lambda t: F.lit(t).cast("timestamp_ntz")
     overtaken = F.col("ts") < point(before) if before else F.lit(False)
-    held = _read(spark.read, f"{path}/waiting/batch={number - 1}")
+    held = read_part(spark.read, f"{path}/waiting/batch={number - 1}")
     waiting = rows.filter(~overtaken)
     waiting = durable(waiting.unionByName(held.select(*COLUMNS)) if held is not None else waiting, "waiting")
     timers = _timers(spark, path, number - 1)
@@ -85,20 +85,20 @@ def stream_sessions(
     )
 
 
-def _every(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+def every_part(spark: SparkSession, path: str, name: str) -> DataFrame | None:
     """All batches of a table, with the column ``batch``."""
-    return _read(spark.read.option("basePath", f"{path}/{name}"), f"{path}/{name}")
+    return read_part(spark.read.option("basePath", f"{path}/{name}"), f"{path}/{name}")
 
 
 def _fixed(spark: SparkSession, path: str, name: str) -> DataFrame | None:
     """The rows of corrections that came to their end, with the column ``batch``."""
-    whole = _every(spark, path, "fixed-marks")
-    return None if whole is None else _every(spark, path, f"fixed-{name}").join(whole.select("batch"), "batch", "left_semi")
+    whole = every_part(spark, path, "fixed-marks")
+    return None if whole is None else every_part(spark, path, f"fixed-{name}").join(whole.select("batch"), "batch", "left_semi")
 
 
 def _timers(spark: SparkSession, path: str, number: int) -> DataFrame | None:
     """(user_id, timer) set after a batch and the correction that followed it, if any."""
-    timers = _read(spark.read, f"{path}/timers/batch={number}")
+    timers = read_part(spark.read, f"{path}/timers/batch={number}")
     fixed = _fixed(spark, path, "timers")
     if timers is None or fixed is None:
         return timers
@@ -109,7 +109,7 @@ def _timers(spark: SparkSession, path: str, number: int) -> DataFrame | None:
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     """The sessions that have ended by the watermark; of corrected ones the last form."""
-    found = _every(spark, path, "sessions")
+    found = every_part(spark, path, "sessions")
     fixed = _fixed(spark, path, "sessions")
     if fixed is None:
         return found.drop("batch")
@@ -128,14 +128,14 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_late(spark: SparkSession, path: str) -> DataFrame:
     """The events that came too late to be folded and have not been put in since."""
-    late, settled = _every(spark, path, "late"), _every(spark, path, "fixed-marks")
+    late, settled = every_part(spark, path, "late"), every_part(spark, path, "fixed-marks")
     if settled is not None:
         late = late.filter(F.col("batch") > settled.agg(F.max("batch")).first()[0])
     return late.drop("batch")
 
 
-def _last(spark: SparkSession, path: str) -> int:
-    return _every(spark, path, "marks").agg(F.max("batch")).first()[0]
+def last_batch(spark: SparkSession, path: str) -> int:
+    return every_part(spark, path, "marks").agg(F.max("batch")).first()[0]
 
 
 def settle_late(log: DataFrame, path: str) -> None:
@@ -155,8 +155,8 @@ def settle_late(log: DataFrame, path: str) -> None:
     late = durable(read_late(spark, path), "late")
     if late.isEmpty():
         return
-    number = _last(spark, path)
-    safe = _read(spark.read, f"{path}/marks/batch={number}").first()["safe"]
+    number = last_batch(spark, path)
+    safe = read_part(spark.read, f"{path}/marks/batch={number}").first()["safe"]
     place = F.struct("ts", "event_id")
     firsts = late.groupBy("user_id").agg(F.min(place).alias("first"))
     ended = read_sessions(spark, path).select(
@@ -183,11 +183,15 @@ def settle_late(log: DataFrame, path: str) -> None:
     put(spark.range(1), "marks")  # last: the correction is whole
 
 
-def whole_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """All sessions once a stream is over: what has ended, and the events and timers still waiting, folded to their end."""
-    last = _last(spark, path)
-    waiting = _read(spark.read, f"{path}/waiting/batch={last}")
+def tail_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """The sessions still to come once a stream is over: waiting events and timers, folded to their end."""
+    last = last_batch(spark, path)
+    waiting = read_part(spark.read, f"{path}/waiting/batch={last}")
     folds = sessions.fold_log(waiting, _timers(spark, path, last))
-    tail = sessions.closed_in(folds).unionByName(sessions.run_out(sessions.timers_after(folds)))
+    return sessions.sessions_of(sessions.closed_in(folds).unionByName(sessions.run_out(sessions.timers_after(folds))))
+
+
+def whole_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """All sessions once a stream is over: what has ended, and what was still to come."""
     done = read_sessions(spark, path)
-    return done.unionByName(sessions.sessions_of(tail).select(*done.columns))
+    return done.unionByName(tail_sessions(spark, path).select(*done.columns))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cairn.operators import profiles, sessions
 from cairn.plans.queries import QUERIES
 from cairn.session import new_folder, run_folder, shared_folder
-from cairn.streaming import activity, sink, timers
+from cairn.streaming import activity, chains, sink, timers
 from tests.conftest import DATA
 
 
@@ -168,6 +168,57 @@ def test_late_timer_events_are_put_in(spark, stand, monkeypatch):
     assert same(timers.whole_sessions(spark, path), sessions.reconstruct_sessions(seen))
 
 
+def test_chains_by_stream_and_by_batch(spark):
+    """Five micro-batches cut through chains: focus and break by turns, one user in a row, one with idle spells."""
+    source = tempfile.mkdtemp(prefix="cairn-test-")
+    log = [(1, n, 60 * n, n % 2 == 1) for n in range(200)]
+    log += [(2, 1000 + n, 60 * n + 3600 * (n // 7), n % 2 == 1) for n in range(30)]
+    log += [(3, 2000 + n, 60 * n, n % 5 == 1) for n in range(100)]
+    log += [(4, 3000, 0, False)]
+    events = spark.createDataFrame(
+        [(u, i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s), "start", 1, b, u) for u, i, s, b in log],
+        "user_id bigint, event_id bigint, ts timestamp_ntz, kind string, planned_minutes int, is_break boolean, task_id bigint",
+    )
+    midnight, hour = F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz"), F.expr("interval 1 hour")
+    for part in range(5):
+        own = events.filter((F.col("ts") >= midnight + part * hour) & ((F.col("ts") < midnight + (part + 1) * hour)))
+        own.coalesce(1).write.mode("append").parquet(source)
+        time.sleep(1.1)  # files are read in the order of their times
+    path = new_folder(spark, "chains")
+    stream = activity.read_events(spark, source, events.schema, files_per_batch=1)
+    chains.stream_chains(stream, path, new_folder(spark, "progress"), 1.0, dt.timedelta(minutes=5)).awaitTermination()
+    read = events.filter(F.col("ts") < midnight + 5 * hour)
+    want = sessions.joined_chains(sessions.chain_pieces(sessions.reconstruct_sessions(read)), 1.0)
+    want = want.select("user_id", "start_event_id", *sessions.CHAIN_COLUMNS, F.col("task.task_id").alias("task_id"))
+    found = chains.whole_chains(spark, path, 1.0)
+    assert same(found, want)
+    assert found.filter("user_id = 1").select("sessions").collect() == [(200,)]
+    held = timers.every_part(spark, path, "chains-open").groupBy("batch").agg(F.collect_set("user_id").alias("users"))
+    held = {r["batch"]: set(r["users"]) for r in held.collect()}
+    assert len(held) > 2 and all(4 not in users for users in held.values())  # idle users are not kept
+    assert all(1 in held[n] for n in range(3))
+    last = timers.last_batch(spark, path)
+    before = chains.read_chains(spark, path).collect()
+    chains.fold_chains(spark, path, last, 1.0)  # tried again
+    assert sorted(map(str, chains.read_chains(spark, path).collect())) == sorted(map(str, before))
+    assert same(chains.whole_chains(spark, path, 1.0), want)
+
+
+def test_chains_of_corrected_sessions_are_refused(spark, stand):
+    """Late events change sessions: chains as first folded no longer hold."""
+    source = tempfile.mkdtemp(prefix="cairn-test-")
+    events = stand.timer_events
+    path, progress = new_folder(spark, "chains"), new_folder(spark, "progress")
+    for day in (12, 3):
+        events.filter(F.dayofmonth("ts") == day).coalesce(1).write.mode("append").parquet(source)
+        stream = activity.read_events(spark, source, events.schema, files_per_batch=1)
+        chains.stream_chains(stream, path, progress).awaitTermination()
+    chains.read_chains(spark, path)
+    timers.settle_late(spark.read.parquet(source), path)
+    with pytest.raises(ValueError):
+        chains.read_chains(spark, path)
+
+
 def test_nothing_is_left_behind_a_run(spark, stand):
     shared = pathlib.Path(shared_folder(spark).removeprefix("file:"))
     before = set(shared.iterdir())
