@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,10 +170,12 @@ def fit(texts: DataFrame, most_texts: int = TRAIN_TEXTS, rows: int = ROWS) -> Fi
     counts = chosen.mapInArrow(seen, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     sizes = {name: max(1, min(n, most_texts)) for name, n in there.items()}
     least = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, max(2.0, LEAST_SHARE * v) if v > 20 else 1.0)])
-    found = counts.filter(F.col("n") >= least[F.col("lang")]).toPandas().sort_values(["n", "gram"], ascending=[False, True])
+    frequent = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    ranked = counts.filter(F.col("n") >= least[F.col("lang")]).withColumn("rank", F.row_number().over(frequent))
+    found = ranked.filter(F.col("rank") <= LANGUAGE_GRAMS).select("lang", "gram").toPandas()
     kept = {name: np.zeros(0, np.uint64) for name in sizes}
     for name, part in found.groupby("lang"):
-        kept[name] = part["gram"].to_numpy(np.int64)[:LANGUAGE_GRAMS].view(np.uint64)
+        kept[name] = part["gram"].to_numpy(np.int64).view(np.uint64)
     return build(kept, there, rows)
 
 
