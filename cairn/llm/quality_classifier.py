@@ -24,7 +24,7 @@ from cairn.session import durable
 
 #: At most so many labelled texts are learned from, those of lowest hashed doc_id.
 TRAIN_ROWS = 20_000
-TREES, DEPTH, MOST_RULES = 24, 3, 300
+TREES, DEPTH = 24, 3
 PENALTY, STEPS = 0.001, 60
 SEED = 11
 
@@ -114,10 +114,12 @@ class Ensemble:
         return 1.0 / (1.0 + F.exp(-total))
 
 
-def fit(rows: DataFrame, most_rules: int = MOST_RULES, penalty: float = PENALTY) -> Ensemble:
+def fit(rows: DataFrame, penalty: float = PENALTY) -> Ensemble:
     """Learn from statistics with a label 0 or 1, a bounded sample such as ``sampled`` gives.
 
-    No rows, or rows of one label, give a model that scores the base rate.
+    All distinct rules of the forest take part; its trees and their depth bound
+    how many there are. No rows, or rows of one label, give a model that scores
+    the base rate.
     """
     rows = durable(rows.coalesce(4), "quality-sample").coalesce(4)
     ones, n = rows.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1))).first()
@@ -128,7 +130,7 @@ def fit(rows: DataFrame, most_rules: int = MOST_RULES, penalty: float = PENALTY)
     features = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, subsamplingRate=0.7, seed=SEED).fit(features)
     found = dict.fromkeys(tighten(p) for tree in forest.trees for p in paths(tree.toDebugString, FEATURES))
-    rules = list(found)[:most_rules]
+    rules = list(found)
     if not rules:
         return base
     fired = [f"rule_{i}" for i in range(len(rules))]
