@@ -555,13 +555,7 @@ def score_questionnaire(d: StandIns) -> DataFrame:
 @query
 def score_answer_map(d: StandIns) -> DataFrame:
     """Questionnaires scored from one map of answers per result."""
-    per = d.answers.groupBy(
-        F.col("assessment_id").alias("id"), "user_id", "type", "taken_at", "domain_no", "domain"
-    ).agg(F.collect_list("response").alias("items"))
-    entry = F.struct("domain_no", "domain", "items")
-    maps = per.groupBy("id", "user_id", "type", "taken_at").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-    answers = F.map_from_entries(F.transform("entries", lambda e: F.struct(e["domain"], e["items"])))
-    scored = scoring.score_answer_map(maps.withColumn("answers", answers))
+    scored = scoring.score_answer_map(d.answer_maps)
     return scored.withColumn("domain_scores", F.to_json("domain_scores"))
 
 

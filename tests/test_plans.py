@@ -130,3 +130,7 @@ def test_trend_and_descendants_are_whole(stand):
     assert tasks.task_descendants(stand.tasks, stand.tasks.filter("parent_id is null")).count() == stand.tasks.count()
     fitted = trends.trend_fit(stand.results)
     assert fitted.select("id").distinct().count() == fitted.count()
+
+
+def test_answer_maps_are_scored_without_a_shuffle(spark):
+    assert exchanges(QUERIES["score_answer_map"](spark, DATA)) == 0
