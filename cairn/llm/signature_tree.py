@@ -16,9 +16,13 @@
    their sizes need, or that are of one component already.
 4. Pairs of members that are left are compared exactly; only now are whole sets
    made again from the texts, of members of such pairs. Before the traversal
-   members meet the first of their group, then the firsts of sixteen parts of
-   it, so that a group of thousands of copies is one component before any pair
+   members meet the first of their group, then the firsts of up to sixteen parts
+   of it (of sixteen members or more each), so that a group of thousands of copies is one component before any pair
    of nodes is looked at.
+5. Two members of several groups are looked at in the first of them only. Groups
+   have an order, the largest first, and a member of a group knows some groups
+   before it that it is in, too. Members with such a group in common have been
+   left to it, and so are nodes if one group holds all members of both.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +48,8 @@ SHARE = 80
 BATCH_BYTES = 1 << 19
 #: Longs in a bitmap, children of a node, and parts of a group whose firsts are met.
 BITMAP, FAN, PARTS = 32, 16, 16
+#: So many earlier groups of it does a member of a group know; with fewer, pairs are looked at more often.
+EARLIER = 8
 #: A tenth of all shingles beside the first ones tells who may have a partner.
 MORE = 10
 #: The order of shingles follows a sample of so many texts; a shingle in so many of them is common.
@@ -246,6 +252,11 @@ def _apart(a: str, b: str) -> Column:
     return (F.col(f"{a}.r0") != F.col(f"{a}.r1")) | (F.col(f"{b}.r0") != F.col(f"{b}.r1")) | (F.col(f"{a}.r0") != F.col(f"{b}.r0"))
 
 
+def _left(a: str, b: str) -> Column:
+    """Whether an earlier group holds all members of both nodes, so that their pairs are left to it."""
+    return F.arrays_overlap(F.col(f"{a}.earlier"), F.col(f"{b}.earlier"))
+
+
 def fitting(pairs: DataFrame, marks: DataFrame, share: int = SHARE) -> DataFrame:
     """Pairs (a, b) that neither their sizes nor their bitmaps in ``marks`` (rep, n, low, bits) rule out."""
     node = marks.select(F.col("rep").alias("at"), F.col("n").alias("least"), F.col("n").alias("most"), "low", "bits")
@@ -282,19 +293,38 @@ def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     return durable(rows.join(mixed.select("key"), "key", "left_semi"), "mixed")
 
 
+def _earlier(members: DataFrame, known: int = EARLIER) -> DataFrame:
+    """Members with ``earlier``: the largest ``known`` groups of those it is in, too, that come before this one.
+
+    One order holds for all groups. The first group that two members have in
+    common is earlier for neither in that group, so nothing is left to none.
+    """
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    of_rep = Window.partitionBy("rep").orderBy(F.desc("size"), "key")  # as many rows as a text has first shingles
+    ranked = members.join(sizes, "key").withColumn("place", F.row_number().over(of_rep))
+    before = of_rep.rowsBetween(Window.unboundedPreceding, -1)
+    found = F.collect_list(F.when(F.col("place") <= known, F.col("key"))).over(before)
+    return ranked.withColumn("earlier", found).drop("size", "place")
+
+
 def _levels(members: DataFrame, marks: DataFrame, fan: int) -> list[DataFrame]:
-    """The nodes of all trees by level, the members first: key, node, least, most, low, r0, r1, bits."""
-    # Groups lie side by side in one order; nodes are gapless numbers cut into parents.
-    placed = ordered.number(members, ["key", "n", "root", "rep"], "node")
+    """The nodes of all trees by level, the members first: key, node, least, most, low, r0, r1, earlier, bits.
+
+    Components are r0 to r1; ``earlier`` holds the earlier groups that all members know.
+    """
+    # Groups lie side by side in one order, by sizes about a fourth apart; nodes are gapless numbers cut into parents.
+    near_size = F.floor(3 * F.log2("n"))
+    placed = ordered.number(_earlier(members), ["key", near_size, "earlier", "root", "n", "rep"], "node")
     level = durable(placed.join(marks.select("rep", "low", "bits"), "rep").select(
         "key", "node", "rep", F.col("n").alias("least"), F.col("n").alias("most"), "low", F.col("root").alias("r0"),
-        F.col("root").alias("r1"), "bits"), "nodes")
+        F.col("root").alias("r1"), "earlier", "bits"), "nodes")
     levels = [level]
     while not level.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").isEmpty():
+        in_all = F.aggregate(F.collect_list("earlier"), F.first("earlier"), F.array_intersect)
         ored = F.array(*[F.bit_or(F.get("bits", F.lit(i))) for i in range(BITMAP)])
         level = durable(level.groupBy("key", F.expr(f"node div {fan}").alias("node")).agg(
             F.min("least").alias("least"), F.max("most").alias("most"), F.min("low").alias("low"),
-            F.min("r0").alias("r0"), F.max("r1").alias("r1"), ored.alias("bits")), "nodes")
+            F.min("r0").alias("r0"), F.max("r1").alias("r1"), in_all.alias("earlier"), ored.alias("bits")), "nodes")
         levels.append(level)
     return levels
 
@@ -302,7 +332,7 @@ def _levels(members: DataFrame, marks: DataFrame, fan: int) -> list[DataFrame]:
 def traversed(members: DataFrame, marks: DataFrame, share: int = SHARE, fan: int = FAN) -> DataFrame:
     """Pairs (a, b) of members (key, rep, n, root) of different components that no node of their trees rules out."""
     levels = _levels(members, marks, fan)
-    pairs = levels[-1].filter("r0 < r1").select("key", F.col("node").alias("p"), F.col("node").alias("q"))
+    pairs = levels[-1].filter("r0 < r1 and size(earlier) = 0").select("key", F.col("node").alias("p"), F.col("node").alias("q"))
     for level in reversed(levels[:-1]):
         above = level.withColumn("parent", F.expr(f"node div {fan}"))
         x, y = above.alias("x"), above.alias("y")
@@ -310,10 +340,10 @@ def traversed(members: DataFrame, marks: DataFrame, share: int = SHARE, fan: int
         down = down.join(y, (F.col("pair.key") == F.col("y.key")) & (F.col("q") == F.col("y.parent")))
         self_pair = F.col("x.node") == F.col("y.node")
         if level is levels[0]:
-            kept = down.filter((F.col("x.node") < F.col("y.node")) & _apart("x", "y") & _fits("x", "y", share))
+            kept = down.filter((F.col("x.node") < F.col("y.node")) & _apart("x", "y") & ~_left("x", "y") & _fits("x", "y", share))
             pairs = kept.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct()
         else:
-            kept = down.filter((F.col("x.node") <= F.col("y.node")) & _apart("x", "y") & (self_pair | _fits("x", "y", share)))
+            kept = down.filter((F.col("x.node") <= F.col("y.node")) & _apart("x", "y") & ~_left("x", "y") & (self_pair | _fits("x", "y", share)))
             pairs = kept.select(F.col("pair.key").alias("key"), F.col("x.node").alias("p"), F.col("y.node").alias("q"))
         pairs = durable(pairs, "node-pairs")
     return pairs
@@ -334,10 +364,14 @@ def linked(
         if mixed.isEmpty():
             return roots
         if firsts:
-            part = F.pmod(F.xxhash64("rep"), F.lit(firsts)).alias("part")
-            leads = mixed.groupBy("key", part).agg(F.min(F.struct("rep", "root", "n")).alias("lead")).select(
+            meeting = mixed.withColumn("parts", F.lit(1))
+            if firsts > 1:  # in a small group all would meet all: the traversal does that
+                held = mixed.groupBy("key").agg(F.least(F.lit(firsts), F.expr(f"count(1) div {firsts}")).alias("parts"))
+                meeting = mixed.join(held.filter("parts > 1"), "key")
+            part = F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part")
+            leads = meeting.groupBy("key", part).agg(F.min(F.struct("rep", "root", "n")).alias("lead")).select(
                 "key", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("rep", "root", "n")])
-            met = mixed.join(leads, "key").filter((F.col("root") != F.col("lead_root")) & sizes)
+            met = meeting.join(leads, "key").filter((F.col("root") != F.col("lead_root")) & sizes)
             pairs = met.select(F.greatest("rep", "lead_rep").alias("a"), F.least("rep", "lead_rep").alias("b")).distinct()
             pairs = fitting(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), reps, share)
         else:

@@ -103,6 +103,45 @@ def test_traversal_alone_finds_every_link(spark, copies):
     assert found == links
 
 
+def test_pairs_of_many_common_groups_are_looked_at_in_one(spark, monkeypatch):
+    """A family in sixty groups, each without a few of its members: node pairs are few, no linked pair is lost."""
+    rng, base = random.Random(3), [f"w{i}" for i in range(120)]
+    texts = {}
+    while len(texts) < 120:
+        text = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 2])):
+            text[at] = f"e{len(texts)}x{at}"
+        texts[len(texts)] = " ".join(text)
+    df = spark.createDataFrame(sorted(texts.items()), SCHEMA)
+    known = signature_tree.set_rows(df, np.zeros(0, np.uint64)).withColumn("rep", F.col("doc_id"))
+    known = known.withColumnRenamed("doc_id", "doc").localCheckpoint()
+    rows = [(key, rep) for key in range(60) for rep in texts if rng.random() > 0.05]
+    keyed = spark.createDataFrame(rows, "key bigint, rep bigint").join(known.select("rep", "n"), "rep")
+    members = keyed.select("key", "rep", "n", F.col("rep").alias("root")).localCheckpoint()
+    looked, kept = [], signature_tree.durable
+
+    def durable(table, label="step"):
+        out = kept(table, label)
+        if label == "node-pairs":
+            looked.append(out.count())
+        return out
+
+    monkeypatch.setattr(signature_tree, "durable", durable)
+    left = {tuple(r) for r in signature_tree.traversed(members, known, fan=4).collect()}
+    many, looked[:] = sum(looked[:-1]), []
+    signature_tree.traversed(members.filter("key = 0"), known, fan=4).collect()
+    assert many < 12 * sum(looked[:-1])
+    held = {}
+    for key, rep in rows:
+        held.setdefault(key, set()).add(rep)
+    sets = {rep: shingles(t) for rep, t in texts.items()}
+    links = {
+        (a, b) for a in sets for b in sets
+        if a > b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and any({a, b} <= g for g in held.values())
+    }
+    assert links and links <= left
+
+
 def test_odd_documents(spark, odd, clashing, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     assert got(signature_tree.linked_documents(clashing)) == brute(rows)
