@@ -17,7 +17,7 @@
 4. Pairs of members that are left are compared exactly; only now are whole sets
    made again from the texts, of members of such pairs. Before the traversal
    members meet the first of their group, then the firsts of up to sixteen parts
-   of it (of sixteen members or more each), so that a group of thousands of copies is one component before any pair
+   of it (of sixteen members or more each; in their first common group only), so that a group of thousands of copies is one component before any pair
    of nodes is looked at.
 5. Two members of several groups are looked at in the first of them only. Groups
    have an order, the largest first, and a member of a group knows some groups
@@ -349,6 +349,27 @@ def traversed(members: DataFrame, marks: DataFrame, share: int = SHARE, fan: int
     return pairs
 
 
+def _met(members: DataFrame, parts: int, share: int = SHARE) -> DataFrame:
+    """Pairs (a, b): members (key, rep, n, root) with the first of their group, or of up to ``parts`` parts of it.
+
+    Copies are together in many groups, and the same few are first in most. With
+    parts, a pair is therefore met in its first common group only, as far as
+    ``earlier`` tells; what does not meet at all is left to the traversal.
+    """
+    meeting = members.withColumn("parts", F.lit(1)).withColumn("earlier", F.array().cast("array<bigint>"))
+    if parts > 1:  # in a small group all would meet all: the traversal does that
+        held = members.groupBy("key").agg(F.least(F.lit(parts), F.expr(f"count(1) div {parts}")).alias("parts"))
+        meeting = durable(_earlier(members.join(held.filter("parts > 1"), "key")), "meeting")
+    part = F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part")
+    carried = ("rep", "root", "n", "earlier")
+    leads = meeting.groupBy("key", part).agg(F.min(F.struct(*carried)).alias("lead")).select(
+        "key", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in carried])
+    sizes = (100 * F.col("n") >= share * F.col("lead_n")) & (100 * F.col("lead_n") >= share * F.col("n"))
+    first = ~F.arrays_overlap("earlier", "lead_earlier")
+    met = meeting.join(leads, "key").filter((F.col("root") != F.col("lead_root")) & sizes & first)
+    return met.select(F.greatest("rep", "lead_rep").alias("a"), F.least("rep", "lead_rep").alias("b"))
+
+
 def linked(
     members: DataFrame, reps: DataFrame, docs: DataFrame, share: int = SHARE, width: int = WIDTH,
     parts: int = PARTS, fan: int = FAN,
@@ -358,21 +379,12 @@ def linked(
     ``reps`` is a stored table of (rep, doc, n, s0, s1, low, bits) for all members.
     """
     roots, links, done, sets = None, None, None, None
-    sizes = (100 * F.col("n") >= share * F.col("lead_n")) & (100 * F.col("lead_n") >= share * F.col("n"))
     for firsts in (1, parts, 0):
         mixed = _rooted(members, roots)
         if mixed.isEmpty():
             return roots
         if firsts:
-            meeting = mixed.withColumn("parts", F.lit(1))
-            if firsts > 1:  # in a small group all would meet all: the traversal does that
-                held = mixed.groupBy("key").agg(F.least(F.lit(firsts), F.expr(f"count(1) div {firsts}")).alias("parts"))
-                meeting = mixed.join(held.filter("parts > 1"), "key")
-            part = F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part")
-            leads = meeting.groupBy("key", part).agg(F.min(F.struct("rep", "root", "n")).alias("lead")).select(
-                "key", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("rep", "root", "n")])
-            met = meeting.join(leads, "key").filter((F.col("root") != F.col("lead_root")) & sizes)
-            pairs = met.select(F.greatest("rep", "lead_rep").alias("a"), F.least("rep", "lead_rep").alias("b")).distinct()
+            pairs = _met(mixed, firsts, share).distinct()
             pairs = fitting(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), reps, share)
         else:
             pairs = traversed(mixed, reps, share, fan)

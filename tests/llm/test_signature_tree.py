@@ -142,6 +142,20 @@ def test_pairs_of_many_common_groups_are_looked_at_in_one(spark, monkeypatch):
     assert links and links <= left
 
 
+def test_members_meet_the_firsts_of_many_common_groups_once(spark):
+    """A family in sixty groups, each without a few of its members: the join makes hardly a pair twice."""
+    rng = random.Random(5)
+    rows = [(key, rep, 100, rep) for key in range(60) for rep in range(300) if rng.random() > 0.05]
+    members = spark.createDataFrame(rows, "key bigint, rep bigint, n bigint, root bigint").localCheckpoint()
+    met = [tuple(r) for r in signature_tree._met(members, signature_tree.PARTS).collect()]
+    held = {}
+    for key, rep, _, _ in rows:
+        held.setdefault(key, set()).add(rep)
+    assert all(a > b and any({a, b} <= g for g in held.values()) for a, b in met)
+    assert len({a for a, _ in met}) > 250
+    assert len(met) < 1.5 * len(set(met)) and len(met) < len(rows)
+
+
 def test_odd_documents(spark, odd, clashing, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     assert got(signature_tree.linked_documents(clashing)) == brute(rows)
