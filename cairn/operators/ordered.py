@@ -79,21 +79,28 @@ def by_key_size(
     return rest.unionByName(spread(df.join(marked, same, "left_semi")))
 
 
-def chunked(
+def placed(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], rows: int
 ) -> DataFrame:
     """Add ``_pos`` (rank-preserving number) and ``_chunk`` (``rows`` rows at most).
 
-    ``order`` must settle every tie. Both numbers are written down, as positions
-    drawn while sorting must never be drawn twice.
+    ``order`` must settle every tie. Positions are drawn while sorting and must
+    never be drawn twice: for one reader that is written, or by :func:`chunked`.
     """
     sort = [*keys, *order]
-    placed = (
+    numbered = (
         df.repartitionByRange(*sort)
         .sortWithinPartitions(*sort)
         .withColumn("_pos", F.monotonically_increasing_id())
     )
-    return durable(placed.withColumn("_chunk", F.expr(f"_pos div {rows}")), "chunks")
+    return numbered.withColumn("_chunk", F.expr(f"_pos div {rows}"))
+
+
+def chunked(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], rows: int
+) -> DataFrame:
+    """The rows of :func:`placed` written down, for any number of readers."""
+    return durable(placed(df, keys, order, rows), "chunks")
 
 
 def scan(

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from cairn.functions.columns import MICROS_PER_SECOND, from_micros, micros
 from cairn.operators import ordered, timer_chain
-from cairn.operators.validate import timer_plan_rules, valid
+from cairn.operators.validate import reasons, timer_plan_rules
 from cairn.session import durable
 
-FOLD_ROWS = 1024
+#: A chunk that spans several sessions is rarely begun wrongly twice, however many events share an instant.
+FOLD_ROWS = 8192
 
 _SESSION = (
     "struct<start_event_id:bigint,task_id:bigint,is_break:boolean,planned_minutes:int,"
@@ -170,8 +171,8 @@ def _entries(ends: DataFrame, many: bool) -> DataFrame:
 
 def accepted_events(events: DataFrame) -> DataFrame:
     """Starts of 1..120 minutes, toggles and stops."""
-    starts = valid(events.filter(F.col("kind") == "start"), timer_plan_rules())
-    return starts.unionByName(events.filter(F.col("kind").isin("toggle", "stop")))
+    refused = (F.col("kind") == "start") & (F.size(reasons(timer_plan_rules())) > 0)
+    return events.filter(F.col("kind").isin("start", "toggle", "stop") & ~refused)
 
 
 def fold_log(
@@ -186,7 +187,8 @@ def fold_log(
     turn writes the chunks that it folds again and no others; ``_newest`` puts
     the turns together.
     """
-    placed = ordered.chunked(accepted_events(events), ["user_id"], ["ts", "event_id"], chunk_rows)
+    # Read once, by the table of chunks, so positions need not be written down before.
+    placed = ordered.placed(accepted_events(events), ["user_id"], ["ts", "event_id"], chunk_rows)
     event = F.struct(
         "_pos", "event_id", micros(F.col("ts")).alias("at"), "kind",
         "planned_minutes", "is_break", "task_id",

@@ -54,7 +54,7 @@ def fold_batch(batch: DataFrame, path: str, number: int, late: dt.timedelta) ->
     overtaken = F.col("ts") < point(before) if before else F.lit(False)
     held = read_part(spark.read, f"{path}/waiting/batch={number - 1}")
     waiting = rows.filter(~overtaken)
-    waiting = durable(waiting.unionByName(held.select(*COLUMNS)) if held is not None else waiting, "waiting")
+    waiting = waiting.unionByName(held.select(*COLUMNS)) if held is not None else waiting
     timers = _timers(spark, path, number - 1)
     passed = F.col("ts") < point(safe) if safe else F.lit(False)
     folds = sessions.fold_log(waiting.filter(passed), timers)

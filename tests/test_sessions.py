@@ -181,6 +181,25 @@ def test_a_timer_leaps_over_the_chunks_it_sits_through(spark, chunks, most):
     assert begins == expected
 
 
+def test_turns_do_not_grow_with_the_events_of_an_instant(spark):
+    """Every event 360 times at its instant: as many sessions, and hardly more turns."""
+    dice = random.Random(7)
+    data, now = [], 0
+    for i in range(1500):
+        now += dice.choice([30, 90, 240])
+        kind = dice.choice(["start", "start", "start", "toggle", "stop"])
+        data.append((i % 2, i * 1000, T0 + dt.timedelta(seconds=now), kind, dice.choice([5, 15, 25]), False, i))
+    once = spark.createDataFrame(data, TIMER)
+    copies = spark.range(360).withColumnRenamed("id", "copy")
+    dense = once.filter("kind != 'toggle'").crossJoin(copies).withColumn("event_id", F.col("event_id") + F.col("copy")).drop("copy")
+    dense = dense.unionByName(once.filter("kind = 'toggle'")).localCheckpoint()
+    folds = sessions.fold_log(dense)
+    assert len(folds) <= 4
+    alone, columns = sessions.reconstruct_sessions(once), ["user_id", "start_event_id", "outcome", "elapsed_seconds"]
+    closed = sessions.closed_in(folds).unionByName(sessions.run_out(sessions.timers_after(folds)))
+    assert rows(sessions.sessions_of(closed), *columns) == rows(alone, *columns)
+
+
 @pytest.mark.parametrize("sizes", [{}, {"chunk_starts": 5, "chunk_limit": 10}])
 def test_pointers_and_fold_agree(spark, stand, sizes):
     """Two ways to the same sessions, on logs full of pauses, ties in time and ends at events."""
