@@ -6,7 +6,8 @@ What a child cannot use, as all its leaves together have too few tokens, goes
 to its siblings by weight, and leaves the node only when all of them are full.
 A leaf then takes its share as a prefix of a stream of epochs: every epoch is
 all its documents in an order seeded anew, whole epochs first, then the first
-documents of the next up to the share.
+documents of the next up to the share. How many tokens are mixed is given, or
+the least with which no document is lost: leaves below their weight are repeated.
 
 Sums are taken before any shuffle. The order within a leaf is settled by hash
 buckets: sums per bucket tell in which bucket the share ends, and only that
@@ -39,11 +40,12 @@ def order_key(epoch: Column, doc: Column, seed: int = SEED) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc.cast("string"), F.lit("null"))))
 
 
-def weight_of(level: str, weights: Mapping[str, Mapping[str, int]]) -> Column:
-    """Whole-number weight of a node among its siblings; 1 if none is given."""
+def weight_of(level: str, weights: Mapping[str, Mapping[str, int]], node: Column | None = None) -> Column:
+    """Whole-number weight of a node, by default in the column of its level, among its siblings; 1 if none is given."""
+    node = F.col(level) if node is None else node
     found = F.lit(1)
     for value, weight in weights.get(level, {}).items():
-        found = F.when(F.col(level) == value, F.lit(int(weight))).otherwise(found)
+        found = F.when(node == value, F.lit(int(weight))).otherwise(found)
     return found.cast("bigint")
 
 
@@ -101,21 +103,41 @@ def budgets(
     return leaves.join(named, same, "left").select(*leaves.columns, F.coalesce("budget", F.lit(0)).alias("budget"))
 
 
+def least_total(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapping[str, int]], epochs: int) -> int:
+    """Fewest tokens that leave every leaf with weight a whole epoch, while weights hold.
+
+    From the leaves up, a node needs what its children get when each has what
+    it needs and all stand by weight, up to ``epochs`` times their tokens. One
+    window per level over the nodes of the tree, never over documents.
+    """
+    levels = list(levels)
+    nodes = leaves.withColumn("need", F.col("tokens")).withColumn("capacity", F.col("tokens") * epochs)
+    for depth in reversed(range(len(levels))):
+        family = Window.partitionBy(*levels[:depth])
+        nodes = nodes.withColumn("weight", weight_of(levels[depth], weights)).filter("weight > 0")
+        nodes = nodes.withColumn("_most", F.max(F.col("need") / F.col("weight")).over(family))
+        nodes = nodes.withColumn("need", F.least(F.ceil(F.col("_most") * F.col("weight")), F.col("capacity")))
+        nodes = nodes.groupBy(*levels[:depth]).agg(F.sum("need").alias("need"), F.sum("capacity").alias("capacity"))
+    return nodes.first()["need"] or 0
+
+
 def shares(
     docs: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapping[str, int]], *,
-    total: int | None = None, share: float = 1.0, epochs: int = 1, seed: int = SEED, bucket_rows: int = BUCKET_ROWS,
+    total: int | None = None, share: float | None = 1.0, epochs: int = 1, seed: int = SEED, bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """One row per leaf of documents (doc_id, levels, tokens): where its stream ends.
 
     Columns: levels, docs, tokens, budget, whole (epochs taken whole), cut_key
     (order key of the last document of the next epoch, null if none), cut_left
-    (tokens left for that document). ``total`` tokens are mixed, or that share
-    of all tokens. ``docs`` must be a stored table.
+    (tokens left for that document), cut_size (tokens it has). ``total`` tokens
+    are mixed, or that share of all tokens, or for a share of None the
+    ``least_total``. ``docs`` must be a stored table.
     """
     levels = list(levels)
     leaves = durable(docs.groupBy(*levels).agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens")), "leaves")
     there, most = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.max("docs")).first()
-    total = int(there * share) if total is None else total
+    if total is None:
+        total = least_total(leaves, levels, weights, epochs) if share is None else int(there * share)
     dealt = budgets(leaves, levels, weights, total, epochs)
     whole = F.expr("if(tokens = 0, 0L, budget div tokens)")
     dealt = dealt.withColumn("whole", whole).withColumn("rest", F.expr("budget - whole * tokens"))
@@ -142,12 +164,12 @@ def shares(
     before = Window.partitionBy(*path).orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("begin", F.col("ahead") + F.coalesce(F.sum("sum").over(before), F.lit(0)))
     cut = inside.filter("begin < rest and begin + sum >= rest").select(
-        *path, F.col("key").alias("cut_key"), (F.col("rest") - F.col("begin")).alias("cut_left")
+        *path, F.col("key").alias("cut_key"), (F.col("rest") - F.col("begin")).alias("cut_left"), F.col("sum").alias("cut_size")
     )
     same = F.lit(True)
     for c in levels:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return dealt.join(cut, same, "left").select(*levels, "docs", "tokens", "budget", "whole", "cut_key", "cut_left")
+    return dealt.join(cut, same, "left").select(*levels, "docs", "tokens", "budget", "whole", "cut_key", "cut_left", "cut_size")
 
 
 def taken(docs: DataFrame, ends: DataFrame, levels: Sequence[str], tokens: Column | str = "tokens", seed: int = SEED) -> DataFrame:
@@ -224,3 +246,34 @@ def keep_mixed(docs: DataFrame, weights: Mapping[str, Mapping[str, int]] = WEIGH
     ends = ends.withColumnRenamed("domain", domain)
     found = taken(docs.withColumn(domain, domain_of()), ends, [domain, "lang", "source"], F.lit(0).cast("bigint"), seed)
     return found.select(*docs.columns)
+
+
+#: Times that the pipeline takes a document at most.
+EPOCHS = 4
+
+
+def with_weight(docs: DataFrame, weights: Mapping[str, Mapping[str, int]] = WEIGHTS) -> DataFrame:
+    """The documents that a mix without loss takes at all: no level of their leaf has weight 0."""
+    nodes = {"domain": domain_of(), "lang": F.col("lang"), "source": F.col("source")}
+    return docs.filter(F.least(*[weight_of(level, weights, nodes[level]) for level in LEVELS]) > 0)
+
+
+def repeats(docs: DataFrame, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, *, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+    """doc_id, text and ``times``: how often a mix that loses no document takes each of them.
+
+    Every document with weight is taken once at least and ``epochs`` times at
+    most; in between leaves are repeated until weights hold. Documents are
+    taken whole: the last one of a leaf if half of it is within the share.
+    """
+    docs = with_weight(docs, weights).select("doc_id", "text", domain_of().alias("domain"), "lang", "source")
+    rows = durable(docs.select("doc_id", *LEVELS, words().alias("tokens")), "mix-rows")
+    ends = durable(shares(rows, LEVELS, weights, share=None, epochs=epochs, seed=seed), "mix-ends")
+    marked = ends.select(*[F.col(c).alias(f"_{c}") for c in LEVELS], "whole", "cut_key", "cut_left", "cut_size")
+    same = F.lit(True)
+    for c in LEVELS:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    key = F.when(F.col("cut_key").isNotNull(), order_key(F.col("whole"), F.col("doc_id"), seed))
+    half = F.expr("2 * cut_left >= cut_size")
+    more = F.coalesce((key < F.col("cut_key")) | ((key == F.col("cut_key")) & half), F.lit(False))
+    times = F.greatest(F.col("whole") + more.cast("bigint"), F.lit(1).cast("bigint"))
+    return docs.join(marked, same).select("doc_id", "text", times.alias("times"))

@@ -136,11 +136,15 @@ def cut(length: int, capacity: int) -> Iterator[tuple[int, int]]:
         begin += size
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(
+    docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False, times: str | None = None,
+) -> DataFrame:
     """Pieces of all documents: doc_id, piece, start, length, ids_crc32, and the ids if asked for.
 
     A document is its text's ids and the end id; a null or empty text is the
-    end id alone. Repeated rows give repeated pieces.
+    end id alone. Repeated rows give repeated pieces. If ``times`` names a
+    column, a document is encoded once and its pieces stand that many times,
+    with ``epoch`` from 0.
     """
     kind = docs.schema["doc_id"].dataType
 
@@ -164,6 +168,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids:
                         pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 if with_ids:
                     made.append(pa.array(ids, pa.list_(pa.int32())))
+                if times:
+                    made.append(batch.column(times).take(pa.array(rows, pa.int64())))
                 yield pa.RecordBatch.from_arrays(made, [f.name for f in schema])
 
     schema = T.StructType(
@@ -171,7 +177,11 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids:
         + [T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32")]
         + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids
     )
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    if times is None:
+        return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema = schema.add("times", T.LongType())
+    once = docs.select("doc_id", "text", F.col(times).cast("bigint").alias(times)).filter(F.col(times) > 0).mapInArrow(run, schema)
+    return once.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("times") - 1))).drop("times")
 
 
 def _fill(left: np.ndarray, capacity: int) -> dict[int, int]:
@@ -270,9 +280,11 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.select(*parts.columns, "_at.sequence_id", "_at.offset")
 
 
-def packed(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def packed(
+    docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False, times: str | None = None,
+) -> DataFrame:
     """All documents as placed pieces; see ``pieces`` and ``pack``. Other columns are not read."""
-    return pack(durable(pieces(docs, vocabulary, capacity, with_ids), "pieces"), capacity)
+    return pack(durable(pieces(docs, vocabulary, capacity, with_ids, times), "pieces"), capacity)
 
 
 def sequences(placed: DataFrame) -> DataFrame:

@@ -105,3 +105,70 @@ def test_odd_documents(odd, clashing, none):
 
 def test_all_stays_where_all_is_asked_for(docs):
     assert mixing.keep_mixed(docs, share=1.0).count() == docs.count()
+
+
+def least(leaves, weights, epochs):
+    """Need and capacity of the root of a tree of leaves {path: tokens}, from the leaves up."""
+    nodes = {path: (t, t * epochs) for path, t in leaves.items()}
+    for depth in (2, 1, 0):
+        families = defaultdict(list)
+        for path, (need, capacity) in nodes.items():
+            weight = weights.get(mixing.LEVELS[depth], {}).get(path[-1], 1)
+            if weight:
+                families[path[:-1]].append((need, capacity, weight))
+        nodes = {}
+        for path, kids in families.items():
+            most = max(Fraction(need, weight) for need, _, weight in kids)
+            nodes[path] = (sum(min(-(-most * w // 1), c) for _, c, w in kids), sum(c for _, c, _ in kids))
+    return int(nodes[()][0])
+
+
+def test_least_total_loses_no_leaf_and_keeps_weights(spark):
+    leaves = {("x", "en", "a"): 100, ("x", "en", "b"): 50, ("x", "de", "c"): 90, ("y", "en", "d"): 64, ("z", "en", "e"): 7}
+    weights = {"domain": {"x": 4, "y": 1, "z": 0}, "lang": {"en": 2}, "source": {"a": 1, "b": 3}}
+    df = spark.createDataFrame([(*p, 1, t) for p, t in leaves.items()], "domain string, lang string, source string, docs bigint, tokens bigint")
+    for epochs in (1, 2, 4, 9):
+        total = mixing.least_total(df, mixing.LEVELS, weights, epochs)
+        assert total == least(leaves, weights, epochs)
+        out = {r["source"]: r["budget"] for r in mixing.budgets(df, mixing.LEVELS, weights, total, epochs).collect()}
+        for (_, _, source), tokens in leaves.items():
+            assert out[source] == 0 if source == "e" else tokens - 1 <= out[source] <= epochs * tokens
+    assert out == {"a": 100, "b": 300, "c": 200, "d": 150, "e": 0}
+    assert mixing.least_total(df.limit(0), mixing.LEVELS, weights, 2) == 0
+
+
+def test_repeats_lose_no_document_and_hold_weights(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [r.asDict() for r in docs.select("doc_id", "text", mixing.domain_of().alias("domain"), "lang", "source").collect()]
+    leaves = defaultdict(list)
+    for r in rows:
+        r["tokens"] = len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+        leaves[r["domain"], r["lang"], r["source"]].append(r)
+    sizes = {path: sum(r["tokens"] for r in own) for path, own in leaves.items()}
+    total = least(sizes, mixing.WEIGHTS, mixing.EPOCHS)
+    given = {(): total}
+    for depth in range(3):
+        for above in [p for p in given if len(p) == depth]:
+            kids = {p[:depth + 1] for p in leaves if p[:depth] == above}
+            room = {k: mixing.EPOCHS * sum(t for p, t in sizes.items() if p[:depth + 1] == k) for k in kids}
+            family = {k: (room[k], mixing.WEIGHTS[mixing.LEVELS[depth]].get(k[-1], 1)) for k in kids}
+            given.update(pour(given[above], family)[0])
+    times = {r["doc_id"]: r["times"] for r in mixing.repeats(docs).select("doc_id", "times").collect()}
+    assert set(times) == {r["doc_id"] for r in rows} and 1 <= min(times.values()) and max(times.values()) <= mixing.EPOCHS
+    taken = defaultdict(int)
+    for path, own in leaves.items():
+        got = sum(times[r["doc_id"]] * r["tokens"] for r in own)
+        assert abs(got - given[path]) <= max(r["tokens"] for r in own) / 2 + 4
+        taken[path[0]] += got
+    asked = mixing.WEIGHTS["domain"]
+    for domain, weight in asked.items():
+        assert abs(taken[domain] / sum(taken.values()) - weight / sum(asked.values())) < 0.01
+
+
+def test_documents_without_weight_go_and_those_without_words_stay(odd, clashing, none):
+    out = mixing.repeats(clashing)
+    assert out.columns == ["doc_id", "text", "times"] and out.count() == clashing.count()
+    weights = {"source": {"src0": 0}}
+    left = [r for r in odd.collect() if r["source"] != "src0"]
+    assert mixing.repeats(odd, weights).count() == mixing.with_weight(odd, weights).count() == len(left)
+    assert shape(mixing.with_weight(clashing), clashing) and mixing.repeats(none).count() == 0

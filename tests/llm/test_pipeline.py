@@ -1,5 +1,7 @@
+from collections import Counter
+
 import corpus_pipeline
-from cairn.llm import toxicity
+from cairn.llm import mixing, toxicity
 from tests.llm.test_line_dedup import brute as brute_lines
 from tests.llm.test_near_dedup import brute as brute_classes
 
@@ -64,3 +66,21 @@ def test_toxic_documents_go(spark):
     gone = lambda ids, least: sum(scores[d] >= least for d in ids) / len(ids)
     print("gone", {least: (round(gone(toxic, least), 3), round(gone(clean, least), 3)) for least in (0.3, 0.5)})
     assert gone(toxic, corpus_pipeline.TOXIC) > gone(clean, corpus_pipeline.TOXIC)
+
+
+def test_sequences_hold_the_weights_and_every_document(spark, docs):
+    """The mix repeats documents instead of leaving some out: pieces of each epoch are those of the first."""
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[-2:]:
+        out = stage(spark, now, HERE)
+        now = spark.createDataFrame(out.collect(), out.schema)
+    times = {r["doc_id"]: r["times"] for r in mixing.repeats(docs).collect()}
+    assert set(times) == {r["doc_id"] for r in docs.select("doc_id").collect()}
+    pieces, ends = {}, Counter()
+    for r in now.collect():
+        pieces.setdefault((r["doc_id"], r["epoch"]), set()).add((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+        assert r["offset"] + r["length"] <= 1024
+        ends[r["sequence_id"]] += r["length"]
+    assert max(ends.values()) <= 1024
+    assert Counter(doc for doc, _ in pieces) == times and max(times.values()) > 1
+    assert all(pieces[doc, epoch] == pieces[doc, 0] for doc, epoch in pieces)
